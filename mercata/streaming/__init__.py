@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The source analysis is batch only -- no stream source, watermark, event-time
+window or state appears in it -- so no Structured Streaming operator is
+built.  Every report is a plain DataFrame function and therefore also
+accepts a streaming DataFrame where Spark supports the operators it uses;
+none is registered as a streaming query.
+"""
