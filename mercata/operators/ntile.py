@@ -12,9 +12,10 @@ the work spread over many tasks:
    an ordinary codegen'd expression, so a row's bin depends on the row alone:
    retries, AQE and re-planning cannot move rows between bins.
 3. ``row_number()`` over ``Window.partitionBy(bin).orderBy(keys)`` ranks the
-   rows inside their bin (one shuffle on the bin, sorted per task); the row
-   counts per bin (a tiny aggregate, at most ``max_bins`` rows, broadcast by
-   construction) give each bin's global offset.
+   rows inside their bin (one shuffle on the bin, sorted per task).  The row
+   counts per bin -- one small aggregate job for all specs, at most
+   ``max_bins`` numbers each -- give each bin's global offset, which enters
+   the plan as a literal array.
 4. With the global 0-based rank ``i``, ``q = N div n`` and ``r = N mod n``,
    the bucket is ``i div (q+1) + 1`` when ``i < r*(q+1)``, else
    ``r + (i - r*(q+1)) div q + 1`` -- exactly NTILE's rule (the first ``r``
@@ -28,12 +29,17 @@ which is also what NTILE promises for ties.
 Null ordering follows the SQL-standard default used by the reports' source
 engine: NULLs sort last ascending and first descending, unless
 ``nulls_first`` says otherwise.  The input must be deterministic; it is
-materialised once (reliable checkpoint when the session names a checkpoint
-folder, else MEMORY_AND_DISK persistence) because it is read three times.
+read three times (count + sample, bin counts, rows), so it is persisted
+MEMORY_AND_DISK by default -- lost blocks are recomputed from lineage, and
+identical inputs of several reports share one cache entry.  Pass
+``materialise="checkpoint"`` to cut a long lineage into the session's
+reliable ``spark.checkpoint.dir`` instead.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import decimal
 import functools
 import math
 from collections.abc import Sequence
@@ -106,33 +112,58 @@ def _sort_rows(rows: list[tuple], keys: Sequence[SortKey]) -> list[tuple]:
     return sorted(rows, key=functools.cmp_to_key(cmp))
 
 
-def _before(keys: Sequence[SortKey], split: tuple) -> Column:
-    """True when the row sorts strictly before ``split`` (lexicographic)."""
-    expr: Column | None = None
+def _sql_literal(value: Any) -> str:
+    """A Spark SQL literal for a sampled key value (exact for every type)."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, int):
+        return f"{value}L"
+    if isinstance(value, decimal.Decimal):
+        return f"({value}BD)"
+    if isinstance(value, float):
+        if math.isnan(value) or math.isinf(value):
+            return f"CAST('{value}' AS DOUBLE)"
+        return f"({value!r}D)"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, dt.datetime):
+        return f"TIMESTAMP_NTZ '{value.isoformat(sep=' ')}'"
+    if isinstance(value, dt.date):
+        return f"DATE '{value.isoformat()}'"
+    raise TypeError(f"unsupported NTILE key type {type(value).__name__}")
+
+
+def _before(keys: Sequence[SortKey], split: tuple) -> str:
+    """SQL: the row sorts strictly before ``split`` (lexicographic)."""
+    expr: str | None = None
     for key, value in reversed(list(zip(keys, split))):
-        c = F.col(key.column)
+        c = f"`{key.column}`"
         if value is None:
-            lt = F.lit(False) if key.nulls_go_first else c.isNotNull()
-            eq = c.isNull()
+            lt = "FALSE" if key.nulls_go_first else f"({c} IS NOT NULL)"
+            eq = f"({c} IS NULL)"
         else:
-            cmp = (c < F.lit(value)) if key.ascending else (c > F.lit(value))
-            lt = F.when(c.isNull(), F.lit(key.nulls_go_first)).otherwise(cmp)
-            eq = c.eqNullSafe(F.lit(value))
-        expr = lt if expr is None else (lt | (eq & expr))
+            lit = _sql_literal(value)
+            op = "<" if key.ascending else ">"
+            lt = f"(CASE WHEN {c} IS NULL THEN {'TRUE' if key.nulls_go_first else 'FALSE'} ELSE {c} {op} {lit} END)"
+            eq = f"({c} <=> {lit})"
+        expr = lt if expr is None else f"({lt} OR ({eq} AND {expr}))"
     assert expr is not None
     return expr
 
 
 def _bin_expr(keys: Sequence[SortKey], splits: Sequence[tuple]) -> Column:
-    """Number of split points <= the row's key, as a balanced comparison tree."""
+    """Number of split points <= the row's key, as a balanced comparison tree
+    (built as one SQL expression: a single call into the JVM)."""
 
-    def tree(lo: int, hi: int) -> Column:
+    def tree(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(_before(keys, splits[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return f"CASE WHEN {_before(keys, splits[mid])} THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END"
 
-    return tree(0, len(splits))
+    return F.expr(tree(0, len(splits)))
 
 
 def _choose_splits(sample: list[tuple], keys: Sequence[SortKey], bins: int) -> list[tuple]:
@@ -146,10 +177,11 @@ def _choose_splits(sample: list[tuple], keys: Sequence[SortKey], bins: int) -> l
 
 
 def _materialise(df: DataFrame, how: str) -> DataFrame:
-    spark = df.sparkSession
     if how == "auto":
-        how = "checkpoint" if checkpoint_dir(spark) else "persist"
+        how = "persist"
     if how == "checkpoint":
+        if not checkpoint_dir(df.sparkSession):
+            raise ValueError("materialise='checkpoint' needs spark.checkpoint.dir")
         return df.checkpoint(eager=True)
     if how == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -225,26 +257,37 @@ def add_ntiles(
         splits = _choose_splits(rows, spec.order_by, bins) if rows else []
         bin_col = f"__ntile_bin_{idx}"
         binned = binned.withColumn(bin_col, _bin_expr(spec.order_by, splits) if splits else F.lit(0))
-        bin_cols.append(bin_col)
+        bin_cols.append((bin_col, len(splits) + 1))
+
+    # Rows per bin of every spec in one small job (at most max_bins numbers
+    # per spec reach the driver); running sums give each bin's offset.
+    tagged = F.expr(
+        "explode(array(" + ", ".join(f"named_struct('s', {i}, 'b', `{c}`)" for i, (c, _) in enumerate(bin_cols)) + "))"
+    )
+    counts = binned.select(tagged.alias("x")).groupBy("x.s", "x.b").count().collect()
+    offsets = []
+    for i, (_, nbins) in enumerate(bin_cols):
+        per_bin = [0] * nbins
+        for row in counts:
+            if row["s"] == i:
+                per_bin[row["b"]] = row["count"]
+        running, offs = 0, []
+        for c in per_bin:
+            offs.append(running)
+            running += c
+        offsets.append(offs)
 
     out = binned
     for idx, spec in enumerate(specs):
-        bin_col, off_col, rank_col = bin_cols[idx], f"__ntile_off_{idx}", f"__ntile_rank_{idx}"
-        # Rows per bin -> offset of each bin (at most max_bins rows).
-        counts = binned.groupBy(bin_col).agg(F.count(F.lit(1)).alias("__c"))
-        offsets = counts.select(
-            bin_col,
-            (F.sum("__c").over(Window.orderBy(bin_col)) - F.col("__c")).alias(off_col),
-        )
+        bin_col, rank_col = bin_cols[idx][0], f"__ntile_rank_{idx}"
         window = Window.partitionBy(bin_col).orderBy(*[k.sort_column() for k in spec.order_by])
+        offset = F.expr(f"element_at(array({', '.join(f'{o}L' for o in offsets[idx])}), `{bin_col}` + 1)")
         out = (
-            out.withColumn(rank_col, F.row_number().over(window))
-            .join(F.broadcast(offsets), bin_col)
-            .withColumn(rank_col, F.col(off_col) + F.col(rank_col) - 1)
+            out.withColumn(rank_col, offset + F.row_number().over(window) - 1)
             .withColumn(spec.out, _bucket_expr(rank_col, total, spec.n))
-            .drop(off_col, rank_col)
+            .drop(rank_col)
         )
-    return out.drop(*bin_cols)
+    return out.drop(*[c for c, _ in bin_cols])
 
 
 def global_ntile(

@@ -18,8 +18,9 @@ def share_of_total(
     ``value_scale`` is the decimal scale of ``column`` (2 for money).  A zero
     total gives NULL instead of a division error.
     """
-    total = F.sum(F.col(column)).over(Window.partitionBy())
-    num, den = unscaled(column, value_scale), unscaled(total, value_scale)
-    return grouped.withColumn(
-        out, F.when(den != 0, round_ratio(num, F.when(den != 0, den), scale, factor=100))
-    )
+    tmp = f"__total_{out}"
+    with_total = grouped.withColumn(tmp, F.sum(F.col(column)).over(Window.partitionBy()))
+    num, den = unscaled(column, value_scale), unscaled(tmp, value_scale)
+    return with_total.withColumn(
+        out, F.when(F.col(tmp) != 0, round_ratio(num, F.when(F.col(tmp) != 0, den), scale, factor=100))
+    ).drop(tmp)

@@ -200,29 +200,37 @@ def _seller_orders(t: Tables) -> DataFrame:
 
 def worst_sellers(t: Tables, min_reviews: int = 50, k: int = 25) -> DataFrame:
     """4.4 sellers with at least ``min_reviews`` distinct reviews, highest
-    negative share first."""
-    seller_orders = _seller_orders(t)
-    measures = seller_orders.groupBy("seller_id").agg(
-        F.count(F.lit(1)).alias("total_orders"), *weighted_review_measures(F.col("n_items"))
+    negative share first.
+
+    One pass: items reduced to (order, seller, item count), joined to the
+    review rows of delivered orders; each row stands for ``n_items`` rows of
+    the source's fan-out join.  Distinct orders and distinct review ids (ids
+    may repeat) are exact distinct counts of the same aggregation."""
+    score = F.col(REVIEW_SCORE)
+    n_items = F.col("n_items")
+    reviews = t["order_reviews"].select("order_id", "review_id", REVIEW_SCORE).join(
+        delivered_orders(t, "order_id"), "order_id"
     )
-    # Distinct review ids per seller (ids may repeat across orders).
-    reviews = (
-        seller_orders.select("order_id", "seller_id")
-        .join(t["order_reviews"].select("order_id", "review_id"), "order_id")
-        .groupBy("seller_id")
-        .agg(F.count_distinct("review_id").alias("total_reviews"))
+    rows = t["order_items"].groupBy("order_id", "seller_id").agg(F.count(F.lit(1)).alias("n_items")).join(
+        reviews, "order_id"
     )
-    sellers = t["sellers"].select("seller_id", "seller_state").distinct()
-    joined = measures.join(reviews, "seller_id").join(sellers, "seller_id").filter(
-        F.col("total_reviews") >= min_reviews
+    measures = rows.groupBy("seller_id").agg(
+        F.count_distinct("order_id").alias("total_orders"),
+        F.count_distinct("review_id").alias("total_reviews"),
+        F.sum(n_items).alias("n_rows"),
+        F.sum(F.when(score.isNotNull(), n_items)).alias("n_scored"),
+        F.sum(n_items * score).alias("score_sum"),
+        F.sum(F.when(score <= NEGATIVE_MAX_SCORE, n_items)).alias("n_negative"),
     )
+    sellers = t["sellers"].select("seller_id", "seller_state").distinct()
+    joined = measures.filter(F.col("total_reviews") >= min_reviews).join(sellers, "seller_id")
     out = joined.select(
         "seller_id",
         "seller_state",
         "total_orders",
         "total_reviews",
         exact_avg("score_sum", "n_scored", 2).alias("avg_review_score"),
-        round_ratio("n_negative", "n_rows", 1, factor=100).alias("pct_negative_reviews"),
+        round_ratio(F.coalesce(F.col("n_negative"), F.lit(0)), "n_rows", 1, factor=100).alias("pct_negative_reviews"),
     )
     return top_k(
         out,
