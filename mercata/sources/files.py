@@ -84,14 +84,19 @@ def write_report(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.format(fmt).save(path)
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select ``schema``'s columns in order, casting present ones and adding
-    absent ones as typed NULLs."""
-    present = set(df.columns)
-    cols = []
+def conform(df: DataFrame, schema: T.StructType, cast_present: bool = True) -> DataFrame:
+    """Select ``schema``'s columns in order, adding absent ones as typed
+    NULLs.  Present columns are cast to the schema's type unless
+    ``cast_present`` is false (then they keep their own type, e.g. numeric
+    keys of a fixture)."""
+    current = {f.name: f.dataType for f in df.schema.fields}
+    exprs = []
     for field in schema.fields:
-        if field.name in present:
-            cols.append(F.col(field.name).cast(field.dataType).alias(field.name))
+        target = field.dataType.simpleString()
+        if field.name not in current:
+            exprs.append(f"CAST(NULL AS {target}) AS `{field.name}`")
+        elif current[field.name] == field.dataType or not cast_present:
+            exprs.append(f"`{field.name}`")
         else:
-            cols.append(F.lit(None).cast(field.dataType).alias(field.name))
-    return df.select(*cols)
+            exprs.append(f"CAST(`{field.name}` AS {target}) AS `{field.name}`")
+    return df.selectExpr(*exprs)

@@ -42,8 +42,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def _id(col: str) -> F.Column:
-    return F.col(col).cast("string")
+def _conform(df: DataFrame, table: str) -> DataFrame:
+    # Keys keep the test data's bigint type: ids are opaque to every report,
+    # and numeric keys hash and compare faster than their decimal strings.
+    return conform(df, SCHEMAS[table], cast_present=False)
 
 
 def marketplace_from_testdata(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -68,8 +70,8 @@ def marketplace_from_testdata(spark: SparkSession, sf_dir: str) -> dict[str, Dat
     )
     orders_keyed = orders_raw.select(
         key.alias("order_key"),
-        _id("o_orderkey").alias("order_id"),
-        _id("o_orderkey").alias("customer_id"),
+        F.col("o_orderkey").alias("order_id"),
+        F.col("o_orderkey").alias("customer_id"),
         F.when(F.col("o_orderstatus") == "F", "delivered")
         .when(F.col("o_orderstatus") == "O", "shipped")
         .otherwise("canceled")
@@ -78,45 +80,45 @@ def marketplace_from_testdata(spark: SparkSession, sf_dir: str) -> dict[str, Dat
         delivered.alias("order_delivered_customer_date"),
         estimated.alias("order_estimated_delivery_date"),
     )
-    orders = conform(orders_keyed, SCHEMAS["orders"])
+    orders = _conform(orders_keyed, "orders")
 
-    customers = conform(
+    customers = _conform(
         orders_raw.join(customer, orders_raw.o_custkey == customer.c_custkey)
         .join(nation, customer.c_nationkey == nation.n_nationkey)
         .select(
-            _id("o_orderkey").alias("customer_id"),
-            _id("o_custkey").alias("customer_unique_id"),
+            F.col("o_orderkey").alias("customer_id"),
+            F.col("o_custkey").alias("customer_unique_id"),
             F.col("n_name").alias("customer_state"),
         ),
-        SCHEMAS["customers"],
+        "customers",
     )
 
-    order_items = conform(
+    order_items = _conform(
         lineitem.select(
-            _id("l_orderkey").alias("order_id"),
+            F.col("l_orderkey").alias("order_id"),
             F.col("l_linenumber").alias("order_item_id"),
-            _id("l_partkey").alias("product_id"),
-            _id("l_suppkey").alias("seller_id"),
+            F.col("l_partkey").alias("product_id"),
+            F.col("l_suppkey").alias("seller_id"),
             F.col("l_shipdate").alias("shipping_limit_date"),
             F.col("l_extendedprice").cast("decimal(10,2)").alias("price"),
             F.col("l_quantity").cast("decimal(10,2)").alias("freight_value"),
         ),
-        SCHEMAS["order_items"],
+        "order_items",
     )
 
-    sellers = conform(
+    sellers = _conform(
         supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(
-            _id("s_suppkey").alias("seller_id"), F.col("n_name").alias("seller_state")
+            F.col("s_suppkey").alias("seller_id"), F.col("n_name").alias("seller_state")
         ),
-        SCHEMAS["sellers"],
+        "sellers",
     )
 
-    products = conform(
+    products = _conform(
         part.select(
-            _id("p_partkey").alias("product_id"),
+            F.col("p_partkey").alias("product_id"),
             F.when(F.col("p_partkey") % 29 != 0, F.col("p_type")).alias("product_category_name"),
         ),
-        SCHEMAS["products"],
+        "products",
     )
 
     translation = spark.createDataFrame(
@@ -129,16 +131,16 @@ def marketplace_from_testdata(spark: SparkSession, sf_dir: str) -> dict[str, Dat
     late = F.col("order_delivered_customer_date") > F.col("order_estimated_delivery_date")
     first = orders_keyed.filter(ok % 10 != 0).withColumn("k", F.lit(0))
     second = orders_keyed.filter(ok % 50 == 1).withColumn("k", F.lit(1))
-    reviews = conform(
+    reviews = _conform(
         first.unionByName(second).select(
-            (ok * 10 + F.col("k")).cast("string").alias("review_id"),
+            (ok * 10 + F.col("k")).alias("review_id"),
             F.col("order_id"),
             F.when(late, 1 + (ok * 13 + F.col("k")) % 3)
             .otherwise(3 + (ok * 13 + F.col("k")) % 3)
             .cast("int")
             .alias("review_score"),
         ),
-        SCHEMAS["order_reviews"],
+        "order_reviews",
     )
 
     return {

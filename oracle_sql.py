@@ -28,8 +28,8 @@ WITH
 m_orders AS (
     SELECT
         o_orderkey AS order_key,
-        CAST(o_orderkey AS VARCHAR) AS order_id,
-        CAST(o_orderkey AS VARCHAR) AS customer_id,
+        o_orderkey AS order_id,
+        o_orderkey AS customer_id,
         CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'shipped' ELSE 'canceled' END AS order_status,
         o_orderdate AS order_purchase_timestamp,
         CASE WHEN o_orderstatus = 'F' AND o_orderkey % 97 <> 0
@@ -41,28 +41,28 @@ m_orders AS (
     FROM orders
 ),
 m_customers AS (
-    SELECT CAST(o.o_orderkey AS VARCHAR) AS customer_id,
-           CAST(o.o_custkey AS VARCHAR) AS customer_unique_id,
+    SELECT o.o_orderkey AS customer_id,
+           o.o_custkey AS customer_unique_id,
            n.n_name AS customer_state
     FROM orders o
     JOIN customer c ON o.o_custkey = c.c_custkey
     JOIN nation n ON c.c_nationkey = n.n_nationkey
 ),
 m_items AS (
-    SELECT CAST(l_orderkey AS VARCHAR) AS order_id,
+    SELECT l_orderkey AS order_id,
            l_linenumber AS order_item_id,
-           CAST(l_partkey AS VARCHAR) AS product_id,
-           CAST(l_suppkey AS VARCHAR) AS seller_id,
+           l_partkey AS product_id,
+           l_suppkey AS seller_id,
            CAST(l_extendedprice AS DECIMAL(10,2)) AS price,
            CAST(l_quantity AS DECIMAL(10,2)) AS freight_value
     FROM lineitem
 ),
 m_sellers AS (
-    SELECT CAST(s_suppkey AS VARCHAR) AS seller_id, n_name AS seller_state
+    SELECT s_suppkey AS seller_id, n_name AS seller_state
     FROM supplier JOIN nation ON s_nationkey = n_nationkey
 ),
 m_products AS (
-    SELECT CAST(p_partkey AS VARCHAR) AS product_id,
+    SELECT p_partkey AS product_id,
            CASE WHEN p_partkey % 29 <> 0 THEN p_type END AS product_category_name
     FROM part
 ),
@@ -77,7 +77,7 @@ m_review_keys AS (
     FROM m_orders WHERE order_key % 50 = 1
 ),
 m_reviews AS (
-    SELECT CAST(order_key * 10 + k AS VARCHAR) AS review_id,
+    SELECT order_key * 10 + k AS review_id,
            order_id,
            CAST(CASE WHEN order_delivered_customer_date > order_estimated_delivery_date
                      THEN 1 + (order_key * 13 + k) % 3
