@@ -26,9 +26,11 @@ def load_csv(
     """Read one table's CSV with its declared schema (no inference).
 
     Header row, ``"`` as quote and escape (RFC 4180 doubled quotes), an
-    unquoted empty field is NULL and a quoted empty field is ``''``.  A row
-    that does not fit the schema aborts the load (``FAILFAST``), like a bulk
-    ``COPY``.
+    unquoted empty field is NULL and a quoted empty field is ``''`` (the
+    parser yields NULL for unquoted empties by itself; ``nullValue`` is set
+    to a NUL character, which never occurs in text, so that Spark does not
+    also turn the quoted empty string into NULL).  A row that does not fit
+    the schema aborts the load (``FAILFAST``), like a bulk ``COPY``.
     """
     schema = SCHEMAS[table]
     if multi_line is None:
@@ -39,8 +41,7 @@ def load_csv(
         .option("mode", mode)
         .option("quote", '"')
         .option("escape", '"')
-        .option("nullValue", "")
-        .option("emptyValue", "")
+        .option("nullValue", "\u0000")
         .option("multiLine", multi_line)
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
         .csv(path)

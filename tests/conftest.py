@@ -22,3 +22,20 @@ def fixture_tables(spark):
     from mercata.sources import marketplace_from_testdata
 
     return marketplace_from_testdata(spark, SF_SMALL)
+
+
+def make_table(spark, name, rows):
+    """A marketplace table from dicts; absent columns are NULL."""
+    from mercata.schemas import SCHEMAS
+
+    schema = SCHEMAS[name]
+    data = [tuple(r.get(f.name) for f in schema.fields) for r in rows]
+    return spark.createDataFrame(data, schema)
+
+
+@pytest.fixture
+def mk(spark):
+    def build(**tables):
+        return {name: make_table(spark, name, rows) for name, rows in tables.items()}
+
+    return build
