@@ -201,3 +201,17 @@ def test_repartitioning_input_changes_nothing(fixture_tables):
     a = sorted(map(tuple, plans.rfm_segments(fixture_tables, FIXTURE_ANCHOR, k=None).collect()))
     b = sorted(map(tuple, plans.rfm_segments(shuffled, FIXTURE_ANCHOR, k=None, bins=3).collect()))
     assert a == b
+
+
+def test_run_all_writes_every_report(spark, fixture_tables, tmp_path):
+    from mercata.plans.pipeline import report_builders, run_all
+    from mercata.sources.testdata import FIXTURE_ANCHOR, FIXTURE_FROM_COHORT, FIXTURE_REVENUE_RANGE, FIXTURE_SAMPLE_COHORT
+
+    out = str(tmp_path / "reports")
+    reports = run_all(
+        fixture_tables, out, anchor=FIXTURE_ANCHOR, from_cohort=FIXTURE_FROM_COHORT,
+        sample_cohort=FIXTURE_SAMPLE_COHORT, revenue_range=FIXTURE_REVENUE_RANGE,
+    )
+    assert set(reports) == set(report_builders())
+    back = spark.read.parquet(str(tmp_path / "reports" / "two_tier_segment_summary"))
+    assert back.count() == reports["two_tier_segment_summary"].count()
