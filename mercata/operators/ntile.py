@@ -7,10 +7,11 @@ the work spread over many tasks:
 1. Count the rows (``N``) and draw a bounded seeded sample of the sort keys.
    The sample (at most ``samples_per_bin * max_bins`` rows) is the only thing
    that reaches the driver; its sorted quantiles become split points.
-2. Each row's bin is the number of split points at or below its key.  The
-   lookup is a balanced tree of comparisons (depth log2 of the bin count),
-   an ordinary codegen'd expression, so a row's bin depends on the row alone:
-   retries, AQE and re-planning cannot move rows between bins.
+2. Each row's bin is the number of split points at or below its key, found
+   by an unrolled binary search over the split points held in one array
+   literal (log2 of the bin count small projections, all inside whole-stage
+   codegen).  A row's bin depends on the row alone: retries, AQE and
+   re-planning cannot move rows between bins.
 3. ``row_number()`` over ``Window.partitionBy(bin).orderBy(keys)`` ranks the
    rows inside their bin (one shuffle on the bin, sorted per task).  The row
    counts per bin -- one small aggregate job for all specs, at most
@@ -40,7 +41,6 @@ from __future__ import annotations
 
 import datetime as dt
 import decimal
-import functools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -89,29 +89,6 @@ def desc(column: str, nulls_first: bool | None = None) -> SortKey:
     return SortKey(column, False, nulls_first)
 
 
-def _cmp_values(a: Any, b: Any, key: SortKey) -> int:
-    if a is None or b is None:
-        if a is None and b is None:
-            return 0
-        first = -1 if key.nulls_go_first else 1
-        return first if a is None else -first
-    if a == b:
-        return 0
-    less = a < b
-    return (-1 if less else 1) if key.ascending else (1 if less else -1)
-
-
-def _sort_rows(rows: list[tuple], keys: Sequence[SortKey]) -> list[tuple]:
-    def cmp(x: tuple, y: tuple) -> int:
-        for i, key in enumerate(keys):
-            c = _cmp_values(x[i], y[i], key)
-            if c:
-                return c
-        return 0
-
-    return sorted(rows, key=functools.cmp_to_key(cmp))
-
-
 def _sql_literal(value: Any) -> str:
     """A Spark SQL literal for a sampled key value (exact for every type)."""
     if value is None:
@@ -135,39 +112,57 @@ def _sql_literal(value: Any) -> str:
     raise TypeError(f"unsupported NTILE key type {type(value).__name__}")
 
 
-def _before(keys: Sequence[SortKey], split: tuple) -> str:
-    """SQL: the row sorts strictly before ``split`` (lexicographic)."""
+def _lexi_before(keys: Sequence[SortKey], split: str) -> str:
+    """SQL: the row sorts strictly before the struct ``split`` (fields k0..)."""
     expr: str | None = None
-    for key, value in reversed(list(zip(keys, split))):
-        c = f"`{key.column}`"
-        if value is None:
-            lt = "FALSE" if key.nulls_go_first else f"({c} IS NOT NULL)"
-            eq = f"({c} IS NULL)"
-        else:
-            lit = _sql_literal(value)
-            op = "<" if key.ascending else ">"
-            lt = f"(CASE WHEN {c} IS NULL THEN {'TRUE' if key.nulls_go_first else 'FALSE'} ELSE {c} {op} {lit} END)"
-            eq = f"({c} <=> {lit})"
-        expr = lt if expr is None else f"({lt} OR ({eq} AND {expr}))"
+    for i in reversed(range(len(keys))):
+        key = keys[i]
+        c, v = f"`{key.column}`", f"{split}.k{i}"
+        op = "<" if key.ascending else ">"
+        first = "TRUE" if key.nulls_go_first else "FALSE"
+        last = "FALSE" if key.nulls_go_first else "TRUE"
+        lt = (
+            f"(CASE WHEN {c} IS NULL AND {v} IS NULL THEN FALSE WHEN {c} IS NULL THEN {first} "
+            f"WHEN {v} IS NULL THEN {last} ELSE {c} {op} {v} END)"
+        )
+        expr = lt if expr is None else f"({lt} OR (({c} <=> {v}) AND {expr}))"
     assert expr is not None
     return expr
 
 
-def _bin_expr(keys: Sequence[SortKey], splits: Sequence[tuple]) -> Column:
-    """Number of split points <= the row's key, as a balanced comparison tree
-    (built as one SQL expression: a single call into the JVM)."""
-
-    def tree(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"CASE WHEN {_before(keys, splits[mid])} THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END"
-
-    return F.expr(tree(0, len(splits)))
+def _add_bin(df: DataFrame, keys: Sequence[SortKey], splits: Sequence[tuple], out: str) -> DataFrame:
+    """Add ``out`` = number of split points at or below the row's key.
+
+    The sorted split points are one array literal (data, not code); an
+    unrolled binary search of ceil(log2(len+1)) small projections narrows
+    ``[lo, hi]`` to the answer, so each row costs O(log bins) comparisons and
+    the generated code stays small for any number of bins."""
+    if not splits:
+        return df.withColumn(out, F.lit(0))
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    structs = []
+    for split in splits:
+        fields = ", ".join(
+            f"'k{i}', CAST({_sql_literal(v)} AS {types[k.column]})" for i, (k, v) in enumerate(zip(keys, split))
+        )
+        structs.append(f"named_struct({fields})")
+    arr, lo, hi = f"{out}__splits", f"{out}__lo", f"{out}__hi"
+    n = len(splits)
+    df = df.withColumn(arr, F.expr(f"array({', '.join(structs)})")).withColumn(lo, F.lit(0)).withColumn(hi, F.lit(n))
+    mid = f"((`{lo}` + `{hi}`) div 2)"
+    probe = f"element_at(`{arr}`, CAST(least({mid}, {n - 1}) + 1 AS INT))"
+    before = _lexi_before(keys, probe)
+    for _ in range(math.ceil(math.log2(n + 1))):
+        df = df.select(
+            *[c for c in df.columns if c not in (lo, hi)],
+            F.expr(f"CASE WHEN `{lo}` < `{hi}` AND NOT {before} THEN {mid} + 1 ELSE `{lo}` END").alias(lo),
+            F.expr(f"CASE WHEN `{lo}` < `{hi}` AND {before} THEN {mid} ELSE `{hi}` END").alias(hi),
+        )
+    return df.withColumn(out, F.col(lo).cast("int")).drop(lo, hi, arr)
 
 
-def _choose_splits(sample: list[tuple], keys: Sequence[SortKey], bins: int) -> list[tuple]:
-    ordered = _sort_rows(sample, keys)
+def _pick_splits(ordered: list[tuple], bins: int) -> list[tuple]:
+    """Every (len/bins)-th key of a sorted sample, without repeats."""
     splits: list[tuple] = []
     for j in range(1, bins):
         candidate = ordered[(j * len(ordered)) // bins]
@@ -176,6 +171,23 @@ def _choose_splits(sample: list[tuple], keys: Sequence[SortKey], bins: int) -> l
     return splits
 
 
+def _sorted_samples(sample: DataFrame, specs: Sequence[NtileSpec], key_columns: list[str]) -> list[list[tuple]]:
+    """The sample's keys in each spec's order, ranked by Spark itself (so the
+    split order follows exactly the comparisons of the search) in one job;
+    the sample is bounded, so ranking it in one partition is cheap."""
+    ranks = [
+        F.row_number().over(Window.orderBy(*[k.sort_column() for k in spec.order_by])).alias(f"__r{i}")
+        for i, spec in enumerate(specs)
+    ]
+    rows = sample.select(*key_columns, *ranks).collect()
+    out = []
+    for i, spec in enumerate(specs):
+        pos = [key_columns.index(k.column) for k in spec.order_by]
+        ordered = sorted(rows, key=lambda r: r[f"__r{i}"])
+        out.append([tuple(r[p] for p in pos) for r in ordered])
+    return out
+
+
 def _materialise(df: DataFrame, how: str) -> DataFrame:
     if how == "auto":
         how = "persist"
@@ -204,10 +216,10 @@ def add_ntiles(
     specs: Sequence[NtileSpec],
     *,
     bins: int | None = None,
-    rows_per_bin: int = 4_000_000,
+    rows_per_bin: int = 2_000_000,
     min_rows_per_bin: int = 100,
-    max_bins: int = 512,
-    samples_per_bin: int = 32,
+    max_bins: int = 4096,
+    samples_per_bin: int = 16,
     seed: int = 20240601,
     materialise: str = "auto",
 ) -> DataFrame:
@@ -244,19 +256,18 @@ def add_ntiles(
         for key in spec.order_by:
             if key.column not in key_columns:
                 key_columns.append(key.column)
-    sample: list[tuple] = []
+    sample = None
     if bins > 1:
         fraction = min(1.0, samples_per_bin * bins / total)
-        sample = [tuple(r) for r in base.select(*key_columns).sample(False, fraction, seed).collect()]
+        sample = base.select(*key_columns).sample(False, fraction, seed)
 
+    ordered = _sorted_samples(sample, specs, key_columns) if sample is not None else [[] for _ in specs]
     binned = base
     bin_cols = []
     for idx, spec in enumerate(specs):
-        position = [key_columns.index(k.column) for k in spec.order_by]
-        rows = [tuple(s[p] for p in position) for s in sample]
-        splits = _choose_splits(rows, spec.order_by, bins) if rows else []
+        splits = _pick_splits(ordered[idx], bins) if ordered[idx] else []
         bin_col = f"__ntile_bin_{idx}"
-        binned = binned.withColumn(bin_col, _bin_expr(spec.order_by, splits) if splits else F.lit(0))
+        binned = _add_bin(binned, spec.order_by, splits, bin_col)
         bin_cols.append((bin_col, len(splits) + 1))
 
     # Rows per bin of every spec in one small job (at most max_bins numbers
