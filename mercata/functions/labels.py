@@ -9,6 +9,7 @@ to later rules, again like SQL.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column
@@ -18,24 +19,34 @@ Bounds = tuple[Any, Any]
 Rule = tuple[str, dict[str, Bounds]]
 
 
-def _condition(bounds: dict[str, Bounds], cols: dict[str, Column] | None) -> Column:
-    cond = F.lit(True)
+def _sql_value(value: Any) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, (int, float, Decimal)):
+        return f"({value}BD)" if isinstance(value, Decimal) else f"({value})"
+    raise TypeError(f"unsupported rule bound {value!r}")
+
+
+def _condition(bounds: dict[str, Bounds], cols: dict[str, str] | None) -> str:
+    parts = []
     for name, (low, high) in bounds.items():
-        c = (cols or {}).get(name, F.col(name))
+        c = f"`{(cols or {}).get(name, name)}`"
         if low is not None:
-            cond = cond & (c >= F.lit(low))
+            parts.append(f"{c} >= {_sql_value(low)}")
         if high is not None:
-            cond = cond & (c <= F.lit(high))
-    return cond
+            parts.append(f"{c} <= {_sql_value(high)}")
+    return " AND ".join(parts) or "TRUE"
 
 
-def label_by_rules(rules: Sequence[Rule], default: str, cols: dict[str, Column] | None = None) -> Column:
-    """Searched CASE over range rules; ``cols`` maps rule names to columns."""
-    expr = None
-    for label, bounds in rules:
-        cond = _condition(bounds, cols)
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    return F.lit(default) if expr is None else expr.otherwise(F.lit(default))
+def label_by_rules(rules: Sequence[Rule], default: str, cols: dict[str, str] | None = None) -> Column:
+    """Searched CASE over range rules; ``cols`` maps rule names to column
+    names.  Built as one SQL expression (a single call into the JVM)."""
+    if not rules:
+        return F.lit(default)
+    branches = " ".join(f"WHEN {_condition(b, cols)} THEN {_sql_value(label)}" for label, b in rules)
+    return F.expr(f"CASE {branches} ELSE {_sql_value(default)} END")
 
 
 def band(cuts: Sequence[Any], labels: Sequence[str], test: Callable[[Any], Column]) -> Column:

@@ -130,35 +130,50 @@ def _lexi_before(keys: Sequence[SortKey], split: str) -> str:
     return expr
 
 
-def _add_bin(df: DataFrame, keys: Sequence[SortKey], splits: Sequence[tuple], out: str) -> DataFrame:
-    """Add ``out`` = number of split points at or below the row's key.
-
-    The sorted split points are one array literal (data, not code); an
-    unrolled binary search of ceil(log2(len+1)) small projections narrows
-    ``[lo, hi]`` to the answer, so each row costs O(log bins) comparisons and
-    the generated code stays small for any number of bins."""
-    if not splits:
-        return df.withColumn(out, F.lit(0))
+def _add_bins(df: DataFrame, specs: Sequence[NtileSpec], all_splits: Sequence[Sequence[tuple]], names: Sequence[str]) -> DataFrame:
+    """Add one column per spec: the number of its split points at or below
+    the row's key.
+
+    Each spec's sorted split points are one array literal (data, not code);
+    an unrolled binary search narrows ``[lo, hi]`` to the answer in
+    ceil(log2(len+1)) projections, every projection advancing all specs at
+    once.  Each row costs O(log bins) comparisons and the generated code stays
+    small for any number of bins."""
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    structs = []
-    for split in splits:
-        fields = ", ".join(
-            f"'k{i}', CAST({_sql_literal(v)} AS {types[k.column]})" for i, (k, v) in enumerate(zip(keys, split))
-        )
-        structs.append(f"named_struct({fields})")
-    arr, lo, hi = f"{out}__splits", f"{out}__lo", f"{out}__hi"
-    n = len(splits)
-    df = df.withColumn(arr, F.expr(f"array({', '.join(structs)})")).withColumn(lo, F.lit(0)).withColumn(hi, F.lit(n))
-    mid = f"((`{lo}` + `{hi}`) div 2)"
-    probe = f"element_at(`{arr}`, CAST(least({mid}, {n - 1}) + 1 AS INT))"
-    before = _lexi_before(keys, probe)
-    for _ in range(math.ceil(math.log2(n + 1))):
-        df = df.select(
-            *[c for c in df.columns if c not in (lo, hi)],
+    init, searches = [], []
+    for spec, splits, out in zip(specs, all_splits, names):
+        if not splits:
+            init.append(F.lit(0).alias(out))
+            continue
+        structs = []
+        for split in splits:
+            fields = ", ".join(
+                f"'k{i}', CAST({_sql_literal(v)} AS {types[k.column]})"
+                for i, (k, v) in enumerate(zip(spec.order_by, split))
+            )
+            structs.append(f"named_struct({fields})")
+        arr, lo, hi = f"{out}__splits", f"{out}__lo", f"{out}__hi"
+        n = len(splits)
+        init += [F.expr(f"array({', '.join(structs)})").alias(arr), F.lit(0).alias(lo), F.lit(n).alias(hi)]
+        mid = f"((`{lo}` + `{hi}`) div 2)"
+        before = _lexi_before(spec.order_by, f"element_at(`{arr}`, CAST(least({mid}, {n - 1}) + 1 AS INT))")
+        step = [
             F.expr(f"CASE WHEN `{lo}` < `{hi}` AND NOT {before} THEN {mid} + 1 ELSE `{lo}` END").alias(lo),
             F.expr(f"CASE WHEN `{lo}` < `{hi}` AND {before} THEN {mid} ELSE `{hi}` END").alias(hi),
+        ]
+        searches.append((math.ceil(math.log2(n + 1)), lo, hi, arr, out, step))
+    df = df.select("*", *init)
+    for depth in range(max((s[0] for s in searches), default=0)):
+        moving = [s for s in searches if depth < s[0]]
+        replaced = {c for s in moving for c in (s[1], s[2])}
+        df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in replaced], *[e for s in moving for e in s[5]])
+    if searches:
+        done = {c for s in searches for c in (s[1], s[2], s[3])}
+        df = df.select(
+            *[F.col(f"`{c}`") for c in df.columns if c not in done],
+            *[F.col(f"`{s[1]}`").cast("int").alias(s[4]) for s in searches],
         )
-    return df.withColumn(out, F.col(lo).cast("int")).drop(lo, hi, arr)
+    return df
 
 
 def _pick_splits(ordered: list[tuple], bins: int) -> list[tuple]:
@@ -262,13 +277,10 @@ def add_ntiles(
         sample = base.select(*key_columns).sample(False, fraction, seed)
 
     ordered = _sorted_samples(sample, specs, key_columns) if sample is not None else [[] for _ in specs]
-    binned = base
-    bin_cols = []
-    for idx, spec in enumerate(specs):
-        splits = _pick_splits(ordered[idx], bins) if ordered[idx] else []
-        bin_col = f"__ntile_bin_{idx}"
-        binned = _add_bin(binned, spec.order_by, splits, bin_col)
-        bin_cols.append((bin_col, len(splits) + 1))
+    splits = [_pick_splits(rows, bins) if rows else [] for rows in ordered]
+    bin_names = [f"__ntile_bin_{idx}" for idx in range(len(specs))]
+    binned = _add_bins(base, specs, splits, bin_names)
+    bin_cols = [(name, len(sp) + 1) for name, sp in zip(bin_names, splits)]
 
     # Rows per bin of every spec in one small job (at most max_bins numbers
     # per spec reach the driver); running sums give each bin's offset.
@@ -288,17 +300,16 @@ def add_ntiles(
             running += c
         offsets.append(offs)
 
-    out = binned
+    ranks, buckets = [], []
     for idx, spec in enumerate(specs):
         bin_col, rank_col = bin_cols[idx][0], f"__ntile_rank_{idx}"
         window = Window.partitionBy(bin_col).orderBy(*[k.sort_column() for k in spec.order_by])
         offset = F.expr(f"element_at(array({', '.join(f'{o}L' for o in offsets[idx])}), `{bin_col}` + 1)")
-        out = (
-            out.withColumn(rank_col, offset + F.row_number().over(window) - 1)
-            .withColumn(spec.out, _bucket_expr(rank_col, total, spec.n))
-            .drop(rank_col)
-        )
-    return out.drop(*[c for c, _ in bin_cols])
+        ranks.append((offset + F.row_number().over(window) - 1).alias(rank_col))
+        buckets.append(_bucket_expr(rank_col, total, spec.n).alias(spec.out))
+    ranked = binned.select("*", *ranks)
+    keep = [F.col(f"`{c}`") for c in binned.columns if not c.startswith("__ntile_")]
+    return ranked.select(*keep, *buckets)
 
 
 def global_ntile(

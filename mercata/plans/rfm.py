@@ -39,12 +39,12 @@ def rfm_top(t: Tables, anchor: Anchor = None, k: int = 20) -> DataFrame:
 def rfm_segment(score_cols: dict[str, str] | None = None) -> F.Column:
     """Standard RFM segment label over columns r_score, f_score, m_score."""
     names = score_cols or {"r": "r_score", "f": "f_score", "m": "m_score"}
-    return label_by_rules(RFM_RULES, RFM_DEFAULT, {k: F.col(v) for k, v in names.items()})
+    return label_by_rules(RFM_RULES, RFM_DEFAULT, names)
 
 
 def two_tier_segment() -> F.Column:
     """Two-tier segment label over frequency, r_score and m_score."""
-    cols = {"freq": F.col("frequency"), "r": F.col("r_score"), "m": F.col("m_score")}
+    cols = {"freq": "frequency", "r": "r_score", "m": "m_score"}
     return label_by_rules(TWO_TIER_RULES, TWO_TIER_DEFAULT, cols)
 
 
@@ -94,10 +94,9 @@ def customer_frequency(t: Tables) -> DataFrame:
 
 def purchase_frequency(t: Tables) -> DataFrame:
     """2.5 how many people bought once, twice, ... with their share."""
-    n = F.col("order_count")
     grouped = (
         customer_frequency(t)
-        .withColumn("purchase_pattern", label_by_rules(PURCHASE_PATTERN_RULES, PURCHASE_PATTERN_DEFAULT, {"n": n}))
+        .withColumn("purchase_pattern", label_by_rules(PURCHASE_PATTERN_RULES, PURCHASE_PATTERN_DEFAULT, {"n": "order_count"}))
         .groupBy("purchase_pattern")
         .agg(F.count(F.lit(1)).alias("customers"), F.min("order_count").alias("_min_orders"))
     )
