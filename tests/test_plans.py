@@ -1,0 +1,82 @@
+"""Plan-level checks: pushdown, pruning and no single-partition NTILE."""
+
+import datetime as dt
+import random
+from decimal import ROUND_HALF_UP, Decimal
+
+from pyspark.sql import functions as F
+
+from mercata import plans
+from mercata.functions import round_ratio
+from mercata.sources import load_marketplace_parquet, write_tables
+from tests.conftest import make_table
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_reach_parquet_scan(spark, tmp_path, capsys):
+    ts = dt.datetime(2017, 3, 1)
+    tables = {
+        "orders": make_table(spark, "orders", [
+            {"order_id": "o1", "customer_id": "c1", "order_status": "delivered", "order_purchase_timestamp": ts},
+            {"order_id": "o2", "customer_id": "c2", "order_status": "canceled", "order_purchase_timestamp": ts},
+        ]),
+        "order_items": make_table(spark, "order_items", [
+            {"order_id": "o1", "order_item_id": 1, "price": Decimal("1.00"), "freight_value": Decimal("0.50")},
+        ]),
+    }
+    write_tables(tables, str(tmp_path))
+    t = load_marketplace_parquet(spark, str(tmp_path))
+    capsys.readouterr()
+    plans.monthly_revenue(t, "2017-01-01", "2018-01-01").explain("formatted")
+    text = capsys.readouterr().out
+    scans = [block for block in text.split("\n\n") if "Scan parquet" in block and "order_status" in block]
+    scan = scans[0]
+    pushed = [line for line in scan.splitlines() if line.startswith("PushedFilters")][0]
+    assert "EqualTo(order_status,delivered)" in pushed
+    assert "GreaterThanOrEqual(order_purchase_timestamp" in pushed and "LessThan(order_purchase_timestamp" in pushed
+    # column pruning: the orders scan reads only the three columns the report needs
+    assert "ReadSchema: struct<order_id:string,order_status:string,order_purchase_timestamp:timestamp_ntz>" in scan
+    assert plans.monthly_revenue(t, "2017-01-01", "2018-01-01").first()["revenue"] == Decimal("1.50")
+
+
+def test_registered_ntile_has_no_single_partition(spark):
+    from __spark_entry__ import queries
+    from tests.conftest import SF_SMALL
+
+    for name in ("op_global_ntile_asc", "op_global_ntile_composite", "op_rfm_scores_all"):
+        assert "SinglePartition" not in _plan(queries()[name](spark, SF_SMALL)), name
+
+
+def test_no_python_udfs_in_reports(spark, fixture_tables):
+    from mercata.sources.testdata import FIXTURE_ANCHOR
+
+    for df in (
+        plans.two_tier_segment_summary(fixture_tables, FIXTURE_ANCHOR),
+        plans.worst_sellers(fixture_tables),
+        plans.retention_matrix(fixture_tables, "1995-02-01"),
+    ):
+        plan = _plan(df)
+        assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_round_ratio_matches_decimal_on_random_inputs(spark):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(800):
+        d = rng.randint(1, 10**12)
+        n = rng.randint(-(10**15), 10**15)
+        rows.append((n, d, rng.randint(0, 3), rng.choice([1, 100])))
+    df = spark.createDataFrame(rows, "n long, d long, k int, f int")
+    got = {}
+    for k in range(4):
+        for f in (1, 100):
+            sub = df.filter((F.col("k") == k) & (F.col("f") == f))
+            for r in sub.select("n", "d", round_ratio("n", "d", k, f).alias("v")).collect():
+                got[(r["n"], r["d"], k, f)] = r["v"]
+    for n, d, k, f in rows:
+        want = (Decimal(f * n) / Decimal(d)).quantize(Decimal(1).scaleb(-k), rounding=ROUND_HALF_UP)
+        assert got[(n, d, k, f)] == want, (n, d, k, f)
