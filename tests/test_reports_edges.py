@@ -3,7 +3,6 @@
 import datetime as dt
 from decimal import Decimal
 
-import pytest
 
 from mercata import plans
 from mercata.plans import entities as E
