@@ -36,14 +36,14 @@ def round_ratio(num: Column | str, den: Column | str, scale: int, factor: int =
     """``ROUND(factor * num / den, scale)`` exactly, half away from zero.
 
     ``num`` and ``den`` must be integer valued (use :func:`unscaled` for
-    decimals); ``den`` must be positive.  Returns ``decimal(38, scale)``;
-    NULL when either input is NULL.
+    decimals) and ``den`` non-zero; either may be negative.  Returns
+    ``decimal(38, scale)``; NULL when either input is NULL.
     """
     n = _col(num).cast(D38)
     d = _col(den).cast(D38)
     twice = F.lit(2 * factor * 10**scale).cast(D38)
-    q = _floor_div(F.abs(n) * twice + d, d * F.lit(2).cast(D38))
-    signed = F.when(n < 0, -q).otherwise(q)
+    q = _floor_div(F.abs(n) * twice + F.abs(d), F.abs(d) * F.lit(2).cast(D38))
+    signed = F.when((n < 0) != (d < 0), -q).otherwise(q)
     return (signed / F.lit(10**scale).cast(D38)).cast(f"decimal(38,{scale})")
 
 

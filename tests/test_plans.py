@@ -67,7 +67,7 @@ def test_round_ratio_matches_decimal_on_random_inputs(spark):
     rng = random.Random(11)
     rows = []
     for _ in range(800):
-        d = rng.randint(1, 10**12)
+        d = rng.choice([1, -1]) * rng.randint(1, 10**12)
         n = rng.randint(-(10**15), 10**15)
         rows.append((n, d, rng.randint(0, 3), rng.choice([1, 100])))
     df = spark.createDataFrame(rows, "n long, d long, k int, f int")
