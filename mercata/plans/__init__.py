@@ -19,7 +19,7 @@ from mercata.plans.quality import (
     row_counts,
     status_distribution,
 )
-from mercata.plans.revenue import monthly_revenue
+from mercata.plans.revenue import monthly_revenue, revenue_totals
 from mercata.plans.rfm import (
     analysis_window,
     purchase_frequency,

@@ -58,6 +58,7 @@ def report_builders(
         "seller_quality_tiers": satisfaction.seller_quality_tiers,
         "category_satisfaction": satisfaction.category_satisfaction,
         "monthly_revenue": lambda t: revenue.monthly_revenue(t, *revenue_range),
+        "revenue_totals": lambda t: revenue.revenue_totals(t, *revenue_range),
         "delivery_by_score_simple": satisfaction.delivery_by_score_simple,
         "negative_rate_speed_x_late": satisfaction.negative_rate_speed_x_late,
         "negative_rate_matrix": satisfaction.negative_rate_matrix,

@@ -49,3 +49,17 @@ def monthly_revenue(
             ),
         )
     return out.orderBy("month")
+
+
+def revenue_totals(
+    t: Tables,
+    start: str = DEFAULT_REVENUE_RANGE[0],
+    end: str = DEFAULT_REVENUE_RANGE[1],
+) -> DataFrame:
+    """Totals of the revenue trend over ``[start, end)``: ``total_revenue``,
+    ``total_orders`` (the column sums of :func:`monthly_revenue`)."""
+    months = monthly_revenue(t, start, end)
+    return months.agg(
+        F.sum("revenue").alias("total_revenue"),
+        F.sum("orders").alias("total_orders"),
+    )

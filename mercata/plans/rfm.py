@@ -123,12 +123,17 @@ def segment_tier() -> F.Column:
     return F.when(F.col("segment").isin(*TIER2_SEGMENTS), F.lit(TIER2_LABEL)).otherwise(F.lit(TIER1_LABEL))
 
 
-def two_tier_segment_revenue(t: Tables, anchor: Anchor = None, **ntile_options) -> DataFrame:
-    """N2 ``segment, customers, total_revenue, tier`` (chart data)."""
-    return (
+def two_tier_segment_revenue(
+    t: Tables, anchor: Anchor = None, tier: str | None = None, **ntile_options
+) -> DataFrame:
+    """N2 ``segment, customers, total_revenue, tier`` (chart data); ``tier``
+    keeps one tier only (the chart's per-panel selection)."""
+    out = (
         two_tier_segmented(t, anchor, **ntile_options)
         .groupBy("segment")
         .agg(F.count(F.lit(1)).alias("customers"), F.sum("monetary").alias("total_revenue"))
         .withColumn("tier", segment_tier())
-        .orderBy(F.col("total_revenue").desc(), "segment")
     )
+    if tier is not None:
+        out = out.filter(F.col("tier") == tier)
+    return out.orderBy(F.col("total_revenue").desc(), "segment")

@@ -214,3 +214,11 @@ def test_run_all_writes_every_report(spark, fixture_tables, tmp_path):
     assert set(reports) == set(report_builders())
     back = spark.read.parquet(str(tmp_path / "reports" / "two_tier_segment_summary"))
     assert back.count() == reports["two_tier_segment_summary"].count()
+
+
+def test_tier_panel_filter(fixture_tables):
+    from mercata.plans.rules import TIER2_LABEL
+    from mercata.sources.testdata import FIXTURE_ANCHOR
+
+    rows = plans.two_tier_segment_revenue(fixture_tables, FIXTURE_ANCHOR, tier=TIER2_LABEL).collect()
+    assert rows and all(r["tier"] == TIER2_LABEL for r in rows)
