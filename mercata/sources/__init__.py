@@ -6,6 +6,7 @@ from mercata.sources.files import (
     load_csv,
     load_marketplace_csv,
     load_marketplace_parquet,
+    register_views,
     write_report,
     write_tables,
 )
@@ -17,6 +18,7 @@ __all__ = [
     "load_marketplace_csv",
     "load_marketplace_parquet",
     "marketplace_from_testdata",
+    "register_views",
     "write_report",
     "write_tables",
 ]

@@ -100,3 +100,13 @@ def conform(df: DataFrame, schema: T.StructType, cast_present: bool = True) -> D
         else:
             exprs.append(f"CAST(`{field.name}` AS {target}) AS `{field.name}`")
     return df.selectExpr(*exprs)
+
+
+def register_views(tables: dict[str, DataFrame], prefix: str = "") -> list[str]:
+    """Expose the tables as session temp views (``<prefix><table>``), so
+    analysts can keep querying them with Spark SQL."""
+    names = []
+    for table, df in tables.items():
+        df.createOrReplaceTempView(f"{prefix}{table}")
+        names.append(f"{prefix}{table}")
+    return names

@@ -101,3 +101,22 @@ def test_command_line_runs_reports(spark, tmp_path, capsys):
     assert "u1" in text and "18.75" in text  # two orders of one person: 12.75 + 6.00
     counts = {r["table_name"]: r["row_count"] for r in spark.read.parquet(str(out / "row_counts")).collect()}
     assert len(counts) == 9 and counts["category_translation"] == 1
+
+
+def test_views_answer_sql(spark, fixture_tables):
+    from mercata import plans
+    from mercata.sources import register_views
+
+    register_views(fixture_tables, prefix="fx_")
+    sql = """
+        SELECT order_status, COUNT(*) AS order_count
+        FROM fx_orders GROUP BY order_status
+    """
+    got = {r["order_status"]: r["order_count"] for r in spark.sql(sql).collect()}
+    want = {r["order_status"]: r["order_count"] for r in plans.status_distribution(fixture_tables).collect()}
+    assert got == want
+    late = spark.sql(
+        "SELECT COUNT(*) FILTER (WHERE order_delivered_customer_date > order_estimated_delivery_date) AS n, "
+        "MAX(order_purchase_timestamp)::DATE AS last_day FROM fx_orders WHERE order_status = 'delivered'"
+    ).first()
+    assert late["n"] > 0 and late["last_day"] is not None
