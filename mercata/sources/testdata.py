@@ -36,6 +36,10 @@ FIXTURE_ANCHOR = "2001-08-02"
 FIXTURE_FROM_COHORT = "1995-02-01"
 FIXTURE_SAMPLE_COHORT = "1995-03-01"
 FIXTURE_REVENUE_RANGE = ("1996-01-01", "2001-01-01")
+# Seller averages of the fixture lie between 2.84 and 3.28, so these cut
+# points (with neutral labels) put sellers into all five tiers.
+FIXTURE_SELLER_CUTS = ("3.15", "3.08", "3.00", "2.92")
+FIXTURE_SELLER_LABELS = ("1. 3.15+", "2. 3.08-3.14", "3. 3.00-3.07", "4. 2.92-2.99", "5. below 2.92")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

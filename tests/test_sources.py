@@ -120,3 +120,16 @@ def test_views_answer_sql(spark, fixture_tables):
         "MAX(order_purchase_timestamp)::DATE AS last_day FROM fx_orders WHERE order_status = 'delivered'"
     ).first()
     assert late["n"] > 0 and late["last_day"] is not None
+
+
+def test_csv_decimal_coordinates_round_like_numeric(spark, tmp_path):
+    path = tmp_path / "geo.csv"
+    path.write_text(
+        "geolocation_zip_code_prefix,geolocation_lat,geolocation_lng,geolocation_city,geolocation_state\n"
+        "01037,-23.54562128115268,-46.63929204800168,sao paulo,SP\n"
+    )
+    from decimal import Decimal
+
+    row = load_csv(spark, str(path), "geolocation").first()
+    assert row["geolocation_lat"] == Decimal("-23.5456213")
+    assert row["geolocation_lng"] == Decimal("-46.6392920")
