@@ -13,7 +13,8 @@ the work spread over many tasks:
    codegen).  A row's bin depends on the row alone: retries, AQE and
    re-planning cannot move rows between bins.
 3. ``row_number()`` over ``Window.partitionBy(bin).orderBy(keys)`` ranks the
-   rows inside their bin (one shuffle on the bin, sorted per task).  The row
+   rows inside their bin (one shuffle into as many partitions as there are
+   bins, sorted per task).  The row
    counts per bin -- one small aggregate job for all specs, at most
    ``max_bins`` numbers each -- give each bin's global offset, which enters
    the plan as a literal array.
@@ -300,14 +301,16 @@ def add_ntiles(
             running += c
         offsets.append(offs)
 
-    ranks, buckets = [], []
+    # One shuffle per spec into exactly as many partitions as it has bins
+    # (independent of spark.sql.shuffle.partitions); the window then ranks
+    # each bin inside its task.
+    ranked, buckets = binned, []
     for idx, spec in enumerate(specs):
-        bin_col, rank_col = bin_cols[idx][0], f"__ntile_rank_{idx}"
+        (bin_col, nbins), rank_col = bin_cols[idx], f"__ntile_rank_{idx}"
         window = Window.partitionBy(bin_col).orderBy(*[k.sort_column() for k in spec.order_by])
         offset = F.expr(f"element_at(array({', '.join(f'{o}L' for o in offsets[idx])}), `{bin_col}` + 1)")
-        ranks.append((offset + F.row_number().over(window) - 1).alias(rank_col))
+        ranked = ranked.repartition(nbins, bin_col).select("*", (offset + F.row_number().over(window) - 1).alias(rank_col))
         buckets.append(_bucket_expr(rank_col, total, spec.n).alias(spec.out))
-    ranked = binned.select("*", *ranks)
     keep = [F.col(f"`{c}`") for c in binned.columns if not c.startswith("__ntile_")]
     return ranked.select(*keep, *buckets)
 
