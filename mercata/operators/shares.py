@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercata.functions.arith import round_ratio, unscaled
@@ -13,16 +13,16 @@ def share_of_total(
 ) -> DataFrame:
     """Add ``out`` = exact percentage of ``column`` in its grand total.
 
-    The total is a scalar subquery (a partial + final global sum, computed
-    once and used as a value), so the grouped rows are never gathered into
-    one partition, however many groups there are; Spark reuses the grouped
-    frame's shuffle for it.  ``value_scale`` is the decimal scale of
-    ``column`` (2 for money).  A zero total gives NULL instead of a division
-    error.
+    Meant for an *aggregated* frame with few rows (statuses, segments, tiers,
+    scores): the grand total is a window over the whole frame, which Spark
+    evaluates in one task -- over those few rows only, after the heavy
+    aggregation.  (A scalar-subquery total would avoid the single task but
+    makes Spark recompute the aggregation for every share column.)
+    ``value_scale`` is the decimal scale of ``column`` (2 for money).  A zero
+    total gives NULL instead of a division error.
     """
     tmp = f"__total_{out}"
-    total = grouped.agg(F.sum(F.col(column))).scalar()
-    with_total = grouped.withColumn(tmp, total)
+    with_total = grouped.withColumn(tmp, F.sum(F.col(column)).over(Window.partitionBy()))
     num, den = unscaled(column, value_scale), unscaled(tmp, value_scale)
     return with_total.withColumn(
         out, F.when(F.col(tmp) != 0, round_ratio(num, F.when(F.col(tmp) != 0, den), scale, factor=100))
