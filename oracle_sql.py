@@ -560,8 +560,8 @@ SELECT customer_unique_id, recency_days, frequency, CAST(monetary AS DOUBLE) AS
 FROM rfm_scored""")
 
     s["op_duplicate_item_keys"] = q("""
-SELECT order_id, order_item_id, COUNT(*) AS dup_count
-FROM m_items GROUP BY order_id, order_item_id HAVING COUNT(*) > 1""")
+SELECT order_id, CAST(order_item_id AS BIGINT) AS order_item_id, COUNT(*) AS dup_count
+FROM m_items GROUP BY order_id, m_items.order_item_id HAVING COUNT(*) > 1""")
 
     s["op_unmatched_orders"] = q("""
 SELECT o.order_id, o.order_status
