@@ -62,8 +62,10 @@ def checkpoint_dir(spark: SparkSession, create_if_unset: bool = False) -> str |
     """The reliable checkpoint folder the session names, if any.
 
     Reads ``SparkContext.getCheckpointDir()`` and ``spark.checkpoint.dir``.
-    Only when both are unset and ``create_if_unset`` is true (tests, local
-    runs) a new temporary folder is created and registered.
+    Only when both are unset, ``create_if_unset`` is true and the master is
+    local (tests, local runs) a new temporary folder is created and
+    registered -- never on a cluster, where a machine-local folder would not
+    survive the loss of an executor.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -73,7 +75,7 @@ def checkpoint_dir(spark: SparkSession, create_if_unset: bool = False) -> str |
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if create_if_unset:
+    if create_if_unset and sc.master.startswith("local"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="mercata-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
         return sc.getCheckpointDir()
     return None
