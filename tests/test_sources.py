@@ -5,6 +5,7 @@ import tempfile
 
 import pytest
 
+from mercata.schemas import CSV_FILES
 from mercata.sources import load_csv, load_marketplace_csv, load_marketplace_parquet, write_report, write_tables
 
 
@@ -48,10 +49,10 @@ def test_csv_bad_row_fails(spark):
 
 def test_marketplace_csv_parquet_round_trip(spark):
     src = tempfile.mkdtemp(prefix="mercata-src-")
-    _write(src, "olist_orders_dataset.csv",
+    _write(src, CSV_FILES["orders"],
            "order_id,customer_id,order_status,order_purchase_timestamp,order_approved_at,order_delivered_carrier_date,order_delivered_customer_date,order_estimated_delivery_date\n"
            "o1,c1,delivered,2018-01-01 10:00:00,,,2018-01-05 10:00:00,2018-01-10 00:00:00\n")
-    _write(src, "olist_order_items_dataset.csv",
+    _write(src, CSV_FILES["order_items"],
            "order_id,order_item_id,product_id,seller_id,shipping_limit_date,price,freight_value\no1,1,p1,s1,2018-01-02 00:00:00,10.50,2.25\n")
     tables = load_marketplace_csv(spark, src)
     assert set(tables) == {"orders", "order_items"}
@@ -71,28 +72,28 @@ def test_command_line_runs_reports(spark, tmp_path, capsys):
 
     src = tmp_path / "raw"
     src.mkdir()
-    (src / "olist_orders_dataset.csv").write_text(
+    (src / CSV_FILES["orders"]).write_text(
         "order_id,customer_id,order_status,order_purchase_timestamp,order_approved_at,order_delivered_carrier_date,order_delivered_customer_date,order_estimated_delivery_date\n"
         "o1,c1,delivered,2018-01-01 10:00:00,,,2018-01-05 10:00:00,2018-01-10 00:00:00\n"
         "o2,c2,delivered,2018-02-01 10:00:00,,,2018-02-25 10:00:00,2018-02-10 00:00:00\n"
     )
-    (src / "olist_customers_dataset.csv").write_text(
+    (src / CSV_FILES["customers"]).write_text(
         "customer_id,customer_unique_id,customer_zip_code_prefix,customer_city,customer_state\nc1,u1,01037,x,SP\nc2,u1,01037,x,SP\n"
     )
-    (src / "olist_order_items_dataset.csv").write_text(
+    (src / CSV_FILES["order_items"]).write_text(
         "order_id,order_item_id,product_id,seller_id,shipping_limit_date,price,freight_value\n"
         "o1,1,p1,s1,2018-01-02 00:00:00,10.50,2.25\no2,1,p1,s1,2018-02-02 00:00:00,5.00,1.00\n"
     )
-    (src / "olist_order_reviews_dataset.csv").write_text(
+    (src / CSV_FILES["order_reviews"]).write_text(
         "review_id,order_id,review_score,review_comment_title,review_comment_message,review_creation_date,review_answer_timestamp\n"
         "r1,o1,5,,,2018-01-06 00:00:00,\nr2,o2,1,,,2018-02-26 00:00:00,\n"
     )
     for name, header in [
-        ("olist_sellers_dataset.csv", "seller_id,seller_zip_code_prefix,seller_city,seller_state\ns1,1,x,SP\n"),
-        ("olist_products_dataset.csv", "product_id,product_category_name,product_name_lenght,product_description_lenght,product_photos_qty,product_weight_g,product_length_cm,product_height_cm,product_width_cm\np1,beleza,1,1,1,1,1,1,1\n"),
-        ("product_category_name_translation.csv", "product_category_name,product_category_name_english\nbeleza,beauty\n"),
-        ("olist_order_payments_dataset.csv", "order_id,payment_sequential,payment_type,payment_installments,payment_value\no1,1,card,1,12.75\n"),
-        ("olist_geolocation_dataset.csv", "geolocation_zip_code_prefix,geolocation_lat,geolocation_lng,geolocation_city,geolocation_state\n01037,-23.5,-46.6,x,SP\n"),
+        (CSV_FILES["sellers"], "seller_id,seller_zip_code_prefix,seller_city,seller_state\ns1,1,x,SP\n"),
+        (CSV_FILES["products"], "product_id,product_category_name,product_name_lenght,product_description_lenght,product_photos_qty,product_weight_g,product_length_cm,product_height_cm,product_width_cm\np1,beleza,1,1,1,1,1,1,1\n"),
+        (CSV_FILES["product_category_translation"], "product_category_name,product_category_name_english\nbeleza,beauty\n"),
+        (CSV_FILES["order_payments"], "order_id,payment_sequential,payment_type,payment_installments,payment_value\no1,1,card,1,12.75\n"),
+        (CSV_FILES["geolocation"], "geolocation_zip_code_prefix,geolocation_lat,geolocation_lng,geolocation_city,geolocation_state\n01037,-23.5,-46.6,x,SP\n"),
     ]:
         (src / name).write_text(header)
     out = tmp_path / "reports"
