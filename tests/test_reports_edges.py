@@ -222,3 +222,21 @@ def test_tier_panel_filter(fixture_tables):
 
     rows = plans.two_tier_segment_revenue(fixture_tables, FIXTURE_ANCHOR, tier=TIER2_LABEL).collect()
     assert rows and all(r["tier"] == TIER2_LABEL for r in rows)
+
+
+def test_retention_forms_agree(fixture_tables):
+    from mercata.sources.testdata import FIXTURE_FROM_COHORT
+
+    long = plans.retention_long(fixture_tables, FIXTURE_FROM_COHORT).collect()
+    cells = {(r["cohort_month"], r["month_index"]): r["retention_pct"] for r in long}
+    assert all(v == D("100.00") for (c, m), v in cells.items() if m == 0)
+    matrix = plans.retention_matrix(fixture_tables, FIXTURE_FROM_COHORT).collect()
+    assert {r["cohort_month"] for r in matrix} == {c for c, _ in cells}
+    for r in matrix:
+        for m in range(1, 7):
+            assert r[f"month_{m}_pct"] == cells.get((r["cohort_month"], m), D("0.00"))
+    heat = {r["cohort"]: r for r in plans.retention_heatmap(fixture_tables, FIXTURE_FROM_COHORT).collect()}
+    for r in matrix:
+        row = heat[r["cohort_month"].strftime("%Y-%m")]
+        for m in range(1, 7):
+            assert row[f"month_{m}"] == cells.get((r["cohort_month"], m))
