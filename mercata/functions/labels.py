@@ -9,34 +9,25 @@ to later rules, again like SQL.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mercata.functions.sql import sql_literal
+
 Bounds = tuple[Any, Any]
 Rule = tuple[str, dict[str, Bounds]]
 
 
-def _sql_value(value: Any) -> str:
-    if isinstance(value, str):
-        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    if isinstance(value, bool):
-        return "TRUE" if value else "FALSE"
-    if isinstance(value, (int, float, Decimal)):
-        return f"({value}BD)" if isinstance(value, Decimal) else f"({value})"
-    raise TypeError(f"unsupported rule bound {value!r}")
-
-
 def _condition(bounds: dict[str, Bounds], cols: dict[str, str] | None) -> str:
     parts = []
     for name, (low, high) in bounds.items():
         c = f"`{(cols or {}).get(name, name)}`"
         if low is not None:
-            parts.append(f"{c} >= {_sql_value(low)}")
+            parts.append(f"{c} >= {sql_literal(low)}")
         if high is not None:
-            parts.append(f"{c} <= {_sql_value(high)}")
+            parts.append(f"{c} <= {sql_literal(high)}")
     return " AND ".join(parts) or "TRUE"
 
 
@@ -45,8 +36,8 @@ def label_by_rules(rules: Sequence[Rule], default: str, cols: dict[str, str] | N
     names.  Built as one SQL expression (a single call into the JVM)."""
     if not rules:
         return F.lit(default)
-    branches = " ".join(f"WHEN {_condition(b, cols)} THEN {_sql_value(label)}" for label, b in rules)
-    return F.expr(f"CASE {branches} ELSE {_sql_value(default)} END")
+    branches = " ".join(f"WHEN {_condition(b, cols)} THEN {sql_literal(label)}" for label, b in rules)
+    return F.expr(f"CASE {branches} ELSE {sql_literal(default)} END")
 
 
 def band(cuts: Sequence[Any], labels: Sequence[str], test: Callable[[Any], Column]) -> Column:

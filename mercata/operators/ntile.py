@@ -40,8 +40,6 @@ reliable ``spark.checkpoint.dir`` instead.
 
 from __future__ import annotations
 
-import datetime as dt
-import decimal
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -51,6 +49,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercata.functions.sql import sql_literal
 from mercata.session import checkpoint_dir
 
 
@@ -90,29 +89,6 @@ def desc(column: str, nulls_first: bool | None = None) -> SortKey:
     return SortKey(column, False, nulls_first)
 
 
-def _sql_literal(value: Any) -> str:
-    """A Spark SQL literal for a sampled key value (exact for every type)."""
-    if value is None:
-        return "NULL"
-    if isinstance(value, bool):
-        return "TRUE" if value else "FALSE"
-    if isinstance(value, int):
-        return f"{value}L"
-    if isinstance(value, decimal.Decimal):
-        return f"({value}BD)"
-    if isinstance(value, float):
-        if math.isnan(value) or math.isinf(value):
-            return f"CAST('{value}' AS DOUBLE)"
-        return f"({value!r}D)"
-    if isinstance(value, str):
-        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    if isinstance(value, dt.datetime):
-        return f"TIMESTAMP_NTZ '{value.isoformat(sep=' ')}'"
-    if isinstance(value, dt.date):
-        return f"DATE '{value.isoformat()}'"
-    raise TypeError(f"unsupported NTILE key type {type(value).__name__}")
-
-
 def _lexi_before(keys: Sequence[SortKey], split: str) -> str:
     """SQL: the row sorts strictly before the struct ``split`` (fields k0..)."""
     expr: str | None = None
@@ -149,7 +125,7 @@ def _add_bins(df: DataFrame, specs: Sequence[NtileSpec], all_splits: Sequence[Se
         structs = []
         for split in splits:
             fields = ", ".join(
-                f"'k{i}', CAST({_sql_literal(v)} AS {types[k.column]})"
+                f"'k{i}', CAST({sql_literal(v)} AS {types[k.column]})"
                 for i, (k, v) in enumerate(zip(spec.order_by, split))
             )
             structs.append(f"named_struct({fields})")
