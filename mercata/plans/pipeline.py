@@ -1,7 +1,8 @@
 """Run every report in one session, sharing the expensive entities.
 
 ``run_all`` persists the derived entities several reports rebuild (order
-revenue, per-person RFM base, cohort activity, per-order review sums).
+revenue, per-person RFM base, cohort activity, per-order review sums, items
+per (order, seller)).
 Spark's cache matches any later plan that contains the same sub-plan, so
 each report that recomputes an entity reads the cached copy instead.  With
 ``out_dir`` every report is written (the aggregated exports) and the cache
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from mercata.plans import cohort, quality, revenue, rfm, satisfaction
 from mercata.plans import entities as E
 from mercata.plans.entities import Anchor, Tables
+from mercata.plans.satisfaction import items_per_order
 from mercata.plans.rules import DEFAULT_ANCHOR, DEFAULT_FROM_COHORT, DEFAULT_REVENUE_RANGE, DEFAULT_SAMPLE_COHORT
 from mercata.sources.files import write_report
 
@@ -72,6 +74,7 @@ def shared_entities(t: Tables, anchor: Anchor = DEFAULT_ANCHOR) -> list[DataFram
         E.rfm_raw(t, anchor),
         E.active_months(t),
         E.order_review_stats(t),
+        items_per_order(t, "seller_id"),
     ]
 
 

@@ -184,7 +184,7 @@ def negative_rate_matrix(t: Tables) -> DataFrame:
     )
 
 
-def _items_per_order(t: Tables, key: str) -> DataFrame:
+def items_per_order(t: Tables, key: str) -> DataFrame:
     """Items reduced to ``(order_id, key)`` with item count and revenue."""
     return t["order_items"].groupBy("order_id", key).agg(
         F.count(F.lit(1)).alias("n_items"),
@@ -195,7 +195,7 @@ def _items_per_order(t: Tables, key: str) -> DataFrame:
 def _seller_orders(t: Tables) -> DataFrame:
     """(seller, delivered order with reviews) rows with the order's review
     sums; one row per pair."""
-    return _items_per_order(t, "seller_id").join(order_review_stats(t), "order_id")
+    return items_per_order(t, "seller_id").join(order_review_stats(t), "order_id")
 
 
 def worst_sellers(t: Tables, min_reviews: int = 50, k: int = 25) -> DataFrame:
@@ -211,9 +211,7 @@ def worst_sellers(t: Tables, min_reviews: int = 50, k: int = 25) -> DataFrame:
     reviews = t["order_reviews"].select("order_id", "review_id", REVIEW_SCORE).join(
         delivered_orders(t, "order_id"), "order_id"
     )
-    rows = t["order_items"].groupBy("order_id", "seller_id").agg(F.count(F.lit(1)).alias("n_items")).join(
-        reviews, "order_id"
-    )
+    rows = items_per_order(t, "seller_id").join(reviews, "order_id")
     measures = rows.groupBy("seller_id").agg(
         F.count_distinct("order_id").alias("total_orders"),
         F.count_distinct("review_id").alias("total_reviews"),
