@@ -80,3 +80,15 @@ def test_round_ratio_matches_decimal_on_random_inputs(spark):
     for n, d, k, f in rows:
         want = (Decimal(f * n) / Decimal(d)).quantize(Decimal(1).scaleb(-k), rounding=ROUND_HALF_UP)
         assert got[(n, d, k, f)] == want, (n, d, k, f)
+
+
+def test_run_all_reports_read_shared_cache(spark, fixture_tables):
+    from mercata.plans.pipeline import run_all
+    from mercata.sources.testdata import FIXTURE_ANCHOR, FIXTURE_FROM_COHORT, FIXTURE_REVENUE_RANGE, FIXTURE_SAMPLE_COHORT
+
+    reports = run_all(
+        fixture_tables, None, anchor=FIXTURE_ANCHOR, from_cohort=FIXTURE_FROM_COHORT,
+        sample_cohort=FIXTURE_SAMPLE_COHORT, revenue_range=FIXTURE_REVENUE_RANGE,
+    )
+    for name in ("worst_sellers", "seller_quality_tiers", "category_satisfaction", "retention_matrix", "monthly_revenue"):
+        assert "InMemoryTableScan" in _plan(reports[name]), name
