@@ -287,7 +287,8 @@ def add_ntiles(
         offset = F.expr(f"element_at(array({', '.join(f'{o}L' for o in offsets[idx])}), `{bin_col}` + 1)")
         ranked = ranked.repartition(nbins, bin_col).select("*", (offset + F.row_number().over(window) - 1).alias(rank_col))
         buckets.append(_bucket_expr(rank_col, total, spec.n).alias(spec.out))
-    keep = [F.col(f"`{c}`") for c in binned.columns if not c.startswith("__ntile_")]
+    outs = {spec.out for spec in specs}
+    keep = [F.col(f"`{c}`") for c in binned.columns if not c.startswith("__ntile_") and c not in outs]
     return ranked.select(*keep, *buckets)
 
 

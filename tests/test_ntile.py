@@ -108,3 +108,10 @@ def test_plan_has_no_single_partition_window(spark):
     got = global_ntile(df, 5, [asc("k")], "b", bins=8, materialise="none")
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_output_column_is_replaced(spark):
+    df = spark.range(20).withColumnRenamed("id", "k").withColumn("b", F.lit(99))
+    got = global_ntile(df, 4, [asc("k")], "b", bins=3, materialise="none")
+    assert got.columns.count("b") == 1
+    assert_same(got, reference(df.drop("b"), 4, (asc("k"),), "b"), "k", "b")
