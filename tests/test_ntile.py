@@ -5,10 +5,12 @@ import random
 from decimal import Decimal
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from mercata.operators.ntile import NtileSpec, add_ntiles, asc, desc, global_ntile
+from mercata.operators.ntile import NtileSpec, SortKey, add_ntiles, asc, desc, global_ntile
 
 
 def reference(df, n, keys, out):
@@ -115,3 +117,18 @@ def test_output_column_is_replaced(spark):
     got = global_ntile(df, 4, [asc("k")], "b", bins=3, materialise="none")
     assert got.columns.count("b") == 1
     assert_same(got, reference(df.drop("b"), 4, (asc("k"),), "b"), "k", "b")
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    values=st.lists(st.one_of(st.none(), st.integers(min_value=-3, max_value=3)), min_size=0, max_size=60),
+    n=st.integers(min_value=1, max_value=7),
+    bins=st.integers(min_value=1, max_value=6),
+    ascending=st.booleans(),
+    nulls_first=st.sampled_from([None, True, False]),
+)
+def test_property_matches_window_ntile(spark, values, n, bins, ascending, nulls_first):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v int")
+    keys = (SortKey("v", ascending, nulls_first), asc("id"))
+    got = global_ntile(df, n, keys, "q", bins=bins, materialise="none")
+    assert_same(got, reference(df, n, keys, "q"), "id", "q")
