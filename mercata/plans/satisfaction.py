@@ -5,9 +5,11 @@ Delivery times are exact microsecond differences; bands compare those
 microseconds with whole-day cut points, so no fractional day is ever
 rounded.  The seller and category reports join items to reviews per order
 (a many-to-many fan-out in the source); here items are first reduced to one
-row per (order, seller) or (order, category) with an item count, reviews to
-one row per order, and every measure of the fan-out join is rebuilt from
-weighted sums -- same numbers, no fan-out, no multi-distinct expansion.
+row per (order, seller) or (order, category) with an item count, and every
+measure of the fan-out join is rebuilt from item-count-weighted sums -- same
+numbers, the item x review product is never materialised.  Reviews are
+reduced to one row per order where only sums are needed; the worst-seller
+report keeps review-grain rows for its exact count of distinct review ids.
 """
 
 from __future__ import annotations
