@@ -101,8 +101,9 @@ def cents(x: str) -> str:
 
 
 def q(body: str) -> str:
-    """Append more CTEs (``body`` starting with a comma) or the final SELECT."""
-    return MAPPING + ("\n" if body.lstrip().startswith(",") else "\n") + body
+    """The mapping CTEs followed by ``body``: more CTEs (starting with a
+    comma) and/or the final SELECT."""
+    return MAPPING + "\n" + body
 
 
 ANCHOR = f"DATE '{FIXTURE_ANCHOR}'"
