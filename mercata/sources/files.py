@@ -24,6 +24,9 @@ def load_csv(
 ) -> DataFrame:
     """Read one table's CSV with its declared schema (no inference).
 
+    ``path`` is the CSV file, or a folder holding the table's source file
+    (named as in ``schemas.CSV_FILES``).
+
     Header row, ``"`` as quote and escape (RFC 4180 doubled quotes), an
     unquoted empty field is NULL and a quoted empty field is ``''`` (the
     parser yields NULL for unquoted empties by itself; ``nullValue`` is set
@@ -32,6 +35,8 @@ def load_csv(
     the schema aborts the load (``FAILFAST``), like a bulk ``COPY``.
     """
     schema = SCHEMAS[table]
+    if os.path.isdir(path) and os.path.exists(os.path.join(path, CSV_FILES[table])):
+        path = os.path.join(path, CSV_FILES[table])
     if multi_line is None:
         multi_line = table in MULTILINE_TABLES
     return (

@@ -134,3 +134,8 @@ def test_csv_decimal_coordinates_round_like_numeric(spark, tmp_path):
     row = load_csv(spark, str(path), "geolocation").first()
     assert row["geolocation_lat"] == Decimal("-23.5456213")
     assert row["geolocation_lng"] == Decimal("-46.6392920")
+
+
+def test_load_csv_from_folder(spark, tmp_path):
+    (tmp_path / CSV_FILES["sellers"]).write_text("seller_id,seller_zip_code_prefix,seller_city,seller_state\ns1,01037,x,SP\n")
+    assert load_csv(spark, str(tmp_path), "sellers").first()["seller_state"] == "SP"
