@@ -3,10 +3,12 @@ mapping of the driver's TPC-H-style test tables onto the marketplace schema."""
 
 from mercata.sources.files import (
     conform,
+    load_catalog_tables,
     load_csv,
     load_marketplace_csv,
     load_marketplace_parquet,
     register_views,
+    write_bucketed_tables,
     write_report,
     write_tables,
 )
@@ -14,11 +16,13 @@ from mercata.sources.testdata import marketplace_from_testdata
 
 __all__ = [
     "conform",
+    "load_catalog_tables",
     "load_csv",
     "load_marketplace_csv",
     "load_marketplace_parquet",
     "marketplace_from_testdata",
     "register_views",
+    "write_bucketed_tables",
     "write_report",
     "write_tables",
 ]

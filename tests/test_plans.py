@@ -92,3 +92,21 @@ def test_run_all_reports_read_shared_cache(spark, fixture_tables):
     )
     for name in ("worst_sellers", "seller_quality_tiers", "category_satisfaction", "retention_matrix", "monthly_revenue"):
         assert "InMemoryTableScan" in _plan(reports[name]), name
+
+
+def test_order_bucketed_tables_skip_order_shuffles(spark, fixture_tables, tmp_path):
+    from mercata.sources import load_catalog_tables, write_bucketed_tables
+    from mercata.sources.testdata import FIXTURE_REVENUE_RANGE
+
+    write_bucketed_tables(spark, fixture_tables, str(tmp_path), "mercata_bucket_test", 4)
+    bucketed = load_catalog_tables(spark, "mercata_bucket_test")
+    for build in (
+        lambda t: plans.monthly_revenue(t, *FIXTURE_REVENUE_RANGE),
+        plans.review_distribution,
+        plans.worst_sellers,
+    ):
+        assert sorted(map(tuple, build(bucketed).collect())) == sorted(map(tuple, build(fixture_tables).collect()))
+    plain = _plan(plans.monthly_revenue(fixture_tables, *FIXTURE_REVENUE_RANGE))
+    co = _plan(plans.monthly_revenue(bucketed, *FIXTURE_REVENUE_RANGE))
+    assert "Exchange hashpartitioning(order_id" in plain
+    assert "Exchange hashpartitioning(order_id" not in co
