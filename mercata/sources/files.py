@@ -110,7 +110,7 @@ def load_catalog_tables(spark: SparkSession, database: str) -> dict[str, DataFra
     return {
         table: spark.table(f"`{database}`.`{table}`")
         for table in SCHEMAS
-        if spark.catalog.tableExists(table, database)
+        if spark.catalog.tableExists(f"{database}.{table}")
     }
 
 
