@@ -102,6 +102,15 @@ def test_command_line_runs_reports(spark, tmp_path, capsys):
     assert "u1" in text and "18.75" in text  # two orders of one person: 12.75 + 6.00
     counts = {r["table_name"]: r["row_count"] for r in spark.read.parquet(str(out / "row_counts")).collect()}
     assert len(counts) == 9 and counts["category_translation"] == 1
+    # the same run from order-bucketed catalog tables
+    out2 = tmp_path / "reports_bucketed"
+    assert main([
+        "--csv", str(src), "--load-parquet", str(tmp_path / "tables"), "--buckets", "4",
+        "--database", "mercata_cli_test", "--out", str(out2), "--anchor", "latest",
+    ]) == 0
+    a = sorted(map(tuple, spark.read.parquet(str(out / "rfm_top")).collect()))
+    b = sorted(map(tuple, spark.read.parquet(str(out2 / "rfm_top")).collect()))
+    assert a == b and spark.catalog.tableExists("mercata_cli_test.order_items")
 
 
 def test_views_answer_sql(spark, fixture_tables):
