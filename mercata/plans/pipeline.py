@@ -30,8 +30,10 @@ def report_builders(
     from_cohort: str = DEFAULT_FROM_COHORT,
     sample_cohort: str = DEFAULT_SAMPLE_COHORT,
     revenue_range: tuple[str, str] = DEFAULT_REVENUE_RANGE,
+    scored: DataFrame | None = None,
 ) -> dict[str, Callable[[Tables], DataFrame]]:
-    """Every report of the analysis, keyed by its export name."""
+    """Every report of the analysis, keyed by its export name; ``scored``
+    (RFM scores r, f, m per person) is shared by the four segment reports."""
     return {
         "row_counts": quality.row_counts,
         "order_coverage": quality.order_coverage,
@@ -43,11 +45,11 @@ def report_builders(
         "domain_report": quality.domain_report,
         "analysis_window": rfm.analysis_window,
         "rfm_top": lambda t: rfm.rfm_top(t, anchor),
-        "rfm_segments": lambda t: rfm.rfm_segments(t, anchor),
-        "rfm_segment_summary": lambda t: rfm.rfm_segment_summary(t, anchor),
+        "rfm_segments": lambda t: rfm.rfm_segments(t, anchor, scored=scored),
+        "rfm_segment_summary": lambda t: rfm.rfm_segment_summary(t, anchor, scored=scored),
         "purchase_frequency": rfm.purchase_frequency,
-        "two_tier_segment_summary": lambda t: rfm.two_tier_segment_summary(t, anchor),
-        "two_tier_segment_revenue": lambda t: rfm.two_tier_segment_revenue(t, anchor),
+        "two_tier_segment_summary": lambda t: rfm.two_tier_segment_summary(t, anchor, scored=scored),
+        "two_tier_segment_revenue": lambda t: rfm.two_tier_segment_revenue(t, anchor, scored=scored),
         "new_customers_by_cohort": cohort.new_customers_by_cohort,
         "cohort_activity_sample": lambda t: cohort.cohort_activity_sample(t, sample_cohort),
         "retention_long": lambda t: cohort.retention_long(t, from_cohort),
@@ -90,7 +92,10 @@ def run_all(
     """Build every report; with ``out_dir``, also write each one there
     (``<out_dir>/<report>``, overwritten) and release the shared cache."""
     cached = [df.persist(StorageLevel.MEMORY_AND_DISK) for df in shared_entities(t, anchor)]
-    builders = report_builders(anchor, from_cohort, sample_cohort, revenue_range)
+    # One distributed scoring (r, f, m) serves all four segment reports.
+    scored = E.rfm_scored(t, anchor, "rfm").persist(StorageLevel.MEMORY_AND_DISK)
+    cached.append(scored)
+    builders = report_builders(anchor, from_cohort, sample_cohort, revenue_range, scored)
     reports = {name: build(t) for name, build in builders.items()}
     if out_dir is not None:
         for name, df in reports.items():

@@ -48,10 +48,19 @@ def two_tier_segment() -> F.Column:
     return label_by_rules(TWO_TIER_RULES, TWO_TIER_DEFAULT, cols)
 
 
-def rfm_segments(t: Tables, anchor: Anchor = None, k: int | None = 25, **ntile_options) -> DataFrame:
+def _scored(t: Tables, anchor: Anchor, scores: str, scored: DataFrame | None, ntile_options: dict) -> DataFrame:
+    """The caller's precomputed scores (``run_all`` scores once for every
+    segment report), else a fresh scoring."""
+    return scored if scored is not None else rfm_scored(t, anchor, scores, **ntile_options)
+
+
+def rfm_segments(
+    t: Tables, anchor: Anchor = None, k: int | None = 25, scored: DataFrame | None = None, **ntile_options
+) -> DataFrame:
     """2.3 RFM scores and segment per person; the ``k`` biggest spenders
-    (``k=None`` returns everyone)."""
-    scored = rfm_scored(t, anchor, "rfm", **ntile_options).select(
+    (``k=None`` returns everyone).  ``scored``: precomputed
+    :func:`~mercata.plans.entities.rfm_scored` output with r, f and m."""
+    scored = _scored(t, anchor, "rfm", scored, ntile_options).select(
         PERSON, "recency_days", "frequency", "monetary", "r_score", "f_score", "m_score",
         rfm_segment().alias("segment"),
     )
@@ -81,9 +90,11 @@ def _segment_summary(segmented: DataFrame) -> DataFrame:
     ).orderBy(F.col("total_revenue").desc(), "segment")
 
 
-def rfm_segment_summary(t: Tables, anchor: Anchor = None, **ntile_options) -> DataFrame:
+def rfm_segment_summary(
+    t: Tables, anchor: Anchor = None, scored: DataFrame | None = None, **ntile_options
+) -> DataFrame:
     """2.4 customers, revenue and averages per standard RFM segment."""
-    scored = rfm_scored(t, anchor, "rfm", **ntile_options)
+    scored = _scored(t, anchor, "rfm", scored, ntile_options)
     return _segment_summary(scored.withColumn("segment", rfm_segment()))
 
 
@@ -107,15 +118,21 @@ def purchase_frequency(t: Tables) -> DataFrame:
     )
 
 
-def two_tier_segmented(t: Tables, anchor: Anchor = None, **ntile_options) -> DataFrame:
-    """Per person: raw RFM, r/m quintiles over everyone, two-tier segment."""
-    scored = rfm_scored(t, anchor, "rm", **ntile_options)
+def two_tier_segmented(
+    t: Tables, anchor: Anchor = None, scored: DataFrame | None = None, **ntile_options
+) -> DataFrame:
+    """Per person: raw RFM, r/m quintiles over everyone, two-tier segment.
+    ``scored`` may carry r and m (and f, unused): the r and m orderings are
+    the same as in the standard scoring."""
+    scored = _scored(t, anchor, "rm", scored, ntile_options)
     return scored.withColumn("segment", two_tier_segment())
 
 
-def two_tier_segment_summary(t: Tables, anchor: Anchor = None, **ntile_options) -> DataFrame:
+def two_tier_segment_summary(
+    t: Tables, anchor: Anchor = None, scored: DataFrame | None = None, **ntile_options
+) -> DataFrame:
     """2.6 the segment summary of 2.4 for the two-tier segmentation."""
-    return _segment_summary(two_tier_segmented(t, anchor, **ntile_options))
+    return _segment_summary(two_tier_segmented(t, anchor, scored, **ntile_options))
 
 
 def segment_tier() -> F.Column:
@@ -124,12 +141,12 @@ def segment_tier() -> F.Column:
 
 
 def two_tier_segment_revenue(
-    t: Tables, anchor: Anchor = None, tier: str | None = None, **ntile_options
+    t: Tables, anchor: Anchor = None, tier: str | None = None, scored: DataFrame | None = None, **ntile_options
 ) -> DataFrame:
     """N2 ``segment, customers, total_revenue, tier`` (chart data); ``tier``
     keeps one tier only (the chart's per-panel selection)."""
     out = (
-        two_tier_segmented(t, anchor, **ntile_options)
+        two_tier_segmented(t, anchor, scored, **ntile_options)
         .groupBy("segment")
         .agg(F.count(F.lit(1)).alias("customers"), F.sum("monetary").alias("total_revenue"))
         .withColumn("tier", segment_tier())

@@ -240,3 +240,20 @@ def test_retention_forms_agree(fixture_tables):
         row = heat[r["cohort_month"].strftime("%Y-%m")]
         for m in range(1, 7):
             assert row[f"month_{m}"] == cells.get((r["cohort_month"], m))
+
+
+def test_run_all_shared_scoring_equals_direct_reports(fixture_tables):
+    from mercata.plans.pipeline import run_all
+    from mercata.sources.testdata import FIXTURE_ANCHOR, FIXTURE_FROM_COHORT, FIXTURE_REVENUE_RANGE, FIXTURE_SAMPLE_COHORT
+
+    reports = run_all(
+        fixture_tables, None, anchor=FIXTURE_ANCHOR, from_cohort=FIXTURE_FROM_COHORT,
+        sample_cohort=FIXTURE_SAMPLE_COHORT, revenue_range=FIXTURE_REVENUE_RANGE,
+    )
+    for name, direct in (
+        ("rfm_segments", lambda: plans.rfm_segments(fixture_tables, FIXTURE_ANCHOR)),
+        ("rfm_segment_summary", lambda: plans.rfm_segment_summary(fixture_tables, FIXTURE_ANCHOR)),
+        ("two_tier_segment_summary", lambda: plans.two_tier_segment_summary(fixture_tables, FIXTURE_ANCHOR)),
+        ("two_tier_segment_revenue", lambda: plans.two_tier_segment_revenue(fixture_tables, FIXTURE_ANCHOR)),
+    ):
+        assert sorted(map(tuple, reports[name].collect())) == sorted(map(tuple, direct().collect())), name
