@@ -4,9 +4,10 @@
 revenue, per-person RFM base, cohort activity, per-order review sums, items
 per (order, seller)).
 Spark's cache matches any later plan that contains the same sub-plan, so
-each report that recomputes an entity reads the cached copy instead.  With
-``out_dir`` every report is written (the aggregated exports) and the cache
-is released afterwards.
+each report that recomputes an entity reads the cached copy instead.  The
+distributed RFM scoring runs once and is handed to the four segment
+reports.  With ``out_dir`` every report is written (the aggregated exports)
+and the cache is released afterwards.
 """
 
 from __future__ import annotations
