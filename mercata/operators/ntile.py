@@ -31,11 +31,12 @@ which is also what NTILE promises for ties.
 Null ordering follows the SQL-standard default used by the reports' source
 engine: NULLs sort last ascending and first descending, unless
 ``nulls_first`` says otherwise.  The input must be deterministic; it is
-read three times (count + sample, bin counts, rows), so it is persisted
-MEMORY_AND_DISK by default -- lost blocks are recomputed from lineage, and
-identical inputs of several reports share one cache entry.  Pass
-``materialise="checkpoint"`` to cut a long lineage into the session's
-reliable ``spark.checkpoint.dir`` instead.
+read three times (count + sample, bin counts, rows), so it is materialised
+once: on a cluster whose session names ``spark.checkpoint.dir`` it is
+checkpointed there (reliable storage, lineage cut), otherwise persisted
+MEMORY_AND_DISK (lost blocks are recomputed from lineage, and identical
+inputs of several reports share one cache entry).  ``materialise`` forces
+"checkpoint", "persist" or "none".
 """
 
 from __future__ import annotations
@@ -182,7 +183,12 @@ def _sorted_samples(sample: DataFrame, specs: Sequence[NtileSpec], key_columns:
 
 def _materialise(df: DataFrame, how: str) -> DataFrame:
     if how == "auto":
-        how = "persist"
+        # On a cluster that names a shared checkpoint folder, cut the lineage
+        # there: losing executors mid-way then never recomputes the upstream
+        # joins.  Locally (tests, single machine) persisting is enough.
+        sc = df.sparkSession.sparkContext
+        on_cluster = not sc.master.startswith("local")
+        how = "checkpoint" if on_cluster and checkpoint_dir(df.sparkSession) else "persist"
     if how == "checkpoint":
         if not checkpoint_dir(df.sparkSession):
             raise ValueError("materialise='checkpoint' needs spark.checkpoint.dir")
