@@ -132,3 +132,38 @@ def test_property_matches_window_ntile(spark, values, n, bins, ascending, nulls_
     keys = (SortKey("v", ascending, nulls_first), asc("id"))
     got = global_ntile(df, n, keys, "q", bins=bins, materialise="none")
     assert_same(got, reference(df, n, keys, "q"), "id", "q")
+
+
+def test_auto_materialise_checkpoints_only_on_clusters_with_a_folder():
+    from mercata.operators.ntile import _materialise
+
+    class Conf:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, key, default=None):
+            return self.value if key == "spark.checkpoint.dir" else default
+
+    class Context:
+        def __init__(self, master, folder):
+            self.master, self.folder = master, folder
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def getConf(self):
+            return Conf(None)
+
+    class Frame:
+        def __init__(self, master, folder):
+            self.sparkSession = type("S", (), {"sparkContext": Context(master, folder)})()
+
+        def checkpoint(self, eager):
+            return "checkpointed"
+
+        def persist(self, level):
+            return "persisted"
+
+    assert _materialise(Frame("yarn", "hdfs:///ckpt"), "auto") == "checkpointed"
+    assert _materialise(Frame("yarn", None), "auto") == "persisted"
+    assert _materialise(Frame("local[8]", "/tmp/ckpt"), "auto") == "persisted"
