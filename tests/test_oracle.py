@@ -13,7 +13,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 def _norm(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else float(f"{v:.9g}")
+        return None if math.isnan(v) else repr(v)
     if hasattr(v, "isoformat"):
         return v.isoformat()
     return v
