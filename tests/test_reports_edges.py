@@ -257,3 +257,22 @@ def test_run_all_shared_scoring_equals_direct_reports(fixture_tables):
         ("two_tier_segment_revenue", lambda: plans.two_tier_segment_revenue(fixture_tables, FIXTURE_ANCHOR)),
     ):
         assert sorted(map(tuple, reports[name].collect())) == sorted(map(tuple, direct().collect())), name
+
+
+def test_month_over_month_edges(mk):
+    rows = [("o1", dt.datetime(2018, 1, 5), "10.00"), ("o2", dt.datetime(2018, 2, 5), "0.00"),
+            ("o3", dt.datetime(2018, 3, 5), "5.00"), ("o4", dt.datetime(2018, 4, 5), "7.50")]
+    t = mk(
+        orders=[order(o, o, ts=ts) for o, ts, _ in rows],
+        order_items=[item(o, 1, price, "0.00") for o, _, price in rows],
+    )
+    got = [(r["month"].month, r["prev_revenue"], r["revenue_change_pct"])
+           for r in plans.monthly_revenue(t, "2018-01-01", "2018-05-01", month_over_month=True).collect()]
+    assert got == [
+        (1, None, None),                  # no previous month
+        (2, D("10.00"), D("-100.00")),
+        (3, D("0.00"), None),             # change against zero: NULL, not an error
+        (4, D("5.00"), D("50.00")),
+    ]
+    totals = plans.revenue_totals(t, "2018-01-01", "2018-05-01").first()
+    assert (totals["total_revenue"], totals["total_orders"]) == (D("22.50"), 4)
