@@ -276,3 +276,27 @@ def test_month_over_month_edges(mk):
     ]
     totals = plans.revenue_totals(t, "2018-01-01", "2018-05-01").first()
     assert (totals["total_revenue"], totals["total_orders"]) == (D("22.50"), 4)
+
+
+def test_key_and_domain_reports_find_violations(mk):
+    t = mk(
+        orders=[order("o1", "c1"), order("o1", "c1"), order("o2", "c_missing"), order("o3", None)],
+        customers=[{"customer_id": "c1", "customer_unique_id": "p1", "customer_state": "SPX"}],
+        order_items=[item("o1", 1), item("o_missing", 1), item("o2", 1, seller="s_missing", product="p_missing")],
+        sellers=[{"seller_id": "s1", "seller_state": "SP"}],
+        products=[{"product_id": "p1", "product_category_name": "x"}],
+        order_reviews=[{"review_id": "r1", "order_id": "o_gone", "review_score": 9}, {"review_id": "r2", "order_id": "o1", "review_score": None}],
+    )
+    keys = {(r["check"], r["table_name"], r["columns"]): r["violations"] for r in plans.key_report(t).collect()}
+    assert keys[("duplicate primary key", "orders", "order_id")] == 1
+    assert keys[("orphan of customers", "orders", "customer_id")] == 1  # NULL customer_id is not an orphan
+    assert keys[("orphan of orders", "order_items", "order_id")] == 1
+    assert keys[("orphan of sellers", "order_items", "seller_id")] == 1
+    assert keys[("orphan of products", "order_items", "product_id")] == 1
+    assert keys[("orphan of orders", "order_reviews", "order_id")] == 1
+    domain = {(r["table_name"], r["rule"]): r["violations"] for r in plans.domain_report(t).collect()}
+    assert domain[("customers", "length(customer_state) = 2")] == 1
+    assert domain[("sellers", "length(seller_state) = 2")] == 0
+    assert domain[("order_reviews", "review_score between 1 and 5")] == 1  # NULL score passes
+    cov = plans.order_coverage(t).first()
+    assert (cov["total_orders"], cov["unique_customers"]) == (4, 2)
