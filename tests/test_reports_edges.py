@@ -300,3 +300,23 @@ def test_key_and_domain_reports_find_violations(mk):
     assert domain[("order_reviews", "review_score between 1 and 5")] == 1  # NULL score passes
     cov = plans.order_coverage(t).first()
     assert (cov["total_orders"], cov["unique_customers"]) == (4, 2)
+
+
+def test_having_edges_null_scores_and_window(mk):
+    ts = dt.datetime(2018, 5, 1)
+    orders_, reviews = [], []
+    for i in range(4):  # four reviews in one speed/accuracy cell, one with a NULL score
+        oid = f"o{i}"
+        orders_.append(order(oid, oid, ts=ts, delivered=ts + dt.timedelta(days=2), estimated=ts + dt.timedelta(days=10)))
+        reviews.append({"review_id": f"r{i}", "order_id": oid, "review_score": None if i == 0 else 5})
+    orders_.append(order("o_late", "c", status="shipped", ts=dt.datetime(2019, 1, 1)))
+    t = mk(orders=orders_, order_reviews=reviews)
+    assert plans.speed_x_accuracy(t, min_orders=4).count() == 1  # exactly at the threshold: kept
+    assert plans.speed_x_accuracy(t, min_orders=5).count() == 0
+    row = plans.speed_x_accuracy(t, min_orders=4).first()
+    assert row["avg_review_score"] == D("5.00")  # NULL score left out of the average
+    assert row["pct_negative_reviews"] == D("0.0")  # but counted in the denominator rows
+    dist = plans.review_distribution(t).collect()
+    assert dist[0]["review_score"] is None  # descending order puts NULL first
+    window = plans.analysis_window(t).first()
+    assert window["analysis_anchor_date"] == dt.date(2018, 5, 1) and window["total_delivered_orders"] == 4
