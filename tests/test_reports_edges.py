@@ -320,3 +320,14 @@ def test_having_edges_null_scores_and_window(mk):
     assert dist[0]["review_score"] is None  # descending order puts NULL first
     window = plans.analysis_window(t).first()
     assert window["analysis_anchor_date"] == dt.date(2018, 5, 1) and window["total_delivered_orders"] == 4
+
+
+def test_average_days_round_half_away_from_zero(mk):
+    ts = dt.datetime(2018, 6, 1)
+    t = mk(
+        orders=[order("o1", "c1", ts=ts, delivered=ts + dt.timedelta(hours=6), estimated=ts + dt.timedelta(hours=12))],
+        order_reviews=[{"review_id": "r1", "order_id": "o1", "review_score": 4}],
+    )
+    row = plans.delivery_by_score(t).first()
+    assert row["avg_delivery_days"] == D("0.3")  # 0.25 days; banker's rounding would give 0.2
+    assert row["avg_days_vs_estimate"] == D("-0.3")  # -0.25 days
