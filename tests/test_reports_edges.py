@@ -331,3 +331,14 @@ def test_average_days_round_half_away_from_zero(mk):
     row = plans.delivery_by_score(t).first()
     assert row["avg_delivery_days"] == D("0.3")  # 0.25 days; banker's rounding would give 0.2
     assert row["avg_days_vs_estimate"] == D("-0.3")  # -0.25 days
+
+
+def test_cohort_activity_sample_order_and_limit(mk):
+    rows = [("a1", "B", dt.datetime(2017, 1, 3)), ("a2", "B", dt.datetime(2017, 3, 3)), ("a3", "B", dt.datetime(2017, 3, 20)),
+            ("b1", "A", dt.datetime(2017, 1, 9)), ("c1", "C", dt.datetime(2017, 2, 1))]
+    t = mk(
+        orders=[order(o, o, ts=ts) for o, _, ts in rows],
+        customers=[{"customer_id": o, "customer_unique_id": p} for o, p, _ in rows],
+    )
+    got = [(r["customer_unique_id"], r["month_index"]) for r in plans.cohort_activity_sample(t, "2017-01-01", k=3).collect()]
+    assert got == [("A", 0), ("B", 0), ("B", 2)]  # person, then month index; cohort C (Feb) excluded
