@@ -60,3 +60,6 @@ def test_entry_smoke(spark):
     df = entry(spark)
     assert df.count() > 0
     assert df.columns[:3] == ["segment", "customers", "pct_customers"]
+    again = entry(spark)
+    assert again.schema == df.schema
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, df.collect()))
