@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .token_files import read_token_files, scratch_dir, write_token_files
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +27,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    index = write_token_files(read_table(spark, sf_dir, "documents"), tokenizer or tokenizer_path("word_bpe_49k.json"), scratch_dir(spark))
+    return read_token_files(index)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -26,6 +39,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_token_files": op3_token_files,
     "op10_mix_sources": op10_mix_sources,
 }
 
