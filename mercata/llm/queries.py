@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_and_decode
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .mixing import mix
@@ -32,6 +33,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return read_token_files(index)
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    out = encode_and_decode(read_table(spark, sf_dir, "documents"), tokenizer or tokenizer_path("byte_bpe_50k.json"), digests_only=True)
+    return out.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -40,6 +46,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_token_files": op3_token_files,
+    "op8_bpe": op8_bpe,
     "op10_mix_sources": op10_mix_sources,
 }
 
