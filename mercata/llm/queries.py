@@ -13,6 +13,7 @@ from .bpe import encode_and_decode
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .near_dedup import near_dedup
 from .token_files import read_token_files, scratch_dir, write_token_files
 
 
@@ -33,6 +34,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return read_token_files(index)
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     out = encode_and_decode(read_table(spark, sf_dir, "documents"), tokenizer or tokenizer_path("byte_bpe_50k.json"), digests_only=True)
     return out.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
@@ -46,6 +51,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_token_files": op3_token_files,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op8_bpe": op8_bpe,
     "op10_mix_sources": op10_mix_sources,
 }
