@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_and_decode
 from .common import read_table
 from .exact_dedup import exact_dedup
+from .language_id import identify
 from .mixing import mix
 from .near_dedup import near_dedup
 from .token_files import read_token_files, scratch_dir, write_token_files
@@ -34,6 +35,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return read_token_files(index)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_token_files": op3_token_files,
+    "op5_language_id": op5_language_id,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op8_bpe": op8_bpe,
     "op10_mix_sources": op10_mix_sources,
