@@ -321,32 +321,30 @@ class TextEncoder:
         return spread(self.bytes, self.begins[ids], lengths), np.concatenate([[0], np.cumsum(lengths)])
 
 
-def encode_and_decode(docs: DataFrame, vocabulary_path: str, digests_only: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids (little-endian unsigned
-    32-bit integers), decoded text; or the two as SHA-256 in hex."""
+def encode_and_decode(docs: DataFrame, vocabulary_path: str, ids: bool = True, decoded: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and
+    as asked for ids (little-endian unsigned 32-bit integers) and the decoded
+    text."""
     # Bounded by the vocabulary; state is what a worker keeps between its tasks.
     shared = docs.sparkSession.sparkContext.broadcast({"vocabulary": load_vocabulary(vocabulary_path), "state": {}})
-    kinds = (pa.string(), pa.string()) if digests_only else (pa.binary(), pa.string())
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids, *["decoded"] * decoded]
+    kinds = {"ids": "binary", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
     def run(batches):
         encoder = TextEncoder(shared.value["vocabulary"], shared.value["state"])
         for batch in batches:
-            for row, end, ids, counts in encoder.texts(batch.column(1)):
-                data, place = encoder.decode(ids)
+            for row, end, found, counts in encoder.texts(batch.column(1)):
+                data, place = encoder.decode(found)
                 edges = np.concatenate([[0], np.cumsum(counts)])
-                raw, text = ids.astype("<u4").tobytes(), data.tobytes()
+                raw, text = found.astype("<u4").tobytes(), data.tobytes()
                 at, to = (edges * 4).tolist(), place[edges].tolist()
                 coded = [raw[a:b] for a, b in zip(at, at[1:])]
-                decoded = [text[a:b].decode("utf-8", "replace") for a, b in zip(to, to[1:])]
-                if digests_only:
-                    coded = [hashlib.sha256(x).hexdigest() for x in coded]
-                    decoded = [hashlib.sha256(x.encode("utf-8")).hexdigest() for x in decoded]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[row:end], pa.array(counts.astype(np.int64)), pa.array(coded, kinds[0]), pa.array(decoded, kinds[1])],
-                    ["doc_id", "n_tokens", "ids", "decoded"],
-                )
-
-    kind = "string" if digests_only else "binary"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id long, n_tokens long, ids {kind}, decoded string"
-    )
+                back = [text[a:b].decode("utf-8", "replace") for a, b in zip(to, to[1:])]
+                columns = [batch.column(0)[row:end], pa.array(counts.astype(np.int64))]
+                columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in coded], pa.string()))
+                columns.append(pa.array([hashlib.sha256(x.encode("utf-8")).hexdigest() for x in back], pa.string()))
+                columns += [pa.array(coded, pa.binary())] * ids + [pa.array(back, pa.string())] * decoded
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = ", ".join(f"{n} {kinds.get(n, 'long')}" for n in names)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

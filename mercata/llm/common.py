@@ -17,6 +17,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file on the driver, which sends its content
+    to the tasks."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: lineage ends there, later jobs read what earlier ones made, and a

@@ -176,35 +176,61 @@ def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
+class Scorer:
+    """Predictions for Arrow arrays of texts."""
+
+    def __init__(self, model: dict):
+        self.model = model
+        self.names = np.array([*model["langs"], UNKNOWN], object)
+        self.ascii_letters = np.zeros(256, bool)
+        self.ascii_letters[[*range(65, 91), *range(97, 123)]] = True
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(language, score) of each text."""
+        best, score = np.full(len(texts), len(self.names) - 1), np.zeros(len(texts))
+        if self.model["langs"]:
+            for row, end, data, offsets in text_parts(texts):
+                letters = np.concatenate([[0], np.cumsum(self.ascii_letters[data])])
+                some = np.diff(letters[offsets]) > 0
+                for i in np.flatnonzero(~some & (np.diff(offsets) > 0)):
+                    some[i] = has_letter(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
+                bits = code_lengths(self.model, data, offsets)
+                first = bits.argmin(axis=1)
+                least = bits[np.arange(len(bits)), first]
+                share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
+                best[row:end], score[row:end] = np.where(some, first, len(self.names) - 1), np.where(some, share, 0.0)
+        return self.names[best], score
+
+
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """One row per document: doc_id, lang_pred, score (the language's share
     if each had been as likely before reading the text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: ``states`` rows
-    ascii_letters = np.zeros(256, bool)
-    ascii_letters[[*range(65, 91), *range(97, 123)]] = True
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: ``states`` contexts
 
     def run(batches):
-        model = shared.value
-        names = np.array([*model["langs"], UNKNOWN], object)
+        scorer = Scorer(shared.value)
         for batch in batches:
-            for row, end, data, offsets in text_parts(batch.column(1)):
-                letters = np.concatenate([[0], np.cumsum(ascii_letters[data])])
-                some = np.diff(letters[offsets]) > 0
-                for i in np.flatnonzero(~some & (np.diff(offsets) > 0)):
-                    some[i] = has_letter(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
-                if model["langs"]:
-                    bits = code_lengths(model, data, offsets)
-                    best = bits.argmin(axis=1)
-                    least = bits[np.arange(len(bits)), best]
-                    score = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
-                else:
-                    best, score, some = np.zeros(end - row, np.int64), np.zeros(end - row), np.zeros(end - row, bool)
-                best, score = np.where(some, best, len(names) - 1), np.where(some, score, 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[row:end], pa.array(names[best], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            langs, score = scorer(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: dict, least_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in a learned language
+    with at least this score; one pass, no shuffle."""
+    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    at = names.index("text")
+
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            langs, score = scorer(batch.column(at))
+            yield batch.filter(pa.array((langs != UNKNOWN) & (score >= least_score)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, **bounds) -> DataFrame:
     """Learns from the table's labelled documents and predicts all: doc_id,
     held_out, lang_pred, score."""

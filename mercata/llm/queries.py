@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_and_decode
-from .common import read_table
+from .common import read_table, tokenizer_path
 from .exact_dedup import exact_dedup
 from .language_id import identify
 from .mixing import mix
@@ -18,13 +18,6 @@ from .near_dedup import near_dedup
 from .token_files import read_token_files, scratch_dir, write_token_files
 
 
-def tokenizer_path(name: str) -> str:
-    """Place of a public tokenizer file on the driver."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -44,8 +37,7 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    out = encode_and_decode(read_table(spark, sf_dir, "documents"), tokenizer or tokenizer_path("byte_bpe_50k.json"), digests_only=True)
-    return out.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+    return encode_and_decode(read_table(spark, sf_dir, "documents"), tokenizer or tokenizer_path("byte_bpe_50k.json"), ids=False, decoded=False)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
