@@ -15,6 +15,7 @@ from .exact_dedup import exact_dedup
 from .language_id import identify
 from .mixing import mix
 from .near_dedup import near_dedup
+from .substring_dedup import substring_dedup
 from .token_files import read_token_files, scratch_dir, write_token_files
 
 
@@ -36,6 +37,10 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read_table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     return encode_and_decode(read_table(spark, sf_dir, "documents"), tokenizer or tokenizer_path("byte_bpe_50k.json"), ids=False, decoded=False)
 
@@ -50,6 +55,7 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op5_language_id": op5_language_id,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_bpe": op8_bpe,
     "op10_mix_sources": op10_mix_sources,
 }
