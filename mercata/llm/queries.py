@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_and_decode
 from .common import read_table, tokenizer_path
 from .exact_dedup import exact_dedup
+from .html_text import extract
 from .language_id import identify
 from .mixing import mix
 from .near_dedup import near_dedup
@@ -25,6 +26,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     index = write_token_files(read_table(spark, sf_dir, "documents"), tokenizer or tokenizer_path("word_bpe_49k.json"), scratch_dir(spark))
     return read_token_files(index)
@@ -57,6 +62,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_html_text": op2_html_text,
     "op3_token_files": op3_token_files,
     "op4_top_k": op4_top_k,
     "op5_language_id": op5_language_id,
