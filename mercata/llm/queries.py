@@ -16,6 +16,7 @@ from .html_text import extract
 from .language_id import identify
 from .mixing import mix
 from .near_dedup import near_dedup
+from .pii import find_pii
 from .substring_dedup import substring_dedup
 from .token_files import read_token_files, scratch_dir, write_token_files
 from .top_k import top_k
@@ -55,6 +56,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
     return encode_and_decode(read_table(spark, sf_dir, "documents"), tokenizer or tokenizer_path("byte_bpe_50k.json"), ids=False, decoded=False)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read_table(spark, sf_dir, "documents"), redacted=False)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -69,6 +74,7 @@ QUERIES = {
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_bpe": op8_bpe,
+    "op9_pii": op9_pii,
     "op10_mix_sources": op10_mix_sources,
 }
 
