@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercata.llm.bpe import encode_and_decode
-from mercata.llm.common import cut, read_table, tokenizer_path
+from mercata.llm.common import cut, free_names, read_table, tokenizer_path
 from mercata.llm.exact_dedup import exact_dedup
 from mercata.llm.language_id import keep_known, learn
 from mercata.llm.mixing import mix
@@ -29,11 +29,10 @@ LEAST_SCORE = 0.5
 
 
 def keep_documents(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``kept`` (NULL is an id too);
-    of rows that repeat doc_id and text, one."""
-    ids = kept.select(F.col("doc_id").cast("long").alias("kept_id")).distinct()
-    found = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    return found.select(*docs.columns)
+    """The rows of ``docs`` whose doc_id is in ``kept`` (NULL is an id too)."""
+    (kept_id,) = free_names(docs, "kept_id")
+    ids = kept.select(F.col("doc_id").cast("long").alias(kept_id)).distinct()
+    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)), "left_semi")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +43,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest doc_id."""
     found = keep_documents(docs, exact_dedup(docs).where("kept"))
-    text = F.xxhash64("text").alias("text_hash")
-    return found.withColumn("text_hash", text).dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns)
+    (text_hash,) = free_names(docs, "text_hash")
+    return found.withColumn(text_hash, F.xxhash64("text")).dropDuplicates(["doc_id", text_hash]).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +55,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words; the one at a
     source's cut stays if at least half of its words are taken."""
-    share = mix(docs).groupBy(F.col("doc_id").alias("mix_id")).agg(F.sum("taken").alias("mix_taken"), F.sum("size").alias("mix_size"))
-    times = share.where("mix_size > 0").select("mix_id", F.round(F.col("mix_taken") / F.col("mix_size")).cast("int").alias("mix_times")).where("mix_times > 0")
-    rows = docs.join(times, F.col("doc_id").cast("long").eqNullSafe(F.col("mix_id")))
-    return rows.withColumn("mix_times", F.explode(F.sequence(F.lit(1), "mix_times"))).select(*docs.columns)
+    mix_id, times = free_names(docs, "mix_id", "mix_times")
+    share = mix(docs).groupBy(F.col("doc_id").alias(mix_id)).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    copies = share.where("size > 0").select(mix_id, F.round(F.col("taken") / F.col("size")).cast("int").alias(times)).where(F.col(times) > 0)
+    rows = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col(mix_id)))
+    return rows.withColumn(times, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
