@@ -1,52 +1,42 @@
 """Exact ``NTILE(n) OVER (ORDER BY ...)`` over a whole table, distributed.
 
 ``F.ntile(n).over(Window.orderBy(...))`` has no partition key, so Spark moves
-every row into a single task.  This operator computes the same buckets with
-the work spread over many tasks:
-
-1. Count the rows (``N``) and draw a bounded seeded sample of the sort keys.
-   The sample (at most ``samples_per_bin * max_bins`` rows) is the only thing
-   that reaches the driver; its sorted quantiles become split points.
-2. Each row's bin is the number of split points at or below its key, found
-   by an unrolled binary search over the split points held in one array
-   literal (log2 of the bin count small projections, all inside whole-stage
-   codegen).  A row's bin depends on the row alone: retries, AQE and
-   re-planning cannot move rows between bins.
-3. ``row_number()`` over ``Window.partitionBy(bin).orderBy(keys)`` ranks the
-   rows inside their bin (one shuffle into as many partitions as there are
-   bins, sorted per task).  The row
-   counts per bin -- one small aggregate job for all specs, at most
-   ``max_bins`` numbers each -- give each bin's global offset, which enters
-   the plan as a literal array.
-4. With the global 0-based rank ``i``, ``q = N div n`` and ``r = N mod n``,
-   the bucket is ``i div (q+1) + 1`` when ``i < r*(q+1)``, else
-   ``r + (i - r*(q+1)) div q + 1`` -- exactly NTILE's rule (the first ``r``
-   buckets get one extra row).
-
-Pass a unique last key (an entity id): then ties in the leading keys are
-split evenly across bins, even if one value holds most rows.  Without it,
-rows with equal keys share a bin and their relative order is arbitrary,
-which is also what NTILE promises for ties.
+every row into a single task.  Here the table is never sorted or shuffled:
+NTILE(n) is known once the n - 1 keys are known at which a new bucket begins.
+
+1. Count the rows (``N``); the bucket borders are the ranks that NTILE's rule
+   fixes (the first ``N mod n`` buckets get one extra row).
+2. A bounded seeded sample of the sort keys gives two bracket keys around each
+   border, a few standard errors apart.  One aggregate job counts the rows
+   before and up to each bracket; a border that its bracket misses gets an
+   open bracket instead, so the sample never decides the result.
+3. Only the rows within a bracket are ranked, in one window per border, and
+   the row at the border's rank gives its key.  A bracket holds a small share
+   of the table (about 5 / sqrt(sample)).
+4. Every row's bucket is 1 + the number of border keys at or before its own:
+   a projection with n - 1 comparisons, no shuffle.  A row's bucket depends on
+   the row alone, so retries and re-planning cannot move rows.
+
+Pass a unique last key (an entity id).  Rows are ordered further by a hash of
+all their columns, so other rows that tie are split too; rows that are equal in
+every column are interchangeable, and if a border falls among them they are
+counted and laid down again bucket by bucket.
 
 Null ordering follows the SQL-standard default used by the reports' source
 engine: NULLs sort last ascending and first descending, unless
-``nulls_first`` says otherwise.  The input must be deterministic; it is
-read three times (count + sample, bin counts, rows), so it is materialised
-once: on a cluster whose session names ``spark.checkpoint.dir`` it is
-checkpointed there (reliable storage, lineage cut), otherwise persisted
-MEMORY_AND_DISK (lost blocks are recomputed from lineage, and identical
-inputs of several reports share one cache entry).  ``materialise`` forces
-"checkpoint", "persist" or "none".
+``nulls_first`` says otherwise.  The input must be deterministic; it is read
+four times (count, sample, counts, borders and rows), so it is checkpointed
+first unless ``materialise='none'``.  The operator runs jobs when it is called.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,126 +98,93 @@ def _lexi_before(keys: Sequence[SortKey], split: str) -> str:
     return expr
 
 
-def _add_bins(df: DataFrame, specs: Sequence[NtileSpec], all_splits: Sequence[Sequence[tuple]], names: Sequence[str]) -> DataFrame:
-    """Add one column per spec: the number of its split points at or below
-    the row's key.
-
-    Each spec's sorted split points are one array literal (data, not code);
-    an unrolled binary search narrows ``[lo, hi]`` to the answer in
-    ceil(log2(len+1)) projections, every projection advancing all specs at
-    once.  Each row costs O(log bins) comparisons and the generated code stays
-    small for any number of bins."""
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    init, searches = [], []
-    for spec, splits, out in zip(specs, all_splits, names):
-        if not splits:
-            init.append(F.lit(0).alias(out))
-            continue
-        structs = []
-        for split in splits:
-            fields = ", ".join(
-                f"'k{i}', CAST({sql_literal(v)} AS {types[k.column]})"
-                for i, (k, v) in enumerate(zip(spec.order_by, split))
-            )
-            structs.append(f"named_struct({fields})")
-        arr, lo, hi = f"{out}__splits", f"{out}__lo", f"{out}__hi"
-        n = len(splits)
-        init += [F.expr(f"array({', '.join(structs)})").alias(arr), F.lit(0).alias(lo), F.lit(n).alias(hi)]
-        mid = f"((`{lo}` + `{hi}`) div 2)"
-        before = _lexi_before(spec.order_by, f"element_at(`{arr}`, CAST(least({mid}, {n - 1}) + 1 AS INT))")
-        step = [
-            F.expr(f"CASE WHEN `{lo}` < `{hi}` AND NOT {before} THEN {mid} + 1 ELSE `{lo}` END").alias(lo),
-            F.expr(f"CASE WHEN `{lo}` < `{hi}` AND {before} THEN {mid} ELSE `{hi}` END").alias(hi),
-        ]
-        searches.append((math.ceil(math.log2(n + 1)), lo, hi, arr, out, step))
-    df = df.select("*", *init)
-    for depth in range(max((s[0] for s in searches), default=0)):
-        moving = [s for s in searches if depth < s[0]]
-        replaced = {c for s in moving for c in (s[1], s[2])}
-        df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in replaced], *[e for s in moving for e in s[5]])
-    if searches:
-        done = {c for s in searches for c in (s[1], s[2], s[3])}
-        df = df.select(
-            *[F.col(f"`{c}`") for c in df.columns if c not in done],
-            *[F.col(f"`{s[1]}`").cast("int").alias(s[4]) for s in searches],
-        )
-    return df
-
-
-def _pick_splits(ordered: list[tuple], bins: int) -> list[tuple]:
-    """Every (len/bins)-th key of a sorted sample, without repeats."""
-    splits: list[tuple] = []
-    for j in range(1, bins):
-        candidate = ordered[(j * len(ordered)) // bins]
-        if not splits or candidate != splits[-1]:
-            splits.append(candidate)
-    return splits
-
-
-def _sorted_samples(sample: DataFrame, specs: Sequence[NtileSpec], key_columns: list[str]) -> list[list[tuple]]:
-    """The sample's keys in each spec's order, ranked by Spark itself (so the
-    split order follows exactly the comparisons of the search) in one job;
-    the sample is bounded, so ranking it in one partition is cheap."""
-    ranks = [
-        F.row_number().over(Window.orderBy(*[k.sort_column() for k in spec.order_by])).alias(f"__r{i}")
-        for i, spec in enumerate(specs)
-    ]
-    rows = sample.select(*key_columns, *ranks).collect()
+def _tie_column(df: DataFrame, name: str) -> Column:
+    """Hash of all columns that can be hashed (not maps)."""
+    columns = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*columns).alias(name)
+
+
+def _key_at_or_before(keys: Sequence[SortKey], types: Mapping[str, str], key: tuple, strictly: bool) -> str:
+    """SQL: the row sorts before ``key`` (or, unless ``strictly``, with it)."""
+    fields = ", ".join(f"'k{i}', CAST({sql_literal(v)} AS {types[k.column]})" for i, (k, v) in enumerate(zip(keys, key)))
+    row = f"named_struct({fields})"
+    before = _lexi_before(keys, row)
+    if strictly:
+        return before
+    same = " AND ".join(f"(`{k.column}` <=> {row}.k{i})" for i, k in enumerate(keys))
+    return f"({before} OR ({same}))"
+
+
+def _sorted_samples(sample: DataFrame, orders: Sequence[Sequence[SortKey]], key_columns: list[str]) -> list[list[tuple]]:
+    """The sample's keys in each order, ranked by Spark itself (so the order
+    follows exactly the comparisons of the search) in one job; the sample is
+    bounded, so ranking it in one partition is cheap."""
+    ranks = [F.row_number().over(Window.orderBy(*[k.sort_column() for k in keys])).alias(f"__r{i}") for i, keys in enumerate(orders)]
+    rows = sample.select(*[F.col(f"`{c}`") for c in key_columns], *ranks).collect()
     out = []
-    for i, spec in enumerate(specs):
-        pos = [key_columns.index(k.column) for k in spec.order_by]
-        ordered = sorted(rows, key=lambda r: r[f"__r{i}"])
-        out.append([tuple(r[p] for p in pos) for r in ordered])
+    for i, keys in enumerate(orders):
+        pos = [key_columns.index(k.column) for k in keys]
+        out.append([tuple(r[p] for p in pos) for r in sorted(rows, key=lambda r: r[f"__r{i}"])])
     return out
 
 
+def _border_ranks(total: int, n: int) -> list[int]:
+    """0-based ranks at which buckets 2..n begin; ``total`` if never."""
+    q, r = divmod(total, n)
+    return [j * q + min(j, r) for j in range(1, n)]
+
+
+@dataclass
+class _Border:
+    """A bucket border of one spec and the bracket around its key."""
+
+    spec: int
+    rank: int
+    lo: tuple | None = None
+    hi: tuple | None = None
+    key: tuple | None = None
+    before: int = 0
+
+
+def _bracket(border: _Border, ordered: list[tuple], total: int) -> None:
+    if not ordered:
+        return
+    m = len(ordered)
+    at, margin = border.rank / total * m, 2.5 * math.sqrt(m) + 1
+    lo, hi = math.floor(at - margin), math.ceil(at + margin)
+    border.lo = ordered[lo] if lo >= 0 else None
+    border.hi = ordered[hi] if hi < m else None
+
+
 def _materialise(df: DataFrame, how: str) -> DataFrame:
-    if how == "auto":
-        # On a cluster that names a shared checkpoint folder, cut the lineage
-        # there: losing executors mid-way then never recomputes the upstream
-        # joins.  Locally (tests, single machine) persisting is enough.
-        sc = df.sparkSession.sparkContext
-        on_cluster = not sc.master.startswith("local")
-        how = "checkpoint" if on_cluster and checkpoint_dir(df.sparkSession) else "persist"
-    if how == "checkpoint":
-        if not checkpoint_dir(df.sparkSession):
-            raise ValueError("materialise='checkpoint' needs spark.checkpoint.dir")
+    """``checkpoint`` (and ``auto``): cut the lineage in the session's
+    checkpoint folder, locally and on a cluster alike; nothing stays cached,
+    and the files go with the DataFrame when
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on."""
+    if how in ("auto", "checkpoint"):
+        if not checkpoint_dir(df.sparkSession, create_if_unset=True):
+            if how == "checkpoint":
+                raise ValueError("materialise='checkpoint' needs spark.checkpoint.dir")
+            return df
         return df.checkpoint(eager=True)
-    if how == "persist":
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
     if how == "none":
         return df
     raise ValueError(f"unknown materialise mode {how!r}")
 
 
-def _bucket_expr(rank0: str, total: int, n: int) -> Column:
-    q, r = divmod(total, n)
-    big = r * (q + 1)
-    return F.expr(
-        f"CASE WHEN `{rank0}` < {big} THEN `{rank0}` div {q + 1} + 1 "
-        f"ELSE {r} + (`{rank0}` - {big}) div {max(q, 1)} + 1 END"
-    ).cast("int")
-
-
 def add_ntiles(
     df: DataFrame,
     specs: Sequence[NtileSpec],
     *,
-    bins: int | None = None,
-    rows_per_bin: int = 2_000_000,
-    min_rows_per_bin: int = 100,
-    max_bins: int = 4096,
+    bins: int = 1024,
     samples_per_bin: int = 16,
     seed: int = 20240601,
     materialise: str = "auto",
 ) -> DataFrame:
     """Add one NTILE column per spec, each over the whole of ``df``.
 
-    ``bins`` fixes the number of range bins (for tests); by default it grows
-    with the row count (``rows_per_bin``), is at least the cluster's default
-    parallelism when the data allows (``min_rows_per_bin``) and at most
-    ``max_bins``.
-    """
+    ``bins * samples_per_bin`` keys are sampled (their number sets only how
+    wide the brackets are, never the result or the size of the plan)."""
     for spec in specs:
         if spec.n <= 0:
             raise ValueError("NTILE needs a positive bucket count")
@@ -235,67 +192,97 @@ def add_ntiles(
             raise ValueError("NTILE needs at least one sort key")
     base = _materialise(df, materialise)
     total = base.count()
+    outs = {spec.out for spec in specs}
+    keep = [F.col(f"`{c}`") for c in base.columns if c not in outs]
     if total == 0:
-        out = base
-        for spec in specs:
-            out = out.withColumn(spec.out, F.lit(None).cast("int"))
-        return out
-
-    if bins is None:
-        parallelism = base.sparkSession.sparkContext.defaultParallelism
-        bins = max(
-            math.ceil(total / rows_per_bin),
-            min(parallelism, math.ceil(total / min_rows_per_bin)),
+        return base.select(*keep, *[F.lit(None).cast("int").alias(spec.out) for spec in specs])
+
+    tie = "__ntile_tie"
+    tied = base.select("*", _tie_column(base, tie))
+    orders = [(*spec.order_by, SortKey(tie)) for spec in specs]
+    key_columns = list(dict.fromkeys(k.column for keys in orders for k in keys))
+    types = {f.name: f.dataType.simpleString() for f in tied.schema.fields}
+    fraction = min(1.0, samples_per_bin * bins / total)
+    sample = tied.select(*[F.col(f"`{c}`") for c in key_columns]).sample(False, fraction, seed)
+    ordered = _sorted_samples(sample, orders, key_columns)
+
+    borders = [_Border(i, rank) for i, spec in enumerate(specs) for rank in dict.fromkeys(_border_ranks(total, spec.n)) if 0 < rank < total]
+    for b in borders:
+        _bracket(b, ordered[b.spec], total)
+    _locate(tied, orders, types, borders, total)
+
+    out = tied
+    for i, spec in enumerate(specs):
+        mine = [b for b in borders if b.spec == i]
+        passed = [f"CASE WHEN {_key_at_or_before(orders[i], types, b.key, True)} THEN 0 ELSE 1 END" for b in mine]
+        out = out.withColumn(f"__ntile_{i}", F.expr(" + ".join(["1", *passed])).cast("int"))
+    across = [b for b in borders if b.before < b.rank]
+    if across:
+        out = _split_equal_rows(out, orders, types, across)
+    return out.select(*keep, *[F.col(f"__ntile_{i}").alias(spec.out) for i, spec in enumerate(specs)])
+
+
+def _locate(tied: DataFrame, orders, types, borders: list[_Border], total: int) -> None:
+    """Finds each border's key, and how many rows sort strictly before it."""
+    if not borders:
+        return
+    counted = []
+    for j, b in enumerate(borders):
+        lo = "FALSE" if b.lo is None else _key_at_or_before(orders[b.spec], types, b.lo, True)
+        hi = "TRUE" if b.hi is None else _key_at_or_before(orders[b.spec], types, b.hi, False)
+        counted += [F.count_if(F.expr(lo)).alias(f"b{j}"), F.count_if(F.expr(hi)).alias(f"u{j}")]
+    row = tied.agg(*counted).first()
+    parts = []
+    for j, b in enumerate(borders):
+        below, upto = row[f"b{j}"], row[f"u{j}"]
+        if below > b.rank:  # the bracket missed the border: open it on that side
+            b.lo, below = None, 0
+        if upto <= b.rank:
+            b.hi = None
+        inside = [] if b.lo is None else [f"NOT {_key_at_or_before(orders[b.spec], types, b.lo, True)}"]
+        inside += [] if b.hi is None else [_key_at_or_before(orders[b.spec], types, b.hi, False)]
+        keys = orders[b.spec]
+        sort = [k.sort_column() for k in keys]
+        ranked = (
+            tied.where(F.expr(" AND ".join(inside) if inside else "TRUE"))
+            .select(*[F.col(f"`{k.column}`") for k in keys])
+            .withColumn("__i", F.row_number().over(Window.partitionBy(F.lit(j)).orderBy(*sort)))
+            .withColumn("__first", F.rank().over(Window.partitionBy(F.lit(j)).orderBy(*sort)))
         )
-    bins = max(1, min(bins, max_bins, total))
-
-    key_columns: list[str] = []
-    for spec in specs:
-        for key in spec.order_by:
-            if key.column not in key_columns:
-                key_columns.append(key.column)
-    sample = None
-    if bins > 1:
-        fraction = min(1.0, samples_per_bin * bins / total)
-        sample = base.select(*key_columns).sample(False, fraction, seed)
-
-    ordered = _sorted_samples(sample, specs, key_columns) if sample is not None else [[] for _ in specs]
-    splits = [_pick_splits(rows, bins) if rows else [] for rows in ordered]
-    bin_names = [f"__ntile_bin_{idx}" for idx in range(len(specs))]
-    binned = _add_bins(base, specs, splits, bin_names)
-    bin_cols = [(name, len(sp) + 1) for name, sp in zip(bin_names, splits)]
-
-    # Rows per bin of every spec in one small job (at most max_bins numbers
-    # per spec reach the driver); running sums give each bin's offset.
-    tagged = F.expr(
-        "explode(array(" + ", ".join(f"named_struct('s', {i}, 'b', `{c}`)" for i, (c, _) in enumerate(bin_cols)) + "))"
-    )
-    counts = binned.select(tagged.alias("x")).groupBy("x.s", "x.b").count().collect()
-    offsets = []
-    for i, (_, nbins) in enumerate(bin_cols):
-        per_bin = [0] * nbins
-        for row in counts:
-            if row["s"] == i:
-                per_bin[row["b"]] = row["count"]
-        running, offs = 0, []
-        for c in per_bin:
-            offs.append(running)
-            running += c
-        offsets.append(offs)
-
-    # One shuffle per spec into exactly as many partitions as it has bins
-    # (independent of spark.sql.shuffle.partitions); the window then ranks
-    # each bin inside its task.
-    ranked, buckets = binned, []
-    for idx, spec in enumerate(specs):
-        (bin_col, nbins), rank_col = bin_cols[idx], f"__ntile_rank_{idx}"
-        window = Window.partitionBy(bin_col).orderBy(*[k.sort_column() for k in spec.order_by])
-        offset = F.expr(f"element_at(array({', '.join(f'{o}L' for o in offsets[idx])}), `{bin_col}` + 1)")
-        ranked = ranked.repartition(nbins, bin_col).select("*", (offset + F.row_number().over(window) - 1).alias(rank_col))
-        buckets.append(_bucket_expr(rank_col, total, spec.n).alias(spec.out))
-    outs = {spec.out for spec in specs}
-    keep = [F.col(f"`{c}`") for c in binned.columns if not c.startswith("__ntile_") and c not in outs]
-    return ranked.select(*keep, *buckets)
+        cells = [F.col(f"`{k.column}`").alias(f"k{p}") for p, k in enumerate(keys)]
+        parts.append((j, below, ranked.where(F.col("__i") == b.rank - below + 1).select(F.lit(j).alias("j"), F.col("__first"), *cells)))
+    # Keys of different specs differ in type, so each spec's borders are one job.
+    for spec in dict.fromkeys(b.spec for b in borders):
+        mine = [part for j, _, part in parts if borders[j].spec == spec]
+        below = {j: n for j, n, _ in parts}
+        for found in reduce(DataFrame.unionByName, mine).collect():
+            b = borders[found["j"]]
+            b.key = tuple(found[f"k{p}"] for p in range(len(orders[spec])))
+            b.before = below[found["j"]] + found["__first"] - 1
+
+
+def _split_equal_rows(out: DataFrame, orders, types, across: list[_Border]) -> DataFrame:
+    """Rows equal in all columns at a border's key: as many as the border's
+    rank leaves go to the bucket before it.  They are counted (partial
+    aggregates) and laid down again, so a large group is no hot task."""
+    groups: dict[tuple, list[_Border]] = {}
+    for b in across:
+        groups.setdefault((b.spec, b.key), []).append(b)
+    ties = {key: _same(orders[key[0]], types, key[1]) for key in groups}
+    any_tie = " OR ".join(f"({t})" for t in ties.values())
+    columns = out.columns
+    copies = out.where(F.expr(any_tie)).groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("__n"))
+    laid = copies.select(*[F.col(f"`{c}`") for c in columns], F.explode(F.expr("sequence(0L, __n - 1)")).alias("__i"))
+    for (spec, _), borders in groups.items():
+        tie = ties[(spec, borders[0].key)]
+        back = " + ".join(f"CASE WHEN __i < {b.rank - b.before} THEN 1 ELSE 0 END" for b in borders)
+        laid = laid.withColumn(f"__ntile_{spec}", F.expr(f"CASE WHEN {tie} THEN `__ntile_{spec}` - ({back}) ELSE `__ntile_{spec}` END"))
+    rest = out.where(~F.coalesce(F.expr(any_tie), F.lit(False)))
+    return rest.unionByName(laid.drop("__i"))
+
+
+def _same(keys: Sequence[SortKey], types: Mapping[str, str], key: tuple) -> str:
+    return " AND ".join(f"(`{k.column}` <=> CAST({sql_literal(v)} AS {types[k.column]}))" for k, v in zip(keys, key))
 
 
 def global_ntile(

@@ -134,36 +134,45 @@ def test_property_matches_window_ntile(spark, values, n, bins, ascending, nulls_
     assert_same(got, reference(df, n, keys, "q"), "id", "q")
 
 
-def test_auto_materialise_checkpoints_only_on_clusters_with_a_folder():
-    from mercata.operators.ntile import _materialise
-
-    class Conf:
-        def __init__(self, value):
-            self.value = value
-
-        def get(self, key, default=None):
-            return self.value if key == "spark.checkpoint.dir" else default
-
-    class Context:
-        def __init__(self, master, folder):
-            self.master, self.folder = master, folder
-
-        def getCheckpointDir(self):
-            return self.folder
-
-        def getConf(self):
-            return Conf(None)
-
-    class Frame:
-        def __init__(self, master, folder):
-            self.sparkSession = type("S", (), {"sparkContext": Context(master, folder)})()
-
-        def checkpoint(self, eager):
-            return "checkpointed"
-
-        def persist(self, level):
-            return "persisted"
-
-    assert _materialise(Frame("yarn", "hdfs:///ckpt"), "auto") == "checkpointed"
-    assert _materialise(Frame("yarn", None), "auto") == "persisted"
-    assert _materialise(Frame("local[8]", "/tmp/ckpt"), "auto") == "persisted"
+def test_nothing_stays_cached_and_the_given_folder_is_used(spark):
+    import os
+
+    folder = spark.sparkContext.getCheckpointDir()
+    before = sum(len(f) for _, _, f in os.walk(folder.removeprefix("file:")))
+    got = global_ntile(spark.range(200).withColumnRenamed("id", "k"), 4, [asc("k")], "b")
+    assert got.count() == 200
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+    assert sum(len(f) for _, _, f in os.walk(folder.removeprefix("file:"))) > before
+
+
+def test_plan_moves_no_table_and_stays_small_at_any_sample_size(spark):
+    """Three specs at a large bin count: built within a stated time, with a
+    small plan and no exchange of the table."""
+    import time
+
+    df = spark.range(100_000).select(F.col("id").alias("k"), (F.col("id") * 7919 % 1000).alias("x"))
+    specs = [NtileSpec(5, (asc("x"), asc("k")), "r"), NtileSpec(5, (desc("x"), asc("k")), "f"), NtileSpec(5, (desc("k"),), "m")]
+    began = time.time()
+    got = add_ntiles(df, specs, bins=4096, materialise="none")
+    assert time.time() - began < 90
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and len(plan) < 200_000
+    for spec in specs:
+        assert_same(got, reference(df, spec.n, spec.order_by, spec.out), "k", spec.out)
+
+
+@pytest.mark.parametrize("n_rows", [5, 12, 40])
+def test_rows_equal_in_all_columns(spark, n_rows):
+    """Without a unique key the sizes still follow NTILE's rule, also when
+    whole rows repeat across several borders."""
+    df = spark.createDataFrame([(1, "x")] * n_rows + [(0, "a"), (2, None)], "v int, s string")
+    got = add_ntiles(df, [NtileSpec(5, (asc("v"),), "q"), NtileSpec(3, (desc("s"),), "p")], bins=2, samples_per_bin=2)
+    for out, n in (("q", 5), ("p", 3)):
+        want = sorted(r["count"] for r in df.withColumn(out, F.ntile(n).over(Window.orderBy("v"))).groupBy(out).count().collect())
+        sizes = {r[out]: r["count"] for r in got.groupBy(out).count().collect()}
+        assert sorted(sizes.values()) == want and sorted(sizes) == list(range(1, len(sizes) + 1))
+        key = "v" if out == "q" else "s"
+        if key == "v":
+            edges = [(r["v"], r[out]) for r in got.collect()]
+            assert all(a[1] <= b[1] for a in edges for b in edges if a[0] < b[0])
+    assert got.count() == n_rows + 2
