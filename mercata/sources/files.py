@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercata.schemas import CSV_FILES, SCHEMAS
@@ -14,6 +15,33 @@ from mercata.schemas import CSV_FILES, SCHEMAS
 MULTILINE_TABLES = frozenset({"order_reviews"})
 
 
+def _status(spark: SparkSession, path: str):
+    """Hadoop's file status of ``path`` in whatever store its URI names, or
+    None if nothing is there."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getFileStatus(place) if fs.exists(place) else None
+
+
+def child(directory: str, name: str) -> str:
+    """``name`` under a folder given as a plain path or a URI."""
+    return f"{directory.rstrip('/')}/{name}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store its URI names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _require(spark: SparkSession, paths: dict[str, str]) -> None:
+    """Raises if a table's file or folder is missing, naming all that are."""
+    missing = [f"{table} ({path})" for table, path in paths.items() if _status(spark, path) is None]
+    if missing:
+        raise FileNotFoundError(f"missing tables: {', '.join(missing)}")
+
+
 def load_csv(
     spark: SparkSession,
     path: str,
@@ -21,6 +49,7 @@ def load_csv(
     *,
     mode: str = "FAILFAST",
     multi_line: bool | None = None,
+    validate: bool = True,
 ) -> DataFrame:
     """Read one table's CSV with its declared schema (no inference).
 
@@ -32,14 +61,20 @@ def load_csv(
     parser yields NULL for unquoted empties by itself; ``nullValue`` is set
     to a NUL character, which never occurs in text, so that Spark does not
     also turn the quoted empty string into NULL).  A row that does not fit
-    the schema aborts the load (``FAILFAST``), like a bulk ``COPY``.
+    the schema aborts the read (``FAILFAST``), like a bulk ``COPY``.  A query
+    parses only the columns that it keeps, so ``validate`` (the default) first
+    reads all columns of all rows once and raises on a bad value in any.  Load
+    CSV once and keep Parquet (:func:`write_tables`) for repeated reads.
     """
     schema = SCHEMAS[table]
-    if os.path.isdir(path) and os.path.exists(os.path.join(path, CSV_FILES[table])):
-        path = os.path.join(path, CSV_FILES[table])
+    status = _status(spark, path)
+    if status is None:
+        raise FileNotFoundError(path)
+    if status.isDirectory() and _status(spark, child(path, CSV_FILES[table])) is not None:
+        path = child(path, CSV_FILES[table])
     if multi_line is None:
         multi_line = table in MULTILINE_TABLES
-    return (
+    rows = (
         spark.read.schema(schema)
         .option("header", True)
         .option("mode", mode)
@@ -50,35 +85,35 @@ def load_csv(
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
         .csv(path)
     )
+    if validate:
+        rows.agg(*[F.count(f"`{c}`") for c in rows.columns]).collect()
+    return rows
 
 
 def load_marketplace_csv(
-    spark: SparkSession, directory: str, files: dict[str, str] | None = None
+    spark: SparkSession, directory: str, files: dict[str, str] | None = None, tables: Iterable[str] | None = None, validate: bool = True
 ) -> dict[str, DataFrame]:
-    """Load every table whose CSV file exists under ``directory``."""
+    """Load the tables' CSV files under ``directory`` (a path or any URI that
+    Spark reads); all nine by default, ``tables`` to load fewer.  A missing
+    file raises."""
     files = files or CSV_FILES
-    tables = {}
-    for table, name in files.items():
-        path = os.path.join(directory, name)
-        if os.path.exists(path):
-            tables[table] = load_csv(spark, path, table)
-    return tables
+    paths = {table: child(directory, files[table]) for table in (files if tables is None else tables)}
+    _require(spark, paths)
+    return {table: load_csv(spark, path, table, validate=validate) for table, path in paths.items()}
 
 
-def load_marketplace_parquet(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
-    """Load ``<directory>/<table>`` Parquet datasets written by :func:`write_tables`."""
-    tables = {}
-    for table in SCHEMAS:
-        path = os.path.join(directory, table)
-        if os.path.exists(path):
-            tables[table] = spark.read.parquet(path)
-    return tables
+def load_marketplace_parquet(spark: SparkSession, directory: str, tables: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    """Load ``<directory>/<table>`` Parquet datasets written by
+    :func:`write_tables`; all nine by default.  A missing one raises."""
+    paths = {table: child(directory, table) for table in (SCHEMAS if tables is None else tables)}
+    _require(spark, paths)
+    return {table: spark.read.parquet(path) for table, path in paths.items()}
 
 
 def write_tables(tables: dict[str, DataFrame], directory: str) -> None:
     """Idempotent re-create: each table is overwritten as Parquet."""
     for table, df in tables.items():
-        df.write.mode("overwrite").parquet(os.path.join(directory, table))
+        df.write.mode("overwrite").parquet(child(directory, table))
 
 
 # Tables keyed by order: stored in the same number of buckets on order_id,
@@ -92,11 +127,14 @@ def write_bucketed_tables(
     """Save the tables as Parquet catalog tables under ``directory``; the
     order-keyed ones bucketed (and sorted) by ``order_id`` into ``buckets``
     buckets, so joins on ``order_id`` and per-order aggregates read
-    co-partitioned files instead of shuffling.  Overwrites (idempotent)."""
+    co-partitioned files instead of shuffling.  Rows are dealt by the bucket
+    key first, so each bucket is one file.  Overwrites (idempotent)."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
     names = []
     for table, df in tables.items():
-        writer = df.write.mode("overwrite").format("parquet").option("path", os.path.join(directory, table))
+        if table in ORDER_KEYED:
+            df = df.repartition(buckets, "order_id")
+        writer = df.write.mode("overwrite").format("parquet").option("path", child(directory, table))
         if table in ORDER_KEYED:
             writer = writer.bucketBy(buckets, "order_id").sortBy("order_id")
         name = f"`{database}`.`{table}`"
@@ -105,13 +143,14 @@ def write_bucketed_tables(
     return names
 
 
-def load_catalog_tables(spark: SparkSession, database: str) -> dict[str, DataFrame]:
-    """The marketplace tables of a catalog database (keeps their bucketing)."""
-    return {
-        table: spark.table(f"`{database}`.`{table}`")
-        for table in SCHEMAS
-        if spark.catalog.tableExists(f"{database}.{table}")
-    }
+def load_catalog_tables(spark: SparkSession, database: str, tables: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    """The marketplace tables of a catalog database (keeps their bucketing);
+    all nine by default.  A missing one raises."""
+    wanted = list(SCHEMAS if tables is None else tables)
+    missing = [t for t in wanted if not spark.catalog.tableExists(f"{database}.{t}")]
+    if missing:
+        raise FileNotFoundError(f"missing tables in {database}: {', '.join(missing)}")
+    return {table: spark.table(f"`{database}`.`{table}`") for table in wanted}
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "parquet") -> None:

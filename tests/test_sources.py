@@ -47,6 +47,32 @@ def test_csv_bad_row_fails(spark):
         load_csv(spark, path, "order_items").collect()
 
 
+@pytest.mark.parametrize("row", ["o2,x,p,s,2018-01-01 00:00:00,1.00,2.00", "o2,2,p,s,2018-01-01 00:00:00,1.0x,2.00", "o2,2,p,s,not a day,1.00,2.00"])
+def test_bad_value_in_any_column_fails_the_load(spark, tmp_path, row):
+    path = tmp_path / "items.csv"
+    path.write_text("order_id,order_item_id,product_id,seller_id,shipping_limit_date,price,freight_value\no1,1,p,s,2018-01-01 00:00:00,1.00,2.00\n" + row + "\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        load_csv(spark, str(path), "order_items")
+    assert load_csv(spark, str(path), "order_items", validate=False).select("order_id").count() == 2
+
+
+def test_uris_and_missing_tables(spark, tmp_path):
+    (tmp_path / CSV_FILES["sellers"]).write_text("seller_id,seller_zip_code_prefix,seller_city,seller_state\ns1,01037,x,SP\n")
+    for place in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/"):
+        tables = load_marketplace_csv(spark, place, tables=["sellers"])
+        assert list(tables) == ["sellers"] and tables["sellers"].count() == 1
+        assert load_csv(spark, place, "sellers").count() == 1
+        with pytest.raises(FileNotFoundError, match="orders"):
+            load_marketplace_csv(spark, place)
+    write_tables(tables, f"file://{tmp_path}/pq")
+    for place in (f"{tmp_path}/pq", f"file://{tmp_path}/pq"):
+        assert load_marketplace_parquet(spark, place, ["sellers"])["sellers"].count() == 1
+        with pytest.raises(FileNotFoundError, match="orders"):
+            load_marketplace_parquet(spark, place)
+    with pytest.raises(FileNotFoundError):
+        load_csv(spark, f"file://{tmp_path}/nothing.csv", "sellers")
+
+
 def test_marketplace_csv_parquet_round_trip(spark):
     src = tempfile.mkdtemp(prefix="mercata-src-")
     _write(src, CSV_FILES["orders"],
@@ -54,12 +80,12 @@ def test_marketplace_csv_parquet_round_trip(spark):
            "o1,c1,delivered,2018-01-01 10:00:00,,,2018-01-05 10:00:00,2018-01-10 00:00:00\n")
     _write(src, CSV_FILES["order_items"],
            "order_id,order_item_id,product_id,seller_id,shipping_limit_date,price,freight_value\no1,1,p1,s1,2018-01-02 00:00:00,10.50,2.25\n")
-    tables = load_marketplace_csv(spark, src)
+    tables = load_marketplace_csv(spark, src, tables=["orders", "order_items"])
     assert set(tables) == {"orders", "order_items"}
     out = tempfile.mkdtemp(prefix="mercata-pq-")
     write_tables(tables, out)
     write_tables(tables, out)  # idempotent re-create
-    again = load_marketplace_parquet(spark, out)
+    again = load_marketplace_parquet(spark, out, tables)
     assert again["order_items"].first()["price"] == tables["order_items"].first()["price"]
     from mercata import plans
 
