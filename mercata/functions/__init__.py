@@ -5,7 +5,6 @@ they stay inside whole-stage codegen."""
 from mercata.functions.arith import (
     avg_days,
     exact_avg,
-    sum_micros,
     total_micros,
     days_fraction,
     micros_between,
@@ -19,7 +18,6 @@ from mercata.functions.labels import band, label_by_rules
 __all__ = [
     "avg_days",
     "exact_avg",
-    "sum_micros",
     "total_micros",
     "band",
     "days_fraction",

@@ -75,15 +75,9 @@ def exact_avg(total: Column | str, count: Column | str, scale: int, value_scale:
     return round_ratio(unscaled(total, value_scale), den, scale)
 
 
-def sum_micros(us: Column) -> list[Column]:
-    """Two exact bigint partial sums of a microsecond column (see
-    :func:`split_micros`); combine with :func:`total_micros`."""
-    seconds, rest = split_micros(us)
-    return [F.sum(seconds), F.sum(rest)]
-
-
 def total_micros(sum_seconds: Column | str, sum_rest: Column | str) -> Column:
-    """Recombine :func:`sum_micros` parts into one decimal(38,0) total."""
+    """The total, as decimal(38,0), of sums of the two parts that
+    :func:`split_micros` makes."""
     return _col(sum_seconds).cast(D38) * F.lit(MICROS_PER_SECOND).cast(D38) + _col(sum_rest).cast(D38)
 
 

@@ -6,8 +6,11 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import math
+from collections.abc import Sequence
 from typing import Any
 
+from pyspark.sql import DataFrame, SparkSession
+
 
 def sql_literal(value: Any) -> str:
     """An exact Spark SQL literal for ``value``."""
@@ -30,3 +33,10 @@ def sql_literal(value: Any) -> str:
     if isinstance(value, dt.date):
         return f"DATE '{value.isoformat()}'"
     raise TypeError(f"no SQL literal for {type(value).__name__}")
+
+
+def values_table(spark: SparkSession, rows: Sequence[Sequence[Any]], names: Sequence[str]) -> DataFrame:
+    """A small fixed table as a VALUES relation, whose size the planner knows
+    (rows from Python are of unknown size to it)."""
+    body = ", ".join("(" + ", ".join(sql_literal(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(f'`{n}`' for n in names)})")

@@ -50,6 +50,20 @@ def unmatched_count(left: DataFrame, right: DataFrame, keys, name: str = "unmatc
     return unmatched(left, right, keys).agg(F.count(F.lit(1)).alias(name))
 
 
+def null_key_count(df: DataFrame, keys: Sequence[str], name: str = "violations") -> DataFrame:
+    """Rows with a NULL in any of the key columns (a primary key allows none)."""
+    return df.agg(F.count_if(reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])).alias(name))
+
+
+def orphan_count(child: DataFrame, parent: DataFrame, keys: Mapping[str, str], name: str = "violations") -> DataFrame:
+    """Child rows whose key has no parent row; NULL keys are no orphans.
+    Rows are counted per key first (partial aggregates), so only one row per
+    key meets the parent, and a hot key is one row like any other."""
+    known = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    counted = child.filter(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    return unmatched(counted, parent, keys).agg(F.coalesce(F.sum("__rows"), F.lit(0)).alias(name))
+
+
 def null_counts(df: DataFrame, columns: Mapping[str, str] | Sequence[str]) -> DataFrame:
     """One pass: ``SUM(CASE WHEN c IS NULL THEN 1 ELSE 0 END)`` per column.
     On an empty table the sums are NULL, not 0, as in SQL."""
@@ -59,7 +73,7 @@ def null_counts(df: DataFrame, columns: Mapping[str, str] | Sequence[str]) -> Da
     )
 
 
-def coverage(df: DataFrame, ts: str, distinct: str, prefix: str = "") -> DataFrame:
+def coverage(df: DataFrame, ts: str, distinct: str) -> DataFrame:
     """Earliest/latest timestamp, row count and exact distinct count."""
     return df.agg(
         F.min(ts).alias("earliest_order"),

@@ -13,6 +13,8 @@ from mercata.operators.quality import (
     distribution,
     duplicate_keys,
     null_counts,
+    null_key_count,
+    orphan_count,
     row_counts as _row_counts,
     unmatched,
     unmatched_count,
@@ -80,30 +82,20 @@ def orphan_rows(t: Tables, child: str, columns: tuple[str, ...], parent: str, pa
 
 def key_report(t: Tables) -> DataFrame:
     """Every declared key of the loaded tables: ``check, table_name,
-    columns, violations`` (duplicate primary keys and orphan foreign keys)."""
+    columns, violations`` (key values that repeat, rows with a NULL in the
+    primary key, rows whose foreign key has no parent)."""
     parts = []
+
+    def line(counted: DataFrame, check: str, table: str, columns: tuple[str, ...]) -> None:
+        parts.append(counted.select(F.lit(check).alias("check"), F.lit(table).alias("table_name"), F.lit(",".join(columns)).alias("columns"), "violations"))
+
     for table, keys in PRIMARY_KEYS.items():
         if table in t:
-            dups = duplicate_keys(t[table], list(keys))
-            parts.append(
-                dups.agg(F.count(F.lit(1)).alias("violations")).select(
-                    F.lit("duplicate primary key").alias("check"),
-                    F.lit(table).alias("table_name"),
-                    F.lit(",".join(keys)).alias("columns"),
-                    "violations",
-                )
-            )
+            line(duplicate_keys(t[table], list(keys)).agg(F.count(F.lit(1)).alias("violations")), "duplicate primary key", table, keys)
+            line(null_key_count(t[table], list(keys)), "null in primary key", table, keys)
     for child, cols, parent, pcols in FOREIGN_KEYS:
         if child in t and parent in t:
-            orphans = orphan_rows(t, child, cols, parent, pcols)
-            parts.append(
-                orphans.agg(F.count(F.lit(1)).alias("violations")).select(
-                    F.lit(f"orphan of {parent}").alias("check"),
-                    F.lit(child).alias("table_name"),
-                    F.lit(",".join(cols)).alias("columns"),
-                    "violations",
-                )
-            )
+            line(orphan_count(t[child], t[parent], dict(zip(cols, pcols))), f"orphan of {parent}", child, cols)
     return reduce(DataFrame.unionByName, parts)
 
 

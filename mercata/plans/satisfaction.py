@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercata.functions.arith import (
@@ -29,10 +29,12 @@ from mercata.functions.arith import (
     unscaled,
 )
 from mercata.functions.labels import band
+from mercata.functions.sql import values_table
 from mercata.operators.reshape import pivot_values, reindex_on
 from mercata.operators.shares import share_of_total
 from mercata.operators.topk import top_k
 from mercata.plans.entities import (
+    ENTITY,
     Tables,
     delivered_orders,
     order_review_stats,
@@ -177,45 +179,44 @@ def negative_rate_matrix(t: Tables) -> DataFrame:
         long, ["delivery_band"], "estimate_status", ESTIMATE_STATUS_LABELS, "pct_negative",
         ["on_time_or_early", "late"],
     )
-    spark = long.sparkSession
-    bands = spark.createDataFrame(
-        [(label, i) for i, label in enumerate(SPEED_LABELS_PLAIN)], "delivery_band string, band_order int"
-    )
+    bands = values_table(long.sparkSession, [(label, i) for i, label in enumerate(SPEED_LABELS_PLAIN)], ["delivery_band", "band_order"])
+    bands = bands.withColumn("band_order", F.col("band_order").cast("int"))
     return reindex_on(wide, bands, "delivery_band", "band_order").select(
         "delivery_band", "band_order", "on_time_or_early", "late"
     )
 
 
 def items_per_order(t: Tables, key: str) -> DataFrame:
-    """Items reduced to ``(order_id, key)`` with item count and revenue."""
-    return t["order_items"].groupBy("order_id", key).agg(
-        F.count(F.lit(1)).alias("n_items"),
-        F.sum(F.col("price") + F.col("freight_value")).alias("item_revenue"),
+    """Items of delivered, reviewed orders reduced to ``(order_id, key)`` with
+    item count and revenue, along with the order's review sums.
+
+    Items meet the orders first: that join deals them by order_id (or finds
+    them dealt so in bucketed tables), and the reduction keeps that layout, so
+    they are moved once."""
+    if f"{ENTITY}items_per_{key}" in t:
+        return t[f"{ENTITY}items_per_{key}"]
+    stats = ["n_reviews", "n_scored", "score_sum", "n_negative"]
+    items = t["order_items"].select("order_id", key, (F.col("price") + F.col("freight_value")).alias("item_total"))
+    return items.join(order_review_stats(t), "order_id").groupBy("order_id", key, *stats).agg(
+        F.count(F.lit(1)).alias("n_items"), F.sum("item_total").alias("item_revenue")
     )
 
 
-def _seller_orders(t: Tables) -> DataFrame:
-    """(seller, delivered order with reviews) rows with the order's review
-    sums; one row per pair."""
-    return items_per_order(t, "seller_id").join(order_review_stats(t), "order_id")
-
-
 def worst_sellers(t: Tables, min_reviews: int = 50, k: int = 25) -> DataFrame:
     """4.4 sellers with at least ``min_reviews`` distinct reviews, highest
     negative share first.
 
-    One pass: items reduced to (order, seller, item count), joined to the
-    review rows of delivered orders; each row stands for ``n_items`` rows of
-    the source's fan-out join.  Distinct orders and distinct review ids (ids
-    may repeat) are exact distinct counts of the same aggregation."""
+    Items are reduced to (order, seller, item count) and joined to the review
+    rows of their orders; each row stands for ``n_items`` rows of the source's
+    fan-out join.  One review of each order carries a flag, so orders are a
+    plain sum and only review ids (which may repeat) are counted distinct."""
     score = F.col(REVIEW_SCORE)
     n_items = F.col("n_items")
-    reviews = t["order_reviews"].select("order_id", "review_id", REVIEW_SCORE).join(
-        delivered_orders(t, "order_id"), "order_id"
-    )
-    rows = items_per_order(t, "seller_id").join(reviews, "order_id")
+    nth = F.row_number().over(Window.partitionBy("order_id").orderBy("review_id"))
+    reviews = t["order_reviews"].select("order_id", "review_id", REVIEW_SCORE).withColumn("is_first", nth == 1)
+    rows = items_per_order(t, "seller_id").select("order_id", "seller_id", "n_items").join(reviews, "order_id")
     measures = rows.groupBy("seller_id").agg(
-        F.count_distinct("order_id").alias("total_orders"),
+        F.count_if("is_first").alias("total_orders"),
         F.count_distinct("review_id").alias("total_reviews"),
         F.sum(n_items).alias("n_rows"),
         F.sum(F.when(score.isNotNull(), n_items)).alias("n_scored"),
@@ -258,7 +259,7 @@ def seller_quality_tiers(
     fan-out join."""
     n_items = F.col("n_items")
     sellers = (
-        _seller_orders(t)
+        items_per_order(t, "seller_id")
         .groupBy("seller_id")
         .agg(
             F.count(F.lit(1)).alias("orders"),
@@ -304,10 +305,10 @@ def category_satisfaction(t: Tables, min_orders: int = 200, k: int = 20) -> Data
     """4.6 categories with at least ``min_orders`` reviewed delivered orders,
     highest negative share first."""
     items = t["order_items"].select("order_id", "product_id").join(product_categories(t), "product_id")
-    per_order = items.groupBy("order_id", "category").agg(F.count(F.lit(1)).alias("n_items"))
+    stats = ["n_reviews", "n_scored", "score_sum", "n_negative"]
+    per_order = items.join(order_review_stats(t), "order_id").groupBy("order_id", "category", *stats).agg(F.count(F.lit(1)).alias("n_items"))
     grouped = (
-        per_order.join(order_review_stats(t), "order_id")
-        .groupBy("category")
+        per_order.groupBy("category")
         .agg(F.count(F.lit(1)).alias("orders"), *weighted_review_measures(F.col("n_items")))
         .filter(F.col("orders") >= min_orders)
     )
