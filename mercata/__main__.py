@@ -63,15 +63,12 @@ def main(argv: list[str] | None = None) -> int:
     if unknown:
         parser.error(f"unknown report(s): {', '.join(unknown)}")
     anchor = None if args.anchor == "latest" else args.anchor
-    reports = run_all(
-        tables,
-        args.out,
-        args.format,
-        anchor=anchor,
-        from_cohort=args.from_cohort,
-        sample_cohort=args.sample_cohort,
-        revenue_range=(args.revenue_from, args.revenue_to),
-    )
+    options = {"from_cohort": args.from_cohort, "sample_cohort": args.sample_cohort, "revenue_range": (args.revenue_from, args.revenue_to)}
+    if args.out:
+        reports = run_all(tables, args.out, args.format, anchor=anchor, **options)
+    else:  # only what is printed
+        builders = report_builders(anchor, **options)
+        reports = {name: builders[name](tables) for name in args.show}
     for name in args.show:
         print(f"== {name}")
         reports[name].show(100, truncate=False)

@@ -1,21 +1,18 @@
 """Run every report in one session, sharing the expensive entities.
 
-``run_all`` persists the derived entities several reports rebuild (order
-revenue, per-person RFM base, cohort activity, per-order review sums, items
-per (order, seller)).
-Spark's cache matches any later plan that contains the same sub-plan, so
-each report that recomputes an entity reads the cached copy instead.  The
-distributed RFM scoring runs once and is handed to the four segment
-reports.  With ``out_dir`` every report is written (the aggregated exports)
-and the cache is released afterwards.
+``run_all`` writes the derived entities that several reports rebuild (order
+revenue, cohort activity, per-order review sums, items per (order, seller))
+once to shared storage; the reports find them among the tables.  The
+distributed RFM scoring runs once and is handed to the four segment reports.
+Every report is written (the aggregated exports), then the shared files go.
 """
 
 from __future__ import annotations
 
-import os
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from mercata.plans import cohort, quality, revenue, rfm, satisfaction
@@ -23,7 +20,11 @@ from mercata.plans import entities as E
 from mercata.plans.entities import Anchor, Tables
 from mercata.plans.satisfaction import items_per_order
 from mercata.plans.rules import DEFAULT_ANCHOR, DEFAULT_FROM_COHORT, DEFAULT_REVENUE_RANGE, DEFAULT_SAMPLE_COHORT
-from mercata.sources.files import write_report
+from mercata.session import checkpoint_dir
+from mercata.sources.files import child, remove, write_report
+
+#: Reports over the loaded tables themselves, without the entities.
+AUDIT = frozenset({"row_counts", "key_report", "domain_report"})
 
 
 def report_builders(
@@ -70,37 +71,61 @@ def report_builders(
     }
 
 
-def shared_entities(t: Tables, anchor: Anchor = DEFAULT_ANCHOR) -> list[DataFrame]:
-    """The sub-plans worth computing once per run."""
-    return [
-        E.order_revenue(t),
-        E.rfm_raw(t, anchor),
-        E.active_months(t),
-        E.order_review_stats(t),
-        items_per_order(t, "seller_id"),
-    ]
+def shared_entities(t: Tables) -> dict[str, DataFrame]:
+    """The sub-plans worth computing once per run, by entity name."""
+    return {
+        "order_revenue": E.order_revenue(t),
+        "active_months": E.active_months(t),
+        "order_review_stats": E.order_review_stats(t),
+        "items_per_seller_id": items_per_order(t, "seller_id"),
+    }
+
+
+@contextmanager
+def prepared(t: Tables, anchor: Anchor = DEFAULT_ANCHOR, work_dir: str | None = None) -> Iterator[tuple[Tables, DataFrame]]:
+    """The tables together with the shared entities, and the RFM scores, all
+    written once as Parquet under ``work_dir`` (default: a new folder in the
+    session's checkpoint folder) and read back.  The folder is removed at the
+    end, also after an error; nothing is cached on executors."""
+    spark = next(iter(t.values())).sparkSession
+    root = work_dir or checkpoint_dir(spark, create_if_unset=True)
+    if root is None:
+        raise ValueError("name a work_dir, or set spark.checkpoint.dir, on storage that all executors share")
+    folder = child(root, f"run-{uuid.uuid4().hex}")
+
+    def kept(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(child(folder, name))
+        return spark.read.schema(df.schema).parquet(child(folder, name))
+
+    try:
+        entities: dict[str, DataFrame] = {}
+        for name in shared_entities(t):  # each sees those before it
+            entities[f"{E.ENTITY}{name}"] = kept(name, shared_entities({**t, **entities})[name])
+        ready = {**t, **entities}
+        yield ready, kept("rfm_scored", E.rfm_scored(ready, anchor, "rfm"))
+    finally:
+        remove(spark, folder)
 
 
 def run_all(
     t: Tables,
-    out_dir: str | None = None,
+    out_dir: str,
     fmt: str = "parquet",
     anchor: Anchor = DEFAULT_ANCHOR,
     from_cohort: str = DEFAULT_FROM_COHORT,
     sample_cohort: str = DEFAULT_SAMPLE_COHORT,
     revenue_range: tuple[str, str] = DEFAULT_REVENUE_RANGE,
+    work_dir: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Build every report; with ``out_dir``, also write each one there
-    (``<out_dir>/<report>``, overwritten) and release the shared cache."""
-    cached = [df.persist(StorageLevel.MEMORY_AND_DISK) for df in shared_entities(t, anchor)]
-    # One distributed scoring (r, f, m) serves all four segment reports.
-    scored = E.rfm_scored(t, anchor, "rfm").persist(StorageLevel.MEMORY_AND_DISK)
-    cached.append(scored)
-    builders = report_builders(anchor, from_cohort, sample_cohort, revenue_range, scored)
-    reports = {name: build(t) for name, build in builders.items()}
-    if out_dir is not None:
-        for name, df in reports.items():
-            write_report(df, os.path.join(out_dir, name), fmt)
-        for df in cached:
-            df.unpersist()
-    return reports
+    """Write every report to ``<out_dir>/<report>`` (overwritten) and return
+    the written reports."""
+    spark = next(iter(t.values())).sparkSession
+    with prepared(t, anchor, work_dir) as (ready, scored):
+        builders = report_builders(anchor, from_cohort, sample_cohort, revenue_range, scored)
+        schemas = {}
+        for name, build in builders.items():
+            report = build(ready if name not in AUDIT else t)
+            write_report(report, child(out_dir, name), fmt)
+            schemas[name] = report.schema
+    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+    return {name: reader.schema(schema).format(fmt).load(child(out_dir, name)) for name, schema in schemas.items()}

@@ -1,7 +1,8 @@
 """Marketplace tables derived from the driver's TPC-H-style test tables.
 
 The test data has orders, line items, customers, suppliers, parts and nations
-but no reviews, delivery dates or per-order customer ids.  The views below
+but no reviews, payments, places, delivery dates or per-order customer ids.
+The views below
 relabel the real columns and derive the missing ones by arithmetic on keys,
 so they are deterministic and identical in every engine (the DuckDB oracle
 builds the same views in ``oracle_sql.py``).  Derived values exercise the
@@ -13,13 +14,12 @@ column pruning of a report still reach the files.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mercata.functions.sql import values_table
 from mercata.schemas import SCHEMAS
-from mercata.sources.files import conform
+from mercata.sources.files import child, conform
 
 # Category translations of the fixture (PROMO deliberately
 # has no translation, so all three COALESCE arms of the category report fire).
@@ -43,7 +43,7 @@ FIXTURE_SELLER_LABELS = ("1. 3.15+", "2. 3.08-3.14", "3. 3.00-3.07", "4. 2.92-2.
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spark.read.parquet(child(sf_dir, f"{name}.parquet"))
 
 
 def _conform(df: DataFrame, table: str) -> DataFrame:
@@ -53,8 +53,7 @@ def _conform(df: DataFrame, table: str) -> DataFrame:
 
 
 def marketplace_from_testdata(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The seven marketplace tables the test data can back (no payments, no
-    geolocation)."""
+    """The nine marketplace tables, derived from the test data."""
     orders_raw = _read(spark, sf_dir, "orders")
     lineitem = _read(spark, sf_dir, "lineitem")
     customer = _read(spark, sf_dir, "customer")
@@ -125,8 +124,25 @@ def marketplace_from_testdata(spark: SparkSession, sf_dir: str) -> dict[str, Dat
         "products",
     )
 
-    translation = spark.createDataFrame(
-        FIXTURE_TRANSLATIONS, "product_category_name string, product_category_name_english string"
+    translation = values_table(spark, FIXTURE_TRANSLATIONS, ["product_category_name", "product_category_name_english"])
+
+    # One payment per order; every seventh order is paid in two parts.
+    part_no = F.explode(F.when(key % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    payments = _conform(
+        orders_raw.select(key.alias("order_id"), part_no.alias("payment_sequential")).withColumn(
+            "payment_value", ((F.col("order_id") % 100_000 + F.col("payment_sequential")) / 100).cast("decimal(10,2)")
+        ),
+        "order_payments",
+    )
+    # One place per customer.
+    geolocation = _conform(
+        customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(
+            F.col("c_custkey").alias("geolocation_zip_code_prefix"),
+            (F.col("c_custkey") % 90).cast("decimal(10,7)").alias("geolocation_lat"),
+            (-F.col("c_custkey") % 180).cast("decimal(10,7)").alias("geolocation_lng"),
+            F.col("n_name").alias("geolocation_state"),
+        ),
+        "geolocation",
     )
 
     # One review per order except every tenth order; orders with key % 50 = 1
@@ -154,5 +170,7 @@ def marketplace_from_testdata(spark: SparkSession, sf_dir: str) -> dict[str, Dat
         "sellers": sellers,
         "products": products,
         "product_category_translation": translation,
+        "order_payments": payments,
+        "geolocation": geolocation,
         "order_reviews": reviews,
     }

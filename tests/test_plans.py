@@ -2,8 +2,10 @@
 
 import datetime as dt
 import random
+import re
 from decimal import ROUND_HALF_UP, Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from mercata import plans
@@ -28,7 +30,7 @@ def test_filters_reach_parquet_scan(spark, tmp_path, capsys):
         ]),
     }
     write_tables(tables, str(tmp_path))
-    t = load_marketplace_parquet(spark, str(tmp_path))
+    t = load_marketplace_parquet(spark, str(tmp_path), tables)
     capsys.readouterr()
     plans.monthly_revenue(t, "2017-01-01", "2018-01-01").explain("formatted")
     text = capsys.readouterr().out
@@ -82,16 +84,69 @@ def test_round_ratio_matches_decimal_on_random_inputs(spark):
         assert got[(n, d, k, f)] == want, (n, d, k, f)
 
 
-def test_run_all_reports_read_shared_cache(spark, fixture_tables):
-    from mercata.plans.pipeline import run_all
+def _fixture_options():
     from mercata.sources.testdata import FIXTURE_ANCHOR, FIXTURE_FROM_COHORT, FIXTURE_REVENUE_RANGE, FIXTURE_SAMPLE_COHORT
 
-    reports = run_all(
-        fixture_tables, None, anchor=FIXTURE_ANCHOR, from_cohort=FIXTURE_FROM_COHORT,
-        sample_cohort=FIXTURE_SAMPLE_COHORT, revenue_range=FIXTURE_REVENUE_RANGE,
-    )
-    for name in ("worst_sellers", "seller_quality_tiers", "category_satisfaction", "retention_matrix", "monthly_revenue"):
-        assert "InMemoryTableScan" in _plan(reports[name]), name
+    return {"anchor": FIXTURE_ANCHOR, "from_cohort": FIXTURE_FROM_COHORT, "sample_cohort": FIXTURE_SAMPLE_COHORT, "revenue_range": FIXTURE_REVENUE_RANGE}
+
+
+def test_reports_read_the_prepared_entities(spark, fixture_tables, tmp_path):
+    from mercata.plans.pipeline import prepared, report_builders
+
+    with prepared(fixture_tables, _fixture_options()["anchor"], str(tmp_path)) as (ready, scored):
+        builders = report_builders(**_fixture_options(), scored=scored)
+        for name in ("worst_sellers", "seller_quality_tiers", "category_satisfaction", "retention_matrix", "monthly_revenue"):
+            assert str(tmp_path) in "".join(builders[name](ready).inputFiles()), name
+    assert list(tmp_path.iterdir()) == []
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+
+
+def test_a_failed_run_leaves_nothing_behind(spark, fixture_tables, tmp_path):
+    from mercata.plans.pipeline import run_all
+
+    broken = {**fixture_tables, "sellers": fixture_tables["sellers"].drop("seller_state")}
+    with pytest.raises(Exception):
+        run_all(broken, str(tmp_path / "out"), work_dir=str(tmp_path / "work"), **_fixture_options())
+    assert list((tmp_path / "work").iterdir()) == []
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_item_reports_move_items_once(no_broadcast, fixture_tables):
+    """Without broadcasts: one exchange of items on order_id, none on
+    (order_id, key), and no Expand for the distinct counts."""
+    for build in (plans.worst_sellers, plans.seller_quality_tiers, plans.category_satisfaction):
+        plan = _plan(build(fixture_tables))
+        assert "Expand" not in plan
+        assert not re.search(r"Exchange hashpartitioning\(order_id#\d+L?, (?!\d)", plan), build.__name__
+        node = re.compile(r"Exchange hashpartitioning\(order_id")
+        items = [line for line in plan.split("\n") if node.search(line)]
+        assert items
+
+
+def test_translation_join_is_broadcast_without_a_hint(spark, fixture_tables):
+    from mercata.plans.satisfaction import product_categories
+
+    assert "BroadcastHashJoin" in _plan(product_categories(fixture_tables))
+
+
+def test_key_report_meets_parents_by_key_count(no_broadcast, fixture_tables):
+    """Children are counted per key before they meet their parents, so no
+    shuffle carries raw items by seller or product."""
+    from mercata.operators.quality import orphan_count
+
+    plan = _plan(orphan_count(fixture_tables["order_items"], fixture_tables["sellers"], {"seller_id": "seller_id"}))
+    assert "partial_count" in plan.split("LeftAnti")[1]
 
 
 def test_order_bucketed_tables_skip_order_shuffles(spark, fixture_tables, tmp_path):
@@ -100,6 +155,7 @@ def test_order_bucketed_tables_skip_order_shuffles(spark, fixture_tables, tmp_pa
 
     write_bucketed_tables(spark, fixture_tables, str(tmp_path), "mercata_bucket_test", 4)
     bucketed = load_catalog_tables(spark, "mercata_bucket_test")
+    assert len([f for f in (tmp_path / "order_items").iterdir() if f.name.startswith("part-")]) == 4  # one file per bucket
     for build in (
         lambda t: plans.monthly_revenue(t, *FIXTURE_REVENUE_RANGE),
         plans.review_distribution,

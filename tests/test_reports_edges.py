@@ -242,12 +242,12 @@ def test_retention_forms_agree(fixture_tables):
             assert row[f"month_{m}"] == cells.get((r["cohort_month"], m))
 
 
-def test_run_all_shared_scoring_equals_direct_reports(fixture_tables):
+def test_run_all_shared_scoring_equals_direct_reports(fixture_tables, tmp_path):
     from mercata.plans.pipeline import run_all
     from mercata.sources.testdata import FIXTURE_ANCHOR, FIXTURE_FROM_COHORT, FIXTURE_REVENUE_RANGE, FIXTURE_SAMPLE_COHORT
 
     reports = run_all(
-        fixture_tables, None, anchor=FIXTURE_ANCHOR, from_cohort=FIXTURE_FROM_COHORT,
+        fixture_tables, str(tmp_path), anchor=FIXTURE_ANCHOR, from_cohort=FIXTURE_FROM_COHORT,
         sample_cohort=FIXTURE_SAMPLE_COHORT, revenue_range=FIXTURE_REVENUE_RANGE,
     )
     for name, direct in (
