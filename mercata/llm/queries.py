@@ -107,4 +107,48 @@ ORACLE_SQL = {
                text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op6_minhash_dedup": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), g AS (
+            SELECT DISTINCT doc_id, array_to_string(w[s : s + 4], ' ') AS shingle
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS s FROM d WHERE len(w) > 0)
+        ), n AS (
+            SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id
+        ), both_have AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+            FROM g x JOIN g y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL
+        ), link AS (
+            SELECT a, b FROM both_have JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+            WHERE 100 * common >= 75 * (x.size + y.size - common)
+        ), way AS (
+            SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+        ), reach AS (
+            SELECT a, b FROM way UNION SELECT reach.a, way.b FROM reach JOIN way ON reach.b = way.a
+        ), least AS (
+            SELECT a, min(b) AS b FROM reach GROUP BY a
+        )
+        SELECT d.doc_id, coalesce(size, 0) AS n_shingles, least(d.doc_id, coalesce(b, d.doc_id)) AS component_id,
+               d.doc_id = least(d.doc_id, coalesce(b, d.doc_id)) AS kept
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least ON a = d.doc_id
+    """,
+    "op7_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), win AS (
+            SELECT doc_id, s, array_to_string(w[s : s + 12], ' ') AS words
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d)
+        ), hit AS (
+            SELECT doc_id, s FROM (SELECT *, min(doc_id) OVER (PARTITION BY words) AS first FROM win) WHERE first < doc_id
+        ), gone AS (
+            SELECT DISTINCT doc_id, s + j AS p FROM hit, range(0, 13) AS t(j)
+        ), kept AS (
+            SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS words, count(*) AS n
+            FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
 }
