@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import PieceMemo, SpanHasher, spread, text_parts
+from .words import PieceMemo, SortedMemo, SpanHasher, spread, text_parts
 
 _U = np.uint64
 #: Pieces longer than this are encoded one by one, so that a very long run
@@ -86,7 +86,7 @@ def load_vocabulary(path: str) -> dict:
 class PrefixEncoder:
     """Encodes byte pieces; see the module's text."""
 
-    MOST_PAIRS = 2_000_000
+    MOST_PAIRS = 1_000_000
 
     def __init__(self, vocabulary: dict):
         import ahocorasick
@@ -102,10 +102,7 @@ class PrefixEncoder:
         for i in own[whole & ((self.length[own] == 1) | ends)].tolist():
             self.machine.add_word(self.tokens[i].decode("latin-1"), i)
         self.machine.make_automaton()
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known, self.verdict = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.pairs_seen = SortedMemo(bool)
 
     def _pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of a and b; beyond all ranks if there is none."""
@@ -134,19 +131,16 @@ class PrefixEncoder:
         return fine
 
     def _verdicts(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a << 32 | b
-        if len(self.known) > self.MOST_PAIRS:
-            self._forget()
-        at = np.minimum(np.searchsorted(self.known, key), max(0, len(self.known) - 1))
-        new = self.known[at] != key if len(self.known) else np.ones(len(key), bool)
-        if new.any():
-            fresh = np.unique(key[new])
-            every = np.concatenate([self.known, fresh])
-            order = np.argsort(every, kind="stable")
-            self.known = every[order]
-            self.verdict = np.concatenate([self.verdict, self._compatible(fresh >> 32, fresh & 0xFFFFFFFF)])[order]
-            at = np.searchsorted(self.known, key)
-        return self.verdict[at]
+        key = (a << 32 | b).astype(_U)
+        if len(self.pairs_seen) > self.MOST_PAIRS:
+            self.pairs_seen.clear()
+        known, (fine,) = self.pairs_seen.find(key)
+        if not known.all():
+            fresh = np.unique(key[~known])
+            verdict = self._compatible((fresh >> _U(32)).astype(np.int64), (fresh & _U(0xFFFFFFFF)).astype(np.int64))
+            self.pairs_seen.add(fresh, verdict)
+            fine[~known] = verdict[np.searchsorted(fresh, key[~known])]
+        return fine
 
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in order, ids per piece)."""

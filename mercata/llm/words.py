@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PART_BYTES = 1 << 22
+PART_BYTES = 1 << 20
 _U = np.uint64
 
 
@@ -92,38 +92,75 @@ def spread(pool: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndar
     return pool[np.repeat(begins - before, lengths) + np.arange(int(lengths.sum()))]
 
 
+class SortedMemo:
+    """Values of 64-bit keys in sorted arrays: a large level and a small one
+    that is merged into it now and then, so that adding a few keys to many is
+    cheap.  Memory per key is that of the arrays."""
+
+    def __init__(self, *kinds):
+        self.kinds = kinds
+        self.clear()
+
+    def clear(self) -> None:
+        self.levels = [[np.zeros(0, _U), *(np.zeros(0, k) for k in self.kinds)] for _ in range(2)]
+
+    def __len__(self) -> int:
+        return sum(len(level[0]) for level in self.levels)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(whether known, the values of each kind)."""
+        known, out = np.zeros(len(keys), bool), [np.zeros(len(keys), k) for k in self.kinds]
+        for own, *values in self.levels:
+            if len(own):
+                at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                hit = own[at] == keys
+                known |= hit
+                for o, v in zip(out, values):
+                    o[hit] = v[at[hit]]
+        return known, out
+
+    def add(self, keys: np.ndarray, *values: np.ndarray) -> None:
+        """Adds keys that are not known yet."""
+        self.levels[1] = self._merged(self.levels[1], [keys, *values])
+        if len(self.levels[1][0]) > max(1 << 15, len(self.levels[0][0]) // 8):
+            self.levels = [self._merged(*self.levels), [x[:0] for x in self.levels[1]]]
+
+    @staticmethod
+    def _merged(one: list[np.ndarray], two: list[np.ndarray]) -> list[np.ndarray]:
+        keys = np.concatenate([one[0], two[0]])
+        order = np.argsort(keys, kind="stable")
+        return [keys[order], *(np.concatenate([a, b.astype(a.dtype)])[order] for a, b in zip(one[1:], two[1:]))]
+
+
 class PieceMemo:
-    """Ids of text pieces by the pieces' 64-bit hashes, as sorted arrays.
+    """Ids of text pieces by the pieces' 64-bit hashes.
 
     Grows to ``most`` pieces and then starts afresh; lives as long as the
     caller keeps it (one task, or one Python worker)."""
 
-    def __init__(self, most: int = 1_500_000):
+    def __init__(self, most: int = 1_000_000):
         self.most = most
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.begins, self.lengths = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.pool = np.zeros(0, np.uint32)
+        self.memo, self.used, self.pool = SortedMemo(np.int64, np.int32), 0, np.zeros(1 << 16, np.uint32)
 
     def ids(self, hashes: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in order, ids per piece).  ``encode`` gets the
         places of pieces not yet known, one for each, and returns their
         (ids, ids per piece)."""
         keys, place, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > self.most:
+        if len(self.memo) > self.most:
             self.clear()
-        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
+        known, (begins, lengths) = self.memo.find(keys)
+        new = ~known
         if new.any():
-            got, lengths = encode(place[new])
-            begins = np.cumsum(lengths) - lengths + len(self.pool)
-            self.pool = np.concatenate([self.pool, got.astype(self.pool.dtype)])
-            every = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(every, kind="stable")
-            self.keys = every[order]
-            self.begins = np.concatenate([self.begins, begins])[order]
-            self.lengths = np.concatenate([self.lengths, lengths.astype(np.int32)])[order]
-            at = np.searchsorted(self.keys, keys)
-        begins, lengths = self.begins[at][back], self.lengths[at][back]
+            got, sizes = encode(place[new])
+            if self.used + len(got) > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(got), len(self.pool) // 2), np.uint32)])
+            self.pool[self.used : self.used + len(got)] = got
+            begins[new], lengths[new] = np.cumsum(sizes) - sizes + self.used, sizes
+            self.used += len(got)
+            self.memo.add(keys[new], begins[new], lengths[new])
+        begins, lengths = begins[back], lengths[back]
         return spread(self.pool, begins, lengths), lengths
