@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .words import text_parts
 
-ORDER, TRAIN_DOCS, NGRAMS, STATES = 4, 1000, 500_000, 12_000
+ORDER, TRAIN_DOCS, NGRAMS, STATES = 4, 1000, 200_000, 8_000
 UNKNOWN = "und"
 UNIT = 4096
 RUN_BYTES = 512
