@@ -16,6 +16,7 @@ MONEY = T.DecimalType(10, 2)
 COORD = T.DecimalType(10, 7)
 
 
+# Column names, order and types of the source schema.
 def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, dtype, True) for name, dtype in fields])
 
@@ -139,7 +140,7 @@ STATE_COLUMNS: dict[str, str] = {
     "geolocation": "geolocation_state",
 }
 
-# Source CSV file names of the public dataset.
+# File names of the public dataset's CSV export.
 CSV_FILES: dict[str, str] = {
     "customers": "olist_customers_dataset.csv",
     "sellers": "olist_sellers_dataset.csv",

@@ -11,6 +11,10 @@ from tests.conftest import SF_SMALL
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
 
+#: Spark's type names as DuckDB's.
+TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "int": "INTEGER"}
+
+
 def _norm(v):
     if isinstance(v, float):
         return None if math.isnan(v) else repr(v)
@@ -51,6 +55,7 @@ def test_query_matches_oracle(spark, duck, name):
     ocols = [d[0] for d in res.description]
     orows = res.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    assert {c: TYPES.get(t, t) for c, t in df.dtypes} == {d[0]: str(d[1]) for d in res.description}
     assert len(rows) == len(orows)
     assert _digest(rows, df.columns) == _digest(orows, ocols)
 
