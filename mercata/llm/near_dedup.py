@@ -19,11 +19,12 @@ linked if their sets' Jaccard similarity is at least ``percent`` per cent.
    sets; only confirmed links count.
 
 A posting list may hold a third of all classes, so lists are not expanded
-into pairs.  First every member is paired with the list's smallest and
-largest member (linear); confirmed links are merged into components; then
-only lists that still hold several components are joined, and only pairs from
-different components are looked at.  A pair within one component would not
-change the result.
+into pairs.  First every member is paired with the list's smallest member
+(linear); confirmed links are merged into components.  Of lists
+that still hold several components, the members are compared by prefix
+merging on their full sets, and only pairs of different components that pass
+its bound are looked at: all of them, and exactly.  A pair within one
+component would not change the result.
 
 With 64 coordinates and 30 matches, two classes of similarity 0.75 (48
 expected agreements) miss the threshold with probability below 1e-6, and that
@@ -43,6 +44,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -138,34 +140,78 @@ def _similar(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a long, b long")
 
 
-class _Confirm:
-    """Turns prefix collisions into confirmed links."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int, matches: int):
-        self.docs, self.classes, self.width, self.percent, self.matches = docs, classes, width, percent, matches
-
-    def __call__(self, collisions: DataFrame, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """``collisions``: (a, b, rest_a, rest_b), one row per shared posting,
-        rest: shared postings of the class behind it; ``done``: pairs (a, b)
-        already decided.  Returns (pairs decided, links among them).  A count
-        that saw only some of a pair's shared postings may skip it too early;
-        such pairs come again in the last round, which sees all."""
-        counted = collisions.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("n"), F.min("rest_a").alias("rest_a"), F.min("rest_b").alias("rest_b"))
-        hopeful = counted.where(
-            (F.col("n") + F.least("rest_a", "rest_b") >= self.matches)
-            & (100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
-        ).select("a", "b").distinct()
-        if done is not None:
-            hopeful = hopeful.join(done, ["a", "b"], "left_anti")
-        sides = {s: self.classes.select(F.col("rep").alias(s), F.col("signature").alias(f"signature_{s}")) for s in "ab"}
-        agree = F.size(F.array_intersect("signature_a", "signature_b"))
-        pairs = cut(hopeful.join(sides["a"], "a").join(sides["b"], "b").where(agree >= self.matches).select("a", "b").distinct())
-        wanted = pairs.select(F.col("a").alias("wanted")).union(pairs.select("b")).distinct()
-        texts = _texts(self.docs).join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
-        keys = self.classes.select(F.col("rep").alias("doc_id"), "set_key")
-        sets = cut(full_sets(texts, self.width).join(keys, ["doc_id", "set_key"], "left_semi").distinct())
-        named = {s: sets.select(F.col("doc_id").alias(s), F.col("shingles").alias(f"shingles_{s}")) for s in "ab"}
-        return pairs, cut(_similar(pairs.join(named["a"], "a").join(named["b"], "b"), self.percent))
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, shingles_a, shingles_b) of pairs (a, b)."""
+    named = {s: sets.select(F.col("doc_id").alias(s), F.col("shingles").alias(f"shingles_{s}")) for s in "ab"}
+    return pairs.join(named["a"], "a").join(named["b"], "b")
+
+
+def star_links(postings: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
+    """Confirmed links of each list's members to its smallest one."""
+    ends = postings.groupBy("token").agg(F.min(F.struct("rep", "rest", "n_shingles")).alias("end"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    star = postings.join(ends, "token").where("rep <> end.rep")
+    close = 100 * F.least("n_shingles", "end.n_shingles") >= percent * F.greatest("n_shingles", "end.n_shingles")
+    counted = star.where(close).groupBy(F.least("rep", "end.rep").alias("a"), F.greatest("rep", "end.rep").alias("b")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.least("rest", "end.rest")).alias("rest")
+    )
+    # Too few seen and too few left: skipped.  A count that saw only some of a
+    # pair's shared postings may skip it wrongly; it comes again below.
+    hopeful = counted.where(F.col("n") + F.col("rest") >= matches).select("a", "b")
+    sides = {s: classes.select(F.col("rep").alias(s), F.col("signature").alias(f"signature_{s}")) for s in "ab"}
+    agree = F.size(F.array_intersect("signature_a", "signature_b"))
+    pairs = hopeful.join(sides["a"], "a").join(sides["b"], "b").where(agree >= matches).select("a", "b").distinct()
+    return _similar(_with_sets(pairs, sets), percent).distinct()
+
+
+def open_links(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links between members of lists that hold several components, and
+    of different components: prefix merging on the full sets.
+
+    Shingles are ordered by how many of these members have them, rarest
+    first.  A pair needs at least percent / (100 + percent) of both sizes'
+    sum in common, so its first common shingle must leave that many behind it
+    in both orders; pairs without such a shingle are skipped."""
+    spread = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    members = labelled.join(spread, "token", "left_semi").select(F.col("rep").alias("doc_id"), "component").distinct()
+    rows = cut(_shingle_rows(members.join(sets, "doc_id")))
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    mine = W.partitionBy("doc_id", "set_key")
+    place = F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("holders", "shingle")) - 1  # unshared ones come first
+    prefix = cut(
+        rows.join(shared, "shingle").withColumn("left", F.col("n") - place)
+        .where(100 * F.col("left") >= percent * F.col("n")).select("shingle", "doc_id", "component", "n", "left")
+    )
+    # Linear passes first: places that not even the list's smallest member
+    # makes good, then lists left with one component.
+    enough = (100 + percent) * F.col("left") >= percent * (F.col("n") + F.col("least"))
+    able = prefix.join(prefix.groupBy("shingle").agg(F.min("n").alias("least")), "shingle").where(enough).drop("least")
+    several = able.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
+    able = cut(able.join(several, "shingle", "left_semi"))
+    x, y = able.alias("x"), able.alias("y")
+    need = percent * (F.col("x.n") + F.col("y.n"))
+    met = x.join(
+        y,
+        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
+        & ((100 + percent) * F.col("x.left") >= need) & ((100 + percent) * F.col("y.left") >= need),
+    )
+    pairs = met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    return _similar(_with_sets(pairs, sets), percent).distinct()
+
+
+def _shingle_rows(sets: DataFrame) -> DataFrame:
+    """(doc_id, set_key, component, n, shingle), one row per shingle."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                values = [np.frombuffer(v.as_buffer(), np.int64) for v in part.column(3)]
+                n = np.array([len(v) for v in values])
+                which = pa.array(np.repeat(np.arange(len(n)), n))
+                columns = [part.column(k).take(which) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(n, n)), pa.array(np.concatenate(values))], ["doc_id", "set_key", "component", "n", "shingle"])
+
+    return sets.select("doc_id", "set_key", "component", "shingles").mapInArrow(run, "doc_id long, set_key binary, component long, n long, shingle long")
 
 
 def near_links(docs: DataFrame, members: DataFrame, width: int, percent: int, coordinates: int, matches: int) -> tuple[DataFrame, DataFrame]:
@@ -187,36 +233,14 @@ def near_links(docs: DataFrame, members: DataFrame, width: int, percent: int, co
         ordered.select("rep", "n_shingles", F.size("tokens").alias("n_tokens"), F.posexplode(F.slice("tokens", F.lit(1), F.size("tokens") - matches + 1)).alias("pos", "posting"))
         .select(F.col("posting.token").alias("token"), "rep", "n_shingles", (F.col("n_tokens") - F.col("pos") - 1).alias("rest"))
     )
-    confirm = _Confirm(docs, classes, width, percent, matches)
-
-    # Every member with its list's smallest and largest member.
-    ends = postings.groupBy("token").agg(
-        F.min(F.struct("rep", "rest", "n_shingles")).alias("low"), F.max(F.struct("rep", "rest", "n_shingles")).alias("high")
-    ).where("low.rep < high.rep")
-    star = postings.join(ends, "token").select("rep", "rest", "n_shingles", "high", F.explode(F.array("low", "high")).alias("end"))
-    star = star.where("rep <> end.rep and not (rep = high.rep and end.rep < rep)")  # the pair of both ends once
-    first = F.col("rep") < F.col("end.rep")
-    star = star.select(
-        F.least("rep", "end.rep").alias("a"), F.greatest("rep", "end.rep").alias("b"),
-        F.when(first, F.col("rest")).otherwise(F.col("end.rest")).alias("rest_a"), F.when(first, F.col("end.rest")).otherwise(F.col("rest")).alias("rest_b"),
-        F.when(first, F.col("n_shingles")).otherwise(F.col("end.n_shingles")).alias("n_a"), F.when(first, F.col("end.n_shingles")).otherwise(F.col("n_shingles")).alias("n_b"),
-    )
-    done, links = confirm(star)
-
-    # What is left: lists that still hold several components.
-    label = components(links)
-    labelled = postings.join(label, F.col("rep") == F.col("vertex"), "left").select(
-        "token", "rep", "rest", "n_shingles", F.coalesce("component", "rep").alias("component")
-    )
-    mixed_lists = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_rows = cut(labelled.join(mixed_lists, "token", "left_semi"))
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.rep") < F.col("y.rep"))).select(
-        F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.rest").alias("rest_a"), F.col("y.rest").alias("rest_b"),
-        F.col("x.n_shingles").alias("n_a"), F.col("y.n_shingles").alias("n_b"),
-    )
-    _, more = confirm(cross, done)
-    # The components found so far stand for the first links.
+    posted = postings.select("rep").distinct().withColumnRenamed("rep", "posted")
+    texts = _texts(docs).join(posted, F.col("doc_id") == F.col("posted"), "left_semi")
+    keys = classes.select(F.col("rep").alias("doc_id"), "set_key")
+    sets = cut(full_sets(texts, width).join(keys, ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"]))
+    label = components(star_links(postings, classes, sets, percent, matches))
+    labelled = cut(postings.join(label, F.col("rep") == F.col("vertex"), "left").select("token", "rep", F.coalesce("component", "rep").alias("component")))
+    more = cut(open_links(labelled, sets, percent))
+    # The components found first stand for their links.
     return classes, label.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(more)
 
 
