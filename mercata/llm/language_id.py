@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .words import text_parts
 
-ORDER, TRAIN_DOCS, NGRAMS, STATES = 4, 1000, 200_000, 8_000
+ORDER, TRAIN_DOCS, NGRAMS, STATES = 4, 1000, 100_000, 5_000
 UNKNOWN = "und"
 UNIT = 4096
 RUN_BYTES = 512
@@ -110,8 +110,8 @@ def compile_trees(counts, order: int, states: int) -> dict:
     width = len(used) + 1
     step = np.zeros((len(contexts), width), np.int32)
     cost = np.zeros((len(contexts), width, len(langs)), np.int32)
-    bits = [np.zeros((len(contexts), width)) for _ in langs]
-    after = [np.zeros((len(contexts), width)) for _ in langs]  # code length once the context was escaped from
+    bits = [np.zeros((len(contexts), width), np.float32) for _ in langs]
+    after = [np.zeros((len(contexts), width), np.float32) for _ in langs]  # code length once the context was escaped from
     for c in contexts:  # shorter contexts have smaller codes and come first
         i, up = place[c], place[shorter(c)] if c > 1 else None
         if c > 1:
