@@ -36,7 +36,7 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: lineage ends there, later jobs read what earlier ones made, and a
     lost executor costs only a re-read.
@@ -49,7 +49,7 @@ def cut(df: DataFrame) -> DataFrame:
     if root is None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = f"{root}/mercata-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -45,7 +45,7 @@ from .common import cut
 from .words import SpanHasher, mixed, text_parts, word_spans
 
 WIDTH, GRAM = 13, 5
-HOLDERS, SHARD_PHRASES, FREQUENT = 2000, 20_000, 1024
+HOLDERS, SHARD_PHRASES, FREQUENT = 2000, 2500, 1024
 #: A batch reports an anchor that this share of its documents has.
 FREQUENT_SHARE = 0.005
 _U = np.uint64
@@ -190,9 +190,9 @@ def candidate_phrases(texts: DataFrame, anchors: DataFrame, width: int, gram: in
     return rows.mapInArrow(run, "key long, phrase binary, doc_id long, row_key long, start long")
 
 
-def locate(phrases: list[bytes], first: np.ndarray, last: np.ndarray, width: int) -> list[list[int | None]]:
+def locate(phrases: list[bytes], first: np.ndarray, last: np.ndarray, width: int) -> pa.ListArray:
     """For each phrase and each of its windows, the smallest doc_id that has
-    the window, or None if one document alone has it."""
+    the window, or NULL if one document alone has it."""
     import ahocorasick
 
     ids: dict[bytes, int] = {}
@@ -216,24 +216,26 @@ def locate(phrases: list[bytes], first: np.ndarray, last: np.ndarray, width: int
     recurring = np.flatnonzero(low < high)
     for k, a in zip(recurring.tolist(), at[order[heads[recurring]]].tolist()):
         automaton.add_word(tuple(stream[a : a + width]), k)
-    out: list[list[int | None]] = [[None] * n for n in counts.tolist()]
+    found, hit = np.zeros(int(counts.sum()), np.int64), np.zeros(int(counts.sum()), bool)
     if len(recurring):
         automaton.make_automaton()
         hits = np.fromiter((x for hit in automaton.iter(tuple(stream)) for x in hit), np.int64).reshape(-1, 2)
         places = hits[:, 0] - width + 1
-        phrase = np.searchsorted(begin, places, "right") - 1
-        for p, offset, doc in zip(phrase.tolist(), (places - begin[phrase]).tolist(), low[hits[:, 1]].tolist()):
-            out[p][offset] = doc
-    return out
+        of = np.searchsorted(begin, places, "right") - 1
+        window = places - begin[of] + (np.cumsum(counts) - counts)[of]
+        found[window], hit[window] = low[hits[:, 1]], True
+    edges = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    return pa.ListArray.from_arrays(edges, pa.array(found, mask=~hit))
 
 
 def _shard(width: int):
     def run(table: pa.Table) -> pa.Table:
         first, last = table["first"].to_numpy(), table["last"].to_numpy()
         found = locate(table["phrase"].to_pylist(), first, last, width)
-        some = pa.array([any(x is not None for x in f) for f in found], pa.bool_())
-        out = pa.table({"key": table["key"], "phrase_key": table["phrase_key"], "firsts": pa.array(found, pa.list_(pa.int64()))})
-        return out.filter(some)
+        hits = np.concatenate([[0], np.cumsum(found.values.is_valid().to_numpy(zero_copy_only=False))])
+        edges = found.offsets.to_numpy()
+        out = pa.table({"key": table["key"], "phrase_key": table["phrase_key"], "firsts": found})
+        return out.filter(pa.array(hits[edges[1:]] > hits[edges[:-1]]))
 
     return run
 
@@ -242,7 +244,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hold
     """(doc_id, row_key, starts): for each text the places of its windows that
     also start in a document with a smaller doc_id."""
     texts = _texts(docs)
-    phrases = cut(candidate_phrases(texts, repeated_anchors(texts, width, gram, holders, frequent), width, gram))
+    phrases = cut(candidate_phrases(texts, repeated_anchors(texts, width, gram, holders, frequent), width, gram), "zstd")
     shards = max(1, -(-phrases.count() // shard_phrases))
     distinct = phrases.groupBy("key", "phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     distinct = distinct.withColumn("phrase_key", F.xxhash64("phrase")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))

@@ -69,5 +69,5 @@ def test_kept_text(make_docs):
 
 def test_locate_is_exact_by_words():
     one, two = b"a b c d", b"x a b c"
-    assert locate([one, two], np.array([5, 9]), np.array([5, 9]), 3) == [[5, None], [None, 5]]
-    assert locate([one], np.array([5]), np.array([6]), 3) == [[5, 5]]
+    assert locate([one, two], np.array([5, 9]), np.array([5, 9]), 3).to_pylist() == [[5, None], [None, 5]]
+    assert locate([one], np.array([5]), np.array([6]), 3).to_pylist() == [[5, 5]]
