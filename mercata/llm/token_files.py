@@ -159,7 +159,7 @@ class WordEncoder:
 
     #: Fixed value: where this tokenizer family cuts within a word.
     CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-    MOST_PIECES = 1_000_000
+    MOST_PIECES = 600_000
 
     def __init__(self, spec: str, state: dict):
         import os
