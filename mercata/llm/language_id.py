@@ -10,14 +10,16 @@ statistics are frozen, so a byte's code length depends only on the ``order``
 bytes before it; texts are scored exactly, in runs that each look back that
 far, and whole texts count.  The language of the shortest code wins.
 
-For speed the trees of all languages are compiled into one automaton: a state
-is a context, with the next state and the code length per language for each
-byte, in units of 1/4096 bit.
+For speed each language's tree is compiled into an automaton of its own: a
+state is a context, with the next state and the code length for each byte, in
+units of 1/4096 bit.  A language's automaton depends on its own texts alone.
 
 Learning: from a sample of ``train_docs`` labelled documents per language
 (expected number; chosen by a hash of doc_id, all documents if there are
-fewer), counted in Spark.  At most ``ngrams`` counted strings come to the
-driver and at most ``states`` contexts make the automaton, which is broadcast.
+fewer), counted in Spark.  Both bounds hold for each language: at most
+``ngrams`` of its counted strings come to the driver and at most ``states`` of
+its contexts make its automaton, the most frequent ones, all of one frequency
+or none.  The automata are broadcast.
 
 Edge cases: NULL text and texts without a letter get ``und`` with score 0, as
 does everything if nothing could be learned.  Rows with NULL lang teach
@@ -31,11 +33,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import cut
 from .words import text_parts
 
-ORDER, TRAIN_DOCS, NGRAMS, STATES = 4, 1000, 100_000, 5_000
+ORDER, TRAIN_DOCS, NGRAMS, STATES = 4, 1000, 500_000, 50_000
 UNKNOWN = "und"
 UNIT = 4096
 RUN_BYTES = 512
@@ -67,7 +71,7 @@ def count_ngrams(sample: DataFrame, order: int) -> DataFrame:
 
 
 def learn(docs: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS, ngrams: int = NGRAMS, states: int = STATES) -> dict:
-    """The automaton, from the texts and languages of labelled documents that
+    """The automata, from the texts and languages of labelled documents that
     are not held out."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.lit("train"), "doc_id").alias("h")
@@ -75,81 +79,92 @@ def learn(docs: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS, ngr
     rows = labelled.groupBy("lang").count()
     chance = rows.select(F.col("lang").alias("of"), (F.lit(float(train_docs)) / F.col("count")).alias("chance"))
     sample = labelled.join(F.broadcast(chance), F.col("lang") == F.col("of")).where(F.col("h") / F.lit(2.0**64) + 0.5 < F.col("chance"))
-    counts = count_ngrams(sample.select("lang", "text"), order).where("n > 1").orderBy(F.desc("n"), "lang", "code").limit(ngrams).toPandas()
-    return compile_trees(counts, order, states)
+    return compile_trees(most_frequent(cut(count_ngrams(sample.select("lang", "text"), order)), ngrams).toArrow(), order, states)
+
+
+def most_frequent(counts: DataFrame, ngrams: int) -> DataFrame:
+    """At most ``ngrams`` strings of each language; all of one frequency or
+    none, so that every string's beginnings and endings stay too."""
+    upto = F.sum("strings").over(W.partitionBy("lang").orderBy(F.desc("n")))  # over one row per frequency
+    kinds = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("strings")).withColumn("upto", upto)
+    least = kinds.where(F.col("upto") <= ngrams).groupBy(F.col("lang").alias("of")).agg(F.min("n").alias("least"))
+    return counts.join(F.broadcast(least), (F.col("lang") == F.col("of")) & (F.col("n") >= F.col("least"))).select("lang", "code", "n")
 
 
 def compile_trees(counts, order: int, states: int) -> dict:
-    """Automaton of counted strings (lang, code, n)."""
-    langs = sorted(counts["lang"].unique().tolist())
-    if not langs:
-        return {"langs": []}
-    trees: list[dict[int, dict[int, int]]] = []
-    total: dict[int, int] = {}
-    for lang in langs:
-        part = counts[counts["lang"] == lang]
-        tree: dict[int, dict[int, int]] = {}
-        for code, n in zip(part["code"].tolist(), part["n"].tolist()):
-            tree.setdefault(code >> 8, {})[code & 255] = n
-            if code < 1 << 8 * order + 1:
-                total[code] = total.get(code, 0) + n
-        trees.append(tree)
+    """Automata of counted strings (lang, code, n), an Arrow table or a pandas frame."""
+    table = counts if isinstance(counts, pa.Table) else pa.Table.from_pandas(counts, preserve_index=False)
+    named = table["lang"].cast(pa.string()).combine_chunks().dictionary_encode()
+    names, which = named.dictionary.to_pylist(), named.indices.to_numpy(zero_copy_only=False)
+    code, n = table["code"].to_numpy(), table["n"].to_numpy()
+    langs = sorted(names)
+    parts = [which == names.index(lang) for lang in langs]
+    return {"langs": langs, "order": order, "automata": [compile_tree(code[part], n[part], order, states) for part in parts]}
+
+
+def compile_tree(code: np.ndarray, n: np.ndarray, order: int, states: int) -> dict:
+    """One language's automaton: by state and symbol, the next state's row
+    (upper 32 bits) and the code length (lower 32 bits)."""
+    by = np.argsort(code)
+    code, n = code[by], n[by]
+    edge = np.searchsorted(code, 1 << 8 * np.arange(order + 3, dtype=np.int64))  # strings of k bytes lie from edge[k] to edge[k + 1]
     # The most frequent contexts; all of one frequency or none, so that every
     # context's beginnings and endings are contexts too.
-    by_count = sorted(total.values(), reverse=True)
+    by_count = np.sort(n[edge[1] : edge[order + 1]])[::-1]
     least = by_count[states] + 1 if len(by_count) > states else 0
-    contexts = [1, *sorted(c for c, n in total.items() if n >= least)]
-    known = set(contexts)
-    contexts = [c for c in contexts if c == 1 or (c >> 8) in known]
-    place = {c: i for i, c in enumerate(contexts)}
-    size = lambda c: (c.bit_length() - 1) // 8  # noqa: E731  bytes of a context
-    shorter = lambda c: c & ((1 << 8 * (size(c) - 1)) - 1) | 1 << 8 * (size(c) - 1)  # noqa: E731  without its first byte
-    used = sorted({c & 255 for c in total if c > 1})
-    symbol = np.full(256, len(used), np.uint8)  # the last symbol: bytes never seen
+    levels = [np.ones(1, np.int64)]
+    for k in range(1, order + 1):
+        c = code[edge[k] : edge[k + 1]][n[edge[k] : edge[k + 1]] >= least]
+        ending = c & ((1 << 8 * (k - 1)) - 1) | 1 << 8 * (k - 1)
+        levels.append(c[np.isin(c >> 8, levels[-1]) & np.isin(ending, levels[-1])])
+    used = code[edge[1] : edge[2]] & 255
+    symbol = np.full(256, len(used), np.uint8 if len(used) < 256 else np.int16)  # the last symbol: bytes never seen
     symbol[used] = np.arange(len(used))
     width = len(used) + 1
-    step = np.zeros((len(contexts), width), np.int32)
-    cost = np.zeros((len(contexts), width, len(langs)), np.int32)
-    bits = [np.zeros((len(contexts), width), np.float32) for _ in langs]
-    after = [np.zeros((len(contexts), width), np.float32) for _ in langs]  # code length once the context was escaped from
-    for c in contexts:  # shorter contexts have smaller codes and come first
-        i, up = place[c], place[shorter(c)] if c > 1 else None
-        if c > 1:
-            step[i] = step[up]
-        if size(c) < order or c == 1:
-            for b in used:
-                if (c << 8 | b) in place:
-                    step[i, symbol[b]] = place[c << 8 | b]
-        for k, tree in enumerate(trees):
-            seen = {int(symbol[b]): n for b, n in tree.get(c, {}).items()}
-            own, n = list(seen), sum(seen.values())
-            if c == 1:
-                free = max(1, 256 - len(own))
-                after[k][i] = np.log2(free)
+    first = np.cumsum([0, *map(len, levels)])
+    table = np.empty((first[-1], width), np.int64)
+    for k, contexts in enumerate(levels):
+        # Times that each symbol followed; one row per context.
+        string, times = code[edge[k + 1] : edge[k + 2]], n[edge[k + 1] : edge[k + 2]]
+        row = np.searchsorted(contexts, string >> 8)
+        fine = row < len(contexts)
+        fine[fine] = contexts[row[fine]] == string[fine] >> 8
+        seen = np.zeros((len(contexts), width), np.float32)
+        seen[row[fine], symbol[string[fine] & 255]] = times[fine]
+        bits, after = np.empty_like(seen), np.empty_like(seen)  # after: code length once the context was escaped from
+        step = np.zeros((len(contexts), width), np.int32)
+        if k:
+            up = np.searchsorted(levels[k - 1], contexts & ((1 << 8 * (k - 1)) - 1) | 1 << 8 * (k - 1))
+        for a in range(0, len(contexts), 4096):  # bounded memory
+            part = slice(a, a + 4096)
+            own = seen[part]
+            if k:
+                rest = np.where(own > 0, 0, shorter_seen[up[part]])
+                after[part] = coded(rest, shorter_after[up[part]])
+                bits[part] = np.where((own > 0).any(axis=1)[:, None], coded(own, after[part]), shorter_bits[up[part]])
+                step[part] = shorter_step[up[part]]
             else:
-                parent = {int(symbol[b]): m for b, m in tree.get(shorter(c), {}).items()}
-                rest = {s: m for s, m in parent.items() if s not in seen}
-                weight, kinds = sum(rest.values()), len(rest)
-                if kinds:
-                    after[k][i] = np.log2((weight + kinds) / kinds) + after[k][up]
-                    for s, m in rest.items():
-                        after[k][i, s] = np.log2((weight + kinds) / m)
-                else:
-                    after[k][i] = after[k][up]
-            if own:
-                bits[k][i] = np.log2((n + len(own)) / len(own)) + after[k][i]
-                bits[k][i, own] = np.log2((n + len(own)) / np.array([seen[s] for s in own]))
-            elif c == 1:
-                bits[k][i] = np.log2(256)
-            else:  # the language does not have the context
-                bits[k][i] = bits[k][up]
-            cost[i, :, k] = np.rint(bits[k][i] * UNIT)
-    return {"langs": langs, "symbol": symbol, "step": step.ravel() * width, "cost": cost.reshape(-1, len(langs)), "order": order}
+                after[part] = np.log2(max(1, 256 - (own > 0).sum()))
+                bits[part] = coded(own, after[part])
+        if k < order:
+            longer = levels[k + 1]
+            step[np.searchsorted(contexts, longer >> 8), symbol[longer & 255]] = first[k + 1] + np.arange(len(longer))
+        table[first[k] : first[k + 1]] = (step.astype(np.int64) * width << 32) | np.rint(bits * UNIT).astype(np.int64)
+        shorter_seen, shorter_after, shorter_bits, shorter_step = seen, after, bits, step
+    return {"symbol": symbol, "table": table.ravel()}
+
+
+def coded(times: np.ndarray, escaped: np.ndarray) -> np.ndarray:
+    """Code length of each symbol by its count in a row, or by an escape where
+    it has none; a row without counts costs no escape."""
+    total, kinds = times.sum(axis=1, dtype=np.float64)[:, None], (times > 0).sum(axis=1)[:, None]
+    escape = np.log2((total + kinds) / np.maximum(kinds, 1), where=kinds > 0, out=np.zeros_like(total))
+    return np.where(times > 0, np.log2((total + kinds) / np.maximum(times, 1), where=kinds > 0, out=np.zeros(times.shape)), escape + escaped)
 
 
 def code_lengths(model: dict, data: np.ndarray, offsets: np.ndarray, run_bytes: int = RUN_BYTES) -> np.ndarray:
     """Code length of each text under each language, in bits."""
-    symbols, step, cost, order = model["symbol"][data], model["step"], model["cost"], model["order"]
+    order = model["order"]
     sizes = np.diff(offsets)
     runs = -(-sizes // run_bytes)
     text = np.repeat(np.arange(len(sizes)), runs)
@@ -157,18 +172,20 @@ def code_lengths(model: dict, data: np.ndarray, offsets: np.ndarray, run_bytes:
     begin, length = offsets[text] + nth * run_bytes, np.minimum(run_bytes, sizes[text] - nth * run_bytes)
     by = np.argsort(-length, kind="stable")
     text, begin, length, back = text[by], begin[by], length[by], np.where(nth[by] > 0, min(order, run_bytes), 0)
-    state = np.zeros(len(text), np.int32)
-    for k in range(min(order, run_bytes), 0, -1):  # the bytes before a run lead to its state
-        live = np.flatnonzero(back >= k)
-        state[live] = step[state[live] + symbols[begin[live] - k]]
-    total = np.zeros((len(text), len(model["langs"])), np.int32)  # a run's sum fits: 512 bytes of at most 500 bits
-    live = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left")
-    for k, n in enumerate(live.tolist()):
-        at = state[:n] + symbols[begin[:n] + k]
-        total[:n] += cost[at]
-        state[:n] = step[at]
+    live = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left").tolist()
     out = np.zeros((len(sizes), len(model["langs"])))
-    np.add.at(out, text, total / UNIT)
+    for lang, automaton in enumerate(model["automata"]):
+        symbols, table = automaton["symbol"][data], automaton["table"]
+        state = np.zeros(len(text), np.int64)
+        for k in range(min(order, run_bytes), 0, -1):  # the bytes before a run lead to its state
+            some = np.flatnonzero(back >= k)
+            state[some] = table[state[some] + symbols[begin[some] - k]] >> 32
+        total = np.zeros(len(text), np.int64)
+        for k, n in enumerate(live):
+            at = table[state[:n] + symbols[begin[:n] + k]]
+            total[:n] += at & 0xFFFFFFFF
+            state[:n] = at >> 32
+        np.add.at(out[:, lang], text, total / UNIT)
     return out
 
 
@@ -205,7 +222,7 @@ class Scorer:
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """One row per document: doc_id, lang_pred, score (the language's share
     if each had been as likely before reading the text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: ``states`` contexts
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: ``states`` contexts of each language
 
     def run(batches):
         scorer = Scorer(shared.value)

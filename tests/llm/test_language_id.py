@@ -93,3 +93,24 @@ def test_code_lengths_equal_plain_ppm(spark, run_bytes):
         tree = Tree(dict(zip(counts[counts.lang == lang].code.tolist(), counts[counts.lang == lang].n.tolist())), 3)
         for i, text in enumerate(texts):
             assert got[i, k] == pytest.approx(tree.bits(text, contexts), abs=0.001 * len(text) + 1e-9)
+
+
+@pytest.mark.parametrize("bounds", [{}, {"ngrams": 400, "states": 60}])
+def test_a_language_is_learned_alike_beside_others(make_docs, bounds):
+    rare = [(i, f"ziz zuzu zaz {'zyz' * (i % 5)} zezo{i}", "zz") for i in range(1, 9)]
+    often = [(i, f"the quick brown fox {i} jumps over lazy dogs, number {i * i}", "en") for i in range(100, 500)]
+    texts = [b"zuzu zaz zezo7 zyzzyz", b"the quick zebra", b"123 jumps"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    alone, beside = learn(make_docs(rare), **bounds), learn(make_docs(rare + often), **bounds)
+    assert beside["langs"] == ["en", "zz"]
+    assert code_lengths(beside, data, offsets)[:, 1].tolist() == code_lengths(alone, data, offsets)[:, 0].tolist()
+
+
+def test_strings_seen_once_count(make_docs):
+    docs = make_docs([(i, t, "xx") for i, t in enumerate(["abracadabra abra", "kadabra baobab", "xylo"], 1)])
+    model, counts = learn(docs), count_ngrams(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 != 0").select("lang", "text"), 4).toPandas()
+    assert (counts.n == 1).any()
+    contexts = {c.to_bytes((c.bit_length() + 7) // 8, "big")[1:] for c in counts["code"] if c < 1 << 33}
+    text = b"abracadabra xylo kad"
+    got = code_lengths(model, np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0, 0]
+    assert got == pytest.approx(Tree(dict(zip(counts.code.tolist(), counts.n.tolist())), 4).bits(text, contexts), abs=0.001 * len(text))
