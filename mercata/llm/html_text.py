@@ -7,7 +7,12 @@ element tree.  Every block is a node of a graph:
   odds of a logistic classifier over the block's text (length, share of
   linked text, punctuation, capitals, digits, end sign, heading), and a prior from the
   nearest element that says what it is (article, main; nav, footer, aside,
-  form, or a class or id such as ad, sidebar, comments, cookie).
+  form, or a class or id such as ad, sidebar, comments, cookie).  No one cost
+  decides alone: text and edges together outweigh a prior.  A main anywhere,
+  and an article in a boilerplate wrapper (a form, or a class or id), is
+  content again; an element with a content word there is left to its text.  A
+  boilerplate word outweighs a content word.  What has the attribute hidden or
+  the style display:none is never content.
 * **Smoothness edges** join neighbours in page order and neighbours under one
   parent, the stronger the more of their paths they share.
 
@@ -42,9 +47,11 @@ from pyspark.sql import functions as F
 
 TRAIN_PAGES = 1500
 #: Prior of a telling element, and the strongest smoothness edge, in 1/100 nat.
-PRIOR, SMOOTH = 4000, 120
-#: A text score counts at most this much, so it can't override a telling element.
-TEXT_LIMIT = 600
+PRIOR, SMOOTH = 600, 120
+#: A text score counts at most this much: with the edges it can override a telling element.
+TEXT_LIMIT = 500
+#: Cost of showing what the page hides.
+HIDDEN = 4000
 
 # Element names by role.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -54,6 +61,7 @@ INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark",
     "q", "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
+WRAPPERS = {"form", "fieldset"}  # boilerplate that may lie around a whole page
 BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 CONTENT = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -65,6 +73,7 @@ BOILERPLATE_WORDS = set(
     "skip disclaimer form".split()
 )
 CONTENT_WORDS = set("article content main post entry story body text".split())
+BESIDE = {"has", "with", "without", "no"}  # the next word tells what is beside the element, not what it is
 #: A start tag (key) ends an open element of these names, up to the given borders.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -73,40 +82,59 @@ CLOSES = {
 _MARKUP = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
 )
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("name", "parent", "depth", "role", "linked", "skipped")
+    __slots__ = ("name", "parent", "depth", "role", "fixed", "hidden", "linked", "skipped")
 
     def __init__(self, name: str, parent: Element | None, attributes: str):
         self.name, self.parent = name, parent
         self.depth = parent.depth + 1 if parent else 0
         self.linked = name == "a" or bool(parent and parent.linked)
         self.skipped = name in SKIPPED or bool(parent and parent.skipped)
+        self.hidden = bool(parent and parent.hidden)
         self.role = parent.role if parent else 0  # of the nearest telling element: 1 content, -1 boilerplate
-        role = _role(name, attributes, self.role)
+        self.fixed = bool(parent and parent.fixed)  # within boilerplate that is no wrapper
+        said = {}
+        if attributes:
+            for key, value in _ATTRIBUTE.findall(attributes):
+                said.setdefault(key.lower(), value.strip("\"'"))
+        if name not in ("html", "body"):
+            self.hidden = self.hidden or "hidden" in said or bool(_NO_DISPLAY.search(said.get("style", "")))
+        role = _role(name, said, self.role, self.fixed)
         if role is not None:
             self.role = role
-        if attributes and _HIDDEN.search(attributes):
-            self.role = -1
+            self.fixed = role < 0 and (self.fixed or name in BOILERPLATE - WRAPPERS)
 
 
-def _role(name: str, attributes: str, around: int) -> int | None:
+def _role(name: str, said: dict[str, str], around: int, fixed: bool) -> int | None:
     words: set[str] = set()
-    if attributes and "=" in attributes and name not in ("html", "body"):
-        for _, value in _NAMED.findall(attributes):
-            words.update(_WORDS.findall(value.lower()))
+    if name not in ("html", "body"):
+        for key in ("class", "id", "role"):
+            if key in said:
+                found = _WORDS.findall(said[key].lower())
+                words.update(w for w, before in zip(found, ["", *found]) if before not in BESIDE)
     if name in BOILERPLATE:
         return -1
-    if words & BOILERPLATE_WORDS and not words & CONTENT_WORDS and name not in INLINE - {"span", "a"}:
+    if name == "main":
+        return 1
+    content = bool(words & CONTENT_WORDS)
+    told = words & BOILERPLATE_WORDS
+    if around > 0 or content:
+        told = told - {"header"}  # an article's own header may hold its title
+    if told and not (name in CONTENT and content) and name not in INLINE - {"span", "a"}:
+        return -1
+    if said.get("aria-hidden", "").lower() == "true":
         return -1
-    if name == "header" and around <= 0:  # an article's own header may hold its title
+    if name == "header" and around <= 0:
         return -1
-    if around >= 0 and (name in CONTENT or words & CONTENT_WORDS and name in ("div", "section", "td")):
+    if name in CONTENT and not fixed:
         return 1
+    if content and name in ("div", "section", "td") and not fixed:
+        return 1 if around >= 0 else 0  # in a boilerplate wrapper the text decides
     return None
 
 
@@ -346,7 +374,7 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
     if not found:
         return ""
     odds = np.clip(np.array([text_features(b) for b in found]) @ weights * 100, -TEXT_LIMIT, TEXT_LIMIT).astype(int)
-    gain = [int(o) + PRIOR * b.element.role for o, b in zip(odds, found)]
+    gain = [int(o) + PRIOR * b.element.role - HIDDEN * b.element.hidden for o, b in zip(odds, found)]
     return "\n".join(b.text for b, content in zip(found, minimum_cut(gain, smoothness(found))) if content)
 
 

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from mercata.llm.html_text import blocks, extract, learn, main_text, minimum_cut, train
+from mercata.llm.html_text import FEATURES, PRIOR, SMOOTH, TEXT_LIMIT, blocks, extract, learn, main_text, minimum_cut, train
 
 from .conftest import SF, file_rows
 
@@ -63,6 +63,42 @@ def test_boilerplate_goes(weights, page):
     assert main_text(f"<html><head><title>T</title></head><body>{page}</body></html>", weights) == WANT
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<form id=aspnetForm><ul class=menu><li><a href=a>Home</a></ul><article>{STORY}</article></form>",
+        f"<form id=aspnetForm><ul class=menu><li><a href=a>Home</a></ul><div id=content>{STORY}</div></form>",
+        f"<div class='has-sidebar'><main>{STORY}</main><div class=sidebar><a href=b>More stories</a></div></div>",
+        f"<div class='page has-sidebar'>{STORY}<div class=sidebar><a href=b>More stories</a></div></div>",
+        f"<div class='widget layout'><article>{STORY}</article><footer><a href=c>Terms</a></footer></div>",
+        f"<div class='x hidden lg:block'><article>{STORY}</article></div>",
+        f"<div data-hidden='no' title='so hidden = it'><article>{STORY}</article></div>",
+        f"<article>{STORY}</article><div class=sidebar-content><p>Other stories, that you may like.</p></div>",
+        f"<article>{STORY}</article><div class=footer-text><p>All rights are ours, as ever.</p></div>",
+        f"<article>{STORY}<p hidden>It was secret, and it was quite long.</p><p style='display: none'>It was secret, and it was quite long.</p></article>",
+        f"<article>{STORY.replace('</p><p>', '</p><div class=ad>Buy now, it is cheap and good.</div><p>')}</article>",
+        f"<aside><article><p>Other stories, that you may like.</p></article></aside><article>{STORY}</article>",
+    ],
+)
+def test_wrapper_pages(weights, page):
+    assert main_text(f"<html><head><title>T</title></head><body>{page}</body></html>", weights) == WANT
+
+
+def test_an_articles_own_header_stays(weights):
+    page = f"<article class='post comments-open'><header class=entry-header><h1>The rain, and what it left</h1></header>{STORY}</article>"
+    assert main_text(page, weights) == "The rain, and what it left\n" + WANT
+
+
+def test_text_and_edges_together_outweigh_an_element():
+    assert TEXT_LIMIT < PRIOR < TEXT_LIMIT + 3 * SMOOTH
+    words = np.zeros(FEATURES)
+    words[1] = 2.0  # long texts are content
+    odd = f"<p>{'Long words of the story go on and on. ' * 20}</p>"
+    alert = odd.replace("<p>", "<p class=alert>")
+    assert main_text(f"<article>{odd}{odd}{alert}{odd}{odd}</article>", words).count("Long") == 100
+    assert main_text(f"<article>{odd}{odd}</article>{alert}", words).count("Long") == 40
+
+
 def test_pages_without_telling_elements(weights):
     page = "<div><a href=a>Home</a> <a href=b>News</a></div><div>" + STORY + "</div><div><a href=c>Terms</a></div>"
     assert main_text(page, weights) == WANT
