@@ -6,8 +6,11 @@ stage before it kept.  All but the last return the columns of documents;
 reads it again.
 
 Edge cases: documents with NULL, empty or letterless text are rejected by
-language ID.  Rows that repeat doc_id and text are left once by exact dedup.
-NULL is an id like another.  If no document has a language label, nothing can
+language ID.  Rows that repeat doc_id and text (A-Z in lower case) are left
+once by exact dedup.  Exact dedup and mixing decide on rows, so rows that
+share a doc_id, or have none, may fare differently.  Near-dedup decides on
+doc_ids, as its operator does: rows of one doc_id are one document, and rows
+without doc_id all stay.  If no document has a language label, nothing can
 be learned and all documents are rejected.  Documents that mixing repeats are
 repeated rows.  Extra columns pass through.
 """
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from mercata.llm.bpe import encode_and_decode
 from mercata.llm.common import cut, free_names, read_table, tokenizer_path
-from mercata.llm.exact_dedup import exact_dedup
+from mercata.llm.exact_dedup import exact_dedup, with_digest
 from mercata.llm.language_id import keep_known, learn
 from mercata.llm.mixing import mix
 from mercata.llm.near_dedup import near_dedup
@@ -42,9 +45,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest doc_id."""
-    found = keep_documents(docs, exact_dedup(docs).where("kept"))
-    (text_hash,) = free_names(docs, "text_hash")
-    return found.withColumn(text_hash, F.xxhash64("text")).dropDuplicates(["doc_id", text_hash]).select(*docs.columns)
+    digest, kept_id, kept_digest = free_names(docs, "row_digest", "kept_id", "kept_digest")
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias(kept_id), F.col("digest").alias(kept_digest))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(digest) == F.col(kept_digest))
+    return with_digest(docs, digest).join(kept, same, "left_semi").dropDuplicates([digest]).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +59,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words; the one at a
     source's cut stays if at least half of its words are taken."""
-    mix_id, times = free_names(docs, "mix_id", "mix_times")
-    share = mix(docs).groupBy(F.col("doc_id").alias(mix_id)).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    copies = share.where("size > 0").select(mix_id, F.round(F.col("taken") / F.col("size")).cast("int").alias(times)).where(F.col(times) > 0)
-    rows = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col(mix_id)))
+    row, mix_row, times = free_names(docs, "mix_row", "mix_row_", "mix_times")
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))  # written, so that a row keeps its number
+    copies = F.round(F.col("taken") / F.col("size")).cast("int")
+    taken = mix(numbered, carry=[row]).where("size > 0").select(F.col(row).alias(mix_row), copies.alias(times)).where(F.col(times) > 0)
+    rows = numbered.join(taken, F.col(row) == F.col(mix_row))
     return rows.withColumn(times, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 

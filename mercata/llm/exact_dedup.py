@@ -28,6 +28,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut
 
@@ -43,19 +44,33 @@ def text_digest(text: str | None) -> bytes:
     return hashlib.sha256((text or "").encode("utf-8", "surrogatepass").lower()).digest()
 
 
+def _column_digests(texts: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256((x.as_buffer().to_pybytes() if x.is_valid else b"").lower()).digest() for x in texts], pa.binary())
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, digest) of every row."""
 
     def run(batches):
         for batch in batches:
-            out = [hashlib.sha256((x.as_buffer().to_pybytes() if x.is_valid else b"").lower()).digest() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _column_digests(batch.column(1))], ["doc_id", "digest"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, digest binary"
     )
 
 
+def with_digest(docs: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs``, all columns, and their digest under ``name``."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, _column_digests(batch.column(at))], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
+
+
 def misra_gries(hashed: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """(digest, least) candidates: every digest of more than 1/(counters+1)
     of some task's rows is among them, with a lower bound of its count."""

@@ -67,14 +67,17 @@ def mix(
     share: float = 1.0,
     bucket_rows: int = BUCKET_ROWS,
     seed: int = SEED,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken."""
+    """One row per document: doc_id, source, size, source_size, target, taken
+    and the columns ``carry`` of the row."""
     sized = cut(
         docs.select(
             F.col("doc_id").cast("long"),
             F.col("source").cast("string"),
             F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
             F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")).alias("key"),
+            *carry,
         )
     )
     targets = source_targets(sized, weights, max_epochs, share)
@@ -97,10 +100,10 @@ def mix(
     )
     rows = rows.join(spans, F.col("of").eqNullSafe(F.col("of_")) & (F.col("bucket") == F.col("bucket_")))
     whole, none = F.col("end") <= F.col("rest"), F.col("start") >= F.col("rest")
-    columns = ["doc_id", "source", "size", "source_size", "target"]
+    columns = ["doc_id", "source", "size", "source_size", "target", *carry]
     clear = rows.where(whole | none).select(*columns, "epochs", F.when(whole, F.col("size")).otherwise(0).alias("last"))
-    order = W.partitionBy("of", "bucket").orderBy("key", "doc_id", "size")
+    order = W.partitionBy("of", "bucket").orderBy("key", "doc_id", "size", *carry)
     split = rows.where(~(whole | none)).withColumn("upto", F.col("start") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("upto") + F.col("size")))
     both = clear.unionByName(split.select(*columns, "epochs", last.alias("last")))
-    return both.select(*columns, (F.col("epochs") * F.col("size") + F.col("last")).cast("long").alias("taken"))
+    return both.select(*columns[:5], (F.col("epochs") * F.col("size") + F.col("last")).cast("long").alias("taken"), *carry)

@@ -91,3 +91,28 @@ def test_edges(spark, make_docs, edge_docs, no_docs):
             assert Counter(r.doc_id for r in docs.collect()) == Counter(known)
         if k == 1:
             assert Counter(r.doc_id for r in docs.collect()) == Counter([5, 6, 12, None, 9, 10, 11])
+
+
+def test_exact_decides_on_rows(spark, make_docs):
+    docs = make_docs([(None, "one text here"), (7, "One text here"), (None, "another text"), (5, "One"), (5, "one"), (5, "two"), (9, "two")])
+    got = Counter((i, t.lower()) for i, t in rows(cp.exact(spark, docs, SF)))
+    assert got == Counter([(7, "one text here"), (None, "another text"), (5, "one"), (9, "two")])
+
+
+def test_mixture_decides_on_rows(spark, make_docs):
+    docs = make_docs([(None if i % 3 else 4, f"w{i} " * (10 + i % 7), None, "abc"[i % 2 + (i % 10 == 0)]) for i in range(300)])
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in docs.collect():
+        sizes[r.source] += words(r.text)
+    out = cp.mixture(spark, docs, SF)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        taken[r.source] += words(r.text)
+    want = targets(dict(sizes))
+    assert all(abs(taken[s] - want[s]) <= 16 for s in sizes)
+
+
+def test_near_decides_on_ids_and_keeps_rows_without_one(spark, make_docs):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    docs = make_docs([(None, text), (None, text), (3, text), (4, text), (4, "quite another text of its own, with more words")])
+    assert Counter(i for i, _ in rows(cp.near(spark, docs, SF))) == Counter([None, None, 3])
