@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from mercata.llm.html_text import FEATURES, PRIOR, SMOOTH, TEXT_LIMIT, blocks, extract, learn, main_text, minimum_cut, train
+from mercata.llm.html_text import FEATURES, PRIOR, SMOOTH, TEXT_LIMIT, blocks, extract, learn, main_text, minimum_cut, text_features, train
 
 from .conftest import SF, file_rows
 
@@ -129,3 +129,8 @@ def test_training_separates():
     w = train(x, y)
     assert ((x @ w > 0) == (y == 1)).mean() > 0.9
     assert train(x, np.ones(400, int)).tolist() == [0, 0]
+
+
+def test_digits_of_the_whole_block_count():
+    (block,) = blocks("<p>" + "prose " * 40 + "12345 " * 400)
+    assert text_features(block)[-1] == 1.0
