@@ -24,8 +24,11 @@ The classifier is trained on blocks that the tree labels clearly, in a sample
 of about ``train_pages`` pages (chosen by a hash of page_id); it sees only
 text features, so it carries over to pages without telling elements.
 
-Scripts, styles, templates, form controls, comments and the head are never
-text.  Character references are decoded, white space within a block becomes
+Never text: comments, head, title, script, style, template, xmp; the form
+controls select, datalist, button and textarea; and what browsers that show
+the page do not show as its text: noscript, noembed, noframes, iframe, object,
+canvas, audio, video and svg.  Formulas (math) are text within their block.
+Character references are decoded, white space within a block becomes
 one space, and blocks are joined by a newline; nothing else is dropped.
 
 Edge cases: NULL or empty html, and pages without content, give the empty
@@ -55,11 +58,13 @@ HIDDEN = 4000
 
 # Element names by role.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-SKIPPED = {"head", "script", "style", "template", "noscript", "svg", "math", "object", "canvas", "audio", "video", "select", "button", "textarea", "datalist", "iframe", "title", "xmp", "noembed", "noframes"}
+SKIPPED = {"head", "script", "style", "template", "noscript", "svg", "object", "canvas", "audio", "video", "select", "button", "textarea", "datalist", "iframe", "title", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark",
     "q", "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "math", "mrow", "mi", "mo", "mn", "ms", "mtext", "mspace", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "munderover", "mmultiscripts",
+    "mprescripts", "none", "mstyle", "mtable", "mtr", "mtd", "mpadded", "mphantom", "menclose", "merror", "semantics", "annotation", "annotation-xml",
 }
 WRAPPERS = {"form", "fieldset"}  # boilerplate that may lie around a whole page
 BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}

@@ -134,3 +134,8 @@ def test_training_separates():
 def test_digits_of_the_whole_block_count():
     (block,) = blocks("<p>" + "prose " * 40 + "12345 " * 400)
     assert text_features(block)[-1] == 1.0
+
+
+def test_formulas_are_text():
+    page = "<p>Where <math><mrow><msup><mi>x</mi><mn>2</mn></msup><mo>=</mo><mn>4</mn></mrow></math> holds.</p><svg><text>no</text></svg>"
+    assert [b.text for b in blocks(page)] == ["Where x2=4 holds."]
