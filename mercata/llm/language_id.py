@@ -19,7 +19,7 @@ Learning: from a sample of ``train_docs`` labelled documents per language
 fewer), counted in Spark.  Both bounds hold for each language: at most
 ``ngrams`` of its counted strings come to the driver and at most ``states`` of
 its contexts make its automaton, the most frequent ones, all of one frequency
-or none.  The automata are broadcast.
+or none.  The strings are broadcast; each Python worker compiles them once.
 
 Edge cases: NULL text and texts without a letter get ``und`` with score 0, as
 does everything if nothing could be learned.  Rows with NULL lang teach
@@ -92,14 +92,27 @@ def most_frequent(counts: DataFrame, ngrams: int) -> DataFrame:
 
 
 def compile_trees(counts, order: int, states: int) -> dict:
-    """Automata of counted strings (lang, code, n), an Arrow table or a pandas frame."""
+    """The model of counted strings (lang, code, n), an Arrow table or a pandas
+    frame.  It holds the strings, which are much smaller than the automata."""
     table = counts if isinstance(counts, pa.Table) else pa.Table.from_pandas(counts, preserve_index=False)
     named = table["lang"].cast(pa.string()).combine_chunks().dictionary_encode()
     names, which = named.dictionary.to_pylist(), named.indices.to_numpy(zero_copy_only=False)
     code, n = table["code"].to_numpy(), table["n"].to_numpy()
     langs = sorted(names)
     parts = [which == names.index(lang) for lang in langs]
-    return {"langs": langs, "order": order, "automata": [compile_tree(code[part], n[part], order, states) for part in parts]}
+    return {"langs": langs, "order": order, "states": states, "strings": [(code[part], n[part]) for part in parts]}
+
+
+def automata(model: dict) -> list[dict]:
+    """The automaton of each language, compiled once a process."""
+    if "automata" not in model:
+        model["automata"] = [compile_tree(code, n, model["order"], model["states"]) for code, n in model["strings"]]
+    return model["automata"]
+
+
+def share(docs: DataFrame, model: dict):
+    """Broadcast of the strings, at most ``ngrams`` of each language; a worker compiles them."""
+    return docs.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "automata"})
 
 
 def compile_tree(code: np.ndarray, n: np.ndarray, order: int, states: int) -> dict:
@@ -174,7 +187,7 @@ def code_lengths(model: dict, data: np.ndarray, offsets: np.ndarray, run_bytes:
     text, begin, length, back = text[by], begin[by], length[by], np.where(nth[by] > 0, min(order, run_bytes), 0)
     live = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left").tolist()
     out = np.zeros((len(sizes), len(model["langs"])))
-    for lang, automaton in enumerate(model["automata"]):
+    for lang, automaton in enumerate(automata(model)):
         symbols, table = automaton["symbol"][data], automaton["table"]
         state = np.zeros(len(text), np.int64)
         for k in range(min(order, run_bytes), 0, -1):  # the bytes before a run lead to its state
@@ -222,7 +235,7 @@ class Scorer:
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """One row per document: doc_id, lang_pred, score (the language's share
     if each had been as likely before reading the text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: ``states`` contexts of each language
+    shared = share(docs, model)
 
     def run(batches):
         scorer = Scorer(shared.value)
@@ -236,7 +249,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 def keep_known(docs: DataFrame, model: dict, least_score: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is in a learned language
     with at least this score; one pass, no shuffle."""
-    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    shared, names = share(docs, model), docs.columns
     at = names.index("text")
 
     def run(batches):
