@@ -16,6 +16,9 @@ COLUMNS = {
     "op8": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
     "op9": {"doc_id": "bigint", **{f"n_{k}": "bigint" for k in ("email", "ip", "card", "phone")}, "base_sha256": "string", "spans": "string"},
     "op10": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+    "op11": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
+    "op12": {"doc_id": "bigint", **{c: "bigint" for c in ("n_words", "n_base", "first_word", "last_word")}, "base_labels": "string", "labels": "string", "score": "double"},
+    "op13": {"vec_id": "bigint", "code": "string", "error": "bigint", "label_error": "bigint", "codebooks_sha256": "string"},
 }
 
 
@@ -31,15 +34,16 @@ def test_all_are_registered():
     assert "pipeline" in found
 
 
-@pytest.mark.parametrize("name", ["op1_exact_dedup", "op4_top_k", "op6_minhash_dedup", "op7_substring_dedup"])
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op4_top_k", "op6_minhash_dedup", "op7_substring_dedup", "op11_lexical_search", "op12_license_scan", "op13_vector_code"])
 def test_query_equals_sql(spark, name):
     found, sql = registered()
     df = found[name](spark, SF)
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     result = con.execute(sql[name])
     columns = [c[0] for c in result.description]
+    assert dict(df.dtypes) == COLUMNS[name.split("_")[0]]
     assert sorted(columns) == sorted(df.columns)
     assert sorted(map(repr, (tuple(r) for r in df.select(*columns).collect()))) == sorted(map(repr, result.fetchall()))
 
