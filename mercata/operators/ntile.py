@@ -3,19 +3,27 @@
 ``F.ntile(n).over(Window.orderBy(...))`` has no partition key, so Spark moves
 every row into a single task.  Here the table is never sorted or shuffled:
 NTILE(n) is known once the n - 1 keys are known at which a new bucket begins.
-
-1. Count the rows (``N``); the bucket borders are the ranks that NTILE's rule
-   fixes (the first ``N mod n`` buckets get one extra row).
-2. A bounded seeded sample of the sort keys gives two bracket keys around each
-   border, a few standard errors apart.  One aggregate job counts the rows
-   before and up to each bracket; a border that its bracket misses gets an
-   open bracket instead, so the sample never decides the result.
-3. Only the rows within a bracket are ranked, in one window per border, and
-   the row at the border's rank gives its key.  A bracket holds a small share
-   of the table (about 5 / sqrt(sample)).
-4. Every row's bucket is 1 + the number of border keys at or before its own:
-   a projection with n - 1 comparisons, no shuffle.  A row's bucket depends on
-   the row alone, so retries and re-planning cannot move rows.
+Each score's ORDER BY is one order-preserving string
+(:func:`mercata.functions.ordering.order_key`), so that all borders of all
+scores are found together, in three queries whatever the number of scores:
+
+1. **Sample.**  The input is checkpointed and counted in one go (an
+   ``Observation``); a bounded seeded sample of the keys goes to the driver,
+   which picks up to ``SLICES`` keys around each border's place, some standard
+   errors to each side.
+2. **Counts.**  One aggregate counts all rows, the rows before each border's
+   slices, and the rows in each slice (map-side partial sums; a few hundred
+   groups).  The border's rank, which NTILE's rule fixes (the first ``N mod n``
+   buckets get one extra row), then lies in one known slice.  If the sample
+   missed it, that is the open slice before or after the others, so the sample
+   never decides the result.
+3. **Ranks.**  Only that slice's rows, about a thousandth of the table, are
+   ranked, in one window over all borders; the row at the border's rank gives
+   its key.
+
+Every row's bucket is 1 + the number of border keys at or before its own: a
+projection with n - 1 comparisons of strings, no shuffle.  A row's bucket
+depends on the row alone, so retries and re-planning cannot move rows.
 
 Pass a unique last key (an entity id).  Rows are ordered further by a hash of
 all their columns, so other rows that tie are split too; rows that are equal in
@@ -24,25 +32,30 @@ counted and laid down again bucket by bucket.
 
 Null ordering follows the SQL-standard default used by the reports' source
 engine: NULLs sort last ascending and first descending, unless
-``nulls_first`` says otherwise.  The input must be deterministic; it is read
-four times (count, sample, counts, borders and rows), so it is checkpointed
-first unless ``materialise='none'``.  The operator runs jobs when it is called.
+``nulls_first`` says otherwise.  Sort keys are numbers, texts, binaries,
+booleans, dates or timestamps.  The input must be deterministic; it is read
+three times, so it is checkpointed first unless ``materialise='none'``.  The
+operator runs jobs when it is called.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mercata.functions.sql import sql_literal
+from mercata.functions.ordering import order_key
 from mercata.session import checkpoint_dir
 
+#: Slices around a border's place; their number sets the share of rows ranked.
+SLICES = 32
+
 
 @dataclass(frozen=True)
 class SortKey:
@@ -80,52 +93,9 @@ def desc(column: str, nulls_first: bool | None = None) -> SortKey:
     return SortKey(column, False, nulls_first)
 
 
-def _lexi_before(keys: Sequence[SortKey], split: str) -> str:
-    """SQL: the row sorts strictly before the struct ``split`` (fields k0..)."""
-    expr: str | None = None
-    for i in reversed(range(len(keys))):
-        key = keys[i]
-        c, v = f"`{key.column}`", f"{split}.k{i}"
-        op = "<" if key.ascending else ">"
-        first = "TRUE" if key.nulls_go_first else "FALSE"
-        last = "FALSE" if key.nulls_go_first else "TRUE"
-        lt = (
-            f"(CASE WHEN {c} IS NULL AND {v} IS NULL THEN FALSE WHEN {c} IS NULL THEN {first} "
-            f"WHEN {v} IS NULL THEN {last} ELSE {c} {op} {v} END)"
-        )
-        expr = lt if expr is None else f"({lt} OR (({c} <=> {v}) AND {expr}))"
-    assert expr is not None
-    return expr
-
-
-def _tie_column(df: DataFrame, name: str) -> Column:
-    """Hash of all columns that can be hashed (not maps)."""
-    columns = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    return F.xxhash64(*columns).alias(name)
-
-
-def _key_at_or_before(keys: Sequence[SortKey], types: Mapping[str, str], key: tuple, strictly: bool) -> str:
-    """SQL: the row sorts before ``key`` (or, unless ``strictly``, with it)."""
-    fields = ", ".join(f"'k{i}', CAST({sql_literal(v)} AS {types[k.column]})" for i, (k, v) in enumerate(zip(keys, key)))
-    row = f"named_struct({fields})"
-    before = _lexi_before(keys, row)
-    if strictly:
-        return before
-    same = " AND ".join(f"(`{k.column}` <=> {row}.k{i})" for i, k in enumerate(keys))
-    return f"({before} OR ({same}))"
-
-
-def _sorted_samples(sample: DataFrame, orders: Sequence[Sequence[SortKey]], key_columns: list[str]) -> list[list[tuple]]:
-    """The sample's keys in each order, ranked by Spark itself (so the order
-    follows exactly the comparisons of the search) in one job; the sample is
-    bounded, so ranking it in one partition is cheap."""
-    ranks = [F.row_number().over(Window.orderBy(*[k.sort_column() for k in keys])).alias(f"__r{i}") for i, keys in enumerate(orders)]
-    rows = sample.select(*[F.col(f"`{c}`") for c in key_columns], *ranks).collect()
-    out = []
-    for i, keys in enumerate(orders):
-        pos = [key_columns.index(k.column) for k in keys]
-        out.append([tuple(r[p] for p in pos) for r in sorted(rows, key=lambda r: r[f"__r{i}"])])
-    return out
+def _tie_value(df: DataFrame) -> str:
+    """SQL: hash of all columns that can be hashed (not maps)."""
+    return f"xxhash64({', '.join(f'`{f.name}`' for f in df.schema.fields if 'map<' not in f.dataType.simpleString())})"
 
 
 def _border_ranks(total: int, n: int) -> list[int]:
@@ -136,40 +106,39 @@ def _border_ranks(total: int, n: int) -> list[int]:
 
 @dataclass
 class _Border:
-    """A bucket border of one spec and the bracket around its key."""
+    """A bucket border of one spec, and the sample keys around its place."""
 
     spec: int
-    rank: int
-    lo: tuple | None = None
-    hi: tuple | None = None
-    key: tuple | None = None
-    before: int = 0
+    number: int  # the border before bucket ``number + 2``
+    slices: list[str]
+    key: str = ""
+    rank: int = 0  # rows before the border
+    before: int = 0  # rows with keys strictly before ``key``
 
 
-def _bracket(border: _Border, ordered: list[tuple], total: int) -> None:
-    if not ordered:
-        return
+def _slices(ordered: list[str], share: float) -> list[str]:
+    """Up to ``SLICES`` + 1 sample keys, five standard errors around ``share``."""
     m = len(ordered)
-    at, margin = border.rank / total * m, 2.5 * math.sqrt(m) + 1
-    lo, hi = math.floor(at - margin), math.ceil(at + margin)
-    border.lo = ordered[lo] if lo >= 0 else None
-    border.hi = ordered[hi] if hi < m else None
-
-
-def _materialise(df: DataFrame, how: str) -> DataFrame:
-    """``checkpoint`` (and ``auto``): cut the lineage in the session's
-    checkpoint folder, locally and on a cluster alike; nothing stays cached,
-    and the files go with the DataFrame when
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on."""
-    if how in ("auto", "checkpoint"):
-        if not checkpoint_dir(df.sparkSession, create_if_unset=True):
-            if how == "checkpoint":
-                raise ValueError("materialise='checkpoint' needs spark.checkpoint.dir")
-            return df
-        return df.checkpoint(eager=True)
-    if how == "none":
-        return df
-    raise ValueError(f"unknown materialise mode {how!r}")
+    at, margin = share * m, 2.5 * math.sqrt(m) + 1
+    near = ordered[max(0, math.floor(at - margin)) : math.ceil(at + margin) + 1]
+    step = max(1, math.ceil(len(near) / SLICES))
+    return list(dict.fromkeys([*near[::step], *near[-1:]]))
+
+
+def _materialise(df: DataFrame, how: str) -> tuple[DataFrame, int]:
+    """The input and its number of rows.  ``checkpoint`` (and ``auto``): cut
+    the lineage in the session's checkpoint folder, locally and on a cluster
+    alike, counting on the way; nothing stays cached, and the files go with the
+    DataFrame when ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on."""
+    if how not in ("auto", "checkpoint", "none"):
+        raise ValueError(f"unknown materialise mode {how!r}")
+    if how == "none" or not checkpoint_dir(df.sparkSession, create_if_unset=True):
+        if how == "checkpoint":
+            raise ValueError("materialise='checkpoint' needs spark.checkpoint.dir")
+        return df, df.count()
+    counted = Observation()
+    base = df.observe(counted, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    return base, counted.get["n"]
 
 
 def add_ntiles(
@@ -184,105 +153,110 @@ def add_ntiles(
     """Add one NTILE column per spec, each over the whole of ``df``.
 
     ``bins * samples_per_bin`` keys are sampled (their number sets only how
-    wide the brackets are, never the result or the size of the plan)."""
+    wide the slices are, never the result or the size of the plan)."""
     for spec in specs:
         if spec.n <= 0:
             raise ValueError("NTILE needs a positive bucket count")
         if not spec.order_by:
             raise ValueError("NTILE needs at least one sort key")
-    base = _materialise(df, materialise)
-    total = base.count()
+    base, about = _materialise(df, materialise)
     outs = {spec.out for spec in specs}
     keep = [F.col(f"`{c}`") for c in base.columns if c not in outs]
-    if total == 0:
+    if about == 0:
         return base.select(*keep, *[F.lit(None).cast("int").alias(spec.out) for spec in specs])
 
-    tie = "__ntile_tie"
-    tied = base.select("*", _tie_column(base, tie))
-    orders = [(*spec.order_by, SortKey(tie)) for spec in specs]
-    key_columns = list(dict.fromkeys(k.column for keys in orders for k in keys))
-    types = {f.name: f.dataType.simpleString() for f in tied.schema.fields}
-    fraction = min(1.0, samples_per_bin * bins / total)
-    sample = tied.select(*[F.col(f"`{c}`") for c in key_columns]).sample(False, fraction, seed)
-    ordered = _sorted_samples(sample, orders, key_columns)
-
-    borders = [_Border(i, rank) for i, spec in enumerate(specs) for rank in dict.fromkeys(_border_ranks(total, spec.n)) if 0 < rank < total]
-    for b in borders:
-        _bracket(b, ordered[b.spec], total)
-    _locate(tied, orders, types, borders, total)
-
-    out = tied
-    for i, spec in enumerate(specs):
-        mine = [b for b in borders if b.spec == i]
-        passed = [f"CASE WHEN {_key_at_or_before(orders[i], types, b.key, True)} THEN 0 ELSE 1 END" for b in mine]
-        out = out.withColumn(f"__ntile_{i}", F.expr(" + ".join(["1", *passed])).cast("int"))
+    types = {f.name: f.dataType for f in base.schema.fields}
+    tie = (_tie_value(base), T.LongType(), True, True)
+    names = [f"__ntile_key_{i}" for i in range(len(specs))]
+    keys = [order_key([*((f"`{k.column}`", types[k.column], k.ascending, k.nulls_go_first) for k in spec.order_by), tie]) for spec in specs]
+    keyed = base.selectExpr("*", *[f"{key} AS {name}" for key, name in zip(keys, names)])
+    # Bounded: sorted on the driver, whose order of these strings is Spark's.
+    sample = keyed.select(*names).sample(False, min(1.0, samples_per_bin * bins / about), seed).collect()
+    ordered = [sorted(r[i] for r in sample) for i in range(len(specs))]
+    borders = [_Border(i, j, _slices(ordered[i], (j + 1) / spec.n)) for i, spec in enumerate(specs) for j in range(spec.n - 1)]
+    borders = _locate(keyed, specs, names, borders)
+
+    out = keyed
+    for i in range(len(specs)):
+        passed = [f"CASE WHEN {names[i]} < '{b.key}' THEN 0 ELSE 1 END" for b in borders if b.spec == i]
+        out = out.withColumn(f"__ntile_{i}", F.expr(f"CAST({' + '.join(['1', *passed])} AS INT)"))
     across = [b for b in borders if b.before < b.rank]
     if across:
-        out = _split_equal_rows(out, orders, types, across)
+        out = _split_equal_rows(out, names, across)
     return out.select(*keep, *[F.col(f"__ntile_{i}").alias(spec.out) for i, spec in enumerate(specs)])
 
 
-def _locate(tied: DataFrame, orders, types, borders: list[_Border], total: int) -> None:
-    """Finds each border's key, and how many rows sort strictly before it."""
+def _locate(keyed: DataFrame, specs: Sequence[NtileSpec], names: list[str], borders: list[_Border]) -> list[_Border]:
+    """Finds each border's rank and key, and how many rows sort strictly
+    before it; borders that no row comes after are left out."""
     if not borders:
-        return
-    counted = []
-    for j, b in enumerate(borders):
-        lo = "FALSE" if b.lo is None else _key_at_or_before(orders[b.spec], types, b.lo, True)
-        hi = "TRUE" if b.hi is None else _key_at_or_before(orders[b.spec], types, b.hi, False)
-        counted += [F.count_if(F.expr(lo)).alias(f"b{j}"), F.count_if(F.expr(hi)).alias(f"u{j}")]
-    row = tied.agg(*counted).first()
-    parts = []
+        return []
+
+    def in_slices(j: int, b: _Border) -> str:
+        """(j, slice) of a row's key if it lies within the border's slices, else NULL."""
+        key, slices = names[b.spec], ", ".join(f"'{s}'" for s in b.slices)
+        place = f"size(filter(array({slices}), s -> s <= {key}))"
+        return f"CASE WHEN {key} >= '{b.slices[0]}' AND {key} < '{b.slices[-1]}' THEN named_struct('j', {j}, 'slice', {place}) END"
+
+    # Every row counts once for the sums, and once for each border whose slices hold it.
+    cells = ["named_struct('j', -1, 'slice', 0)", *[in_slices(j, b) for j, b in enumerate(borders) if len(b.slices) > 1]]
+    rows = keyed.selectExpr(*names, f"inline(filter(array({', '.join(cells)}), c -> c IS NOT NULL))")
+    before = [F.expr(f"count_if(j < 0 AND {names[b.spec]} < '{b.slices[0]}')" if b.slices else "0L").alias(f"before_{j}") for j, b in enumerate(borders)]
+    counts = rows.groupBy("j", "slice").agg(F.count(F.lit(1)).alias("n"), *before).collect()
+    sums = next(r for r in counts if r.j < 0)
+    held = {(r.j, r["slice"]): r.n for r in counts}
+
+    wanted = []
     for j, b in enumerate(borders):
-        below, upto = row[f"b{j}"], row[f"u{j}"]
-        if below > b.rank:  # the bracket missed the border: open it on that side
-            b.lo, below = None, 0
-        if upto <= b.rank:
-            b.hi = None
-        inside = [] if b.lo is None else [f"NOT {_key_at_or_before(orders[b.spec], types, b.lo, True)}"]
-        inside += [] if b.hi is None else [_key_at_or_before(orders[b.spec], types, b.hi, False)]
-        keys = orders[b.spec]
-        sort = [k.sort_column() for k in keys]
-        ranked = (
-            tied.where(F.expr(" AND ".join(inside) if inside else "TRUE"))
-            .select(*[F.col(f"`{k.column}`") for k in keys])
-            .withColumn("__i", F.row_number().over(Window.partitionBy(F.lit(j)).orderBy(*sort)))
-            .withColumn("__first", F.rank().over(Window.partitionBy(F.lit(j)).orderBy(*sort)))
-        )
-        cells = [F.col(f"`{k.column}`").alias(f"k{p}") for p, k in enumerate(keys)]
-        parts.append((j, below, ranked.where(F.col("__i") == b.rank - below + 1).select(F.lit(j).alias("j"), F.col("__first"), *cells)))
-    # Keys of different specs differ in type, so each spec's borders are one job.
-    for spec in dict.fromkeys(b.spec for b in borders):
-        mine = [part for j, _, part in parts if borders[j].spec == spec]
-        below = {j: n for j, n, _ in parts}
-        for found in reduce(DataFrame.unionByName, mine).collect():
-            b = borders[found["j"]]
-            b.key = tuple(found[f"k{p}"] for p in range(len(orders[spec])))
-            b.before = below[found["j"]] + found["__first"] - 1
-
-
-def _split_equal_rows(out: DataFrame, orders, types, across: list[_Border]) -> DataFrame:
+        n = specs[b.spec].n
+        b.rank = _border_ranks(sums.n, n)[b.number]
+        if not 0 < b.rank < sums.n:
+            continue
+        low, high, passed = None, (b.slices[0] if b.slices else None), 0
+        upto = sums[f"before_{j}"]
+        for place in range(1, len(b.slices) + 1):
+            if upto > b.rank:
+                break
+            passed = upto
+            low, high = b.slices[place - 1], b.slices[place] if place < len(b.slices) else None
+            upto += held.get((j, place), 0)
+        wanted.append((j, b, low, high, b.rank - passed, passed))
+
+    def wanted_row(j: int, b: _Border, low: str | None, high: str | None, *_) -> str:
+        key = names[b.spec]
+        inside = [f"{key} >= '{low}'"] if low is not None else []
+        inside += [f"{key} < '{high}'"] if high is not None else []
+        return f"CASE WHEN {' AND '.join(inside) or 'TRUE'} THEN named_struct('j', {j}, 'key', {key}) END"
+
+    if not wanted:
+        return []
+    rows = keyed.selectExpr(f"inline(filter(array({', '.join(wanted_row(*w) for w in wanted)}), c -> c IS NOT NULL))")
+    by_key = Window.partitionBy("j").orderBy("key")
+    ranked = rows.withColumn("i", F.row_number().over(by_key)).withColumn("first", F.rank().over(by_key))
+    place = " ".join(f"WHEN {j} THEN {rank + 1}" for j, _, _, _, rank, _ in wanted)
+    found = {r.j: r for r in ranked.where(f"i = CASE j {place} END").collect()}
+    for j, b, _, _, _, passed in wanted:
+        b.key, b.before = found[j].key, passed + found[j]["first"] - 1
+    return [w[1] for w in wanted]
+
+
+def _split_equal_rows(out: DataFrame, names: list[str], across: list[_Border]) -> DataFrame:
     """Rows equal in all columns at a border's key: as many as the border's
     rank leaves go to the bucket before it.  They are counted (partial
     aggregates) and laid down again, so a large group is no hot task."""
-    groups: dict[tuple, list[_Border]] = {}
+    groups: dict[tuple[int, str], list[_Border]] = {}
     for b in across:
         groups.setdefault((b.spec, b.key), []).append(b)
-    ties = {key: _same(orders[key[0]], types, key[1]) for key in groups}
-    any_tie = " OR ".join(f"({t})" for t in ties.values())
+    ties = {at: F.col(names[at[0]]) == at[1] for at in groups}
+    any_tie = reduce(Column.__or__, ties.values())
     columns = out.columns
-    copies = out.where(F.expr(any_tie)).groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("__n"))
+    copies = out.where(any_tie).groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("__n"))
     laid = copies.select(*[F.col(f"`{c}`") for c in columns], F.explode(F.expr("sequence(0L, __n - 1)")).alias("__i"))
-    for (spec, _), borders in groups.items():
-        tie = ties[(spec, borders[0].key)]
-        back = " + ".join(f"CASE WHEN __i < {b.rank - b.before} THEN 1 ELSE 0 END" for b in borders)
-        laid = laid.withColumn(f"__ntile_{spec}", F.expr(f"CASE WHEN {tie} THEN `__ntile_{spec}` - ({back}) ELSE `__ntile_{spec}` END"))
-    rest = out.where(~F.coalesce(F.expr(any_tie), F.lit(False)))
-    return rest.unionByName(laid.drop("__i"))
-
-
-def _same(keys: Sequence[SortKey], types: Mapping[str, str], key: tuple) -> str:
-    return " AND ".join(f"(`{k.column}` <=> CAST({sql_literal(v)} AS {types[k.column]}))" for k, v in zip(keys, key))
+    for (spec, key), borders in groups.items():
+        back = sum([F.when(F.col("__i") < b.rank - b.before, 1).otherwise(0) for b in borders], F.lit(0))
+        bucket = F.col(f"__ntile_{spec}")
+        laid = laid.withColumn(f"__ntile_{spec}", F.when(ties[spec, key], bucket - back).otherwise(bucket))
+    return out.where(~any_tie).unionByName(laid.drop("__i"))
 
 
 def global_ntile(
