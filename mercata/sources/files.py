@@ -4,24 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercata.schemas import CSV_FILES, SCHEMAS
+from mercata.sources.quoted_csv import read_quoted_csv
 
 # Tables whose free-text columns may hold quoted newlines; only these are
-# read with multiLine (which makes a CSV file unsplittable).
+# read by mercata.sources.quoted_csv, the others by Spark's CSV reader.
 MULTILINE_TABLES = frozenset({"order_reviews"})
 
 
-def _status(spark: SparkSession, path: str):
-    """Hadoop's file status of ``path`` in whatever store its URI names, or
-    None if nothing is there."""
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.getFileStatus(place) if fs.exists(place) else None
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, URI or glob names anything."""
+    try:
+        return bool(spark.read.format("binaryFile").load(path).schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
 
 
 def child(directory: str, name: str) -> str:
@@ -37,7 +40,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def _require(spark: SparkSession, paths: dict[str, str]) -> None:
     """Raises if a table's file or folder is missing, naming all that are."""
-    missing = [f"{table} ({path})" for table, path in paths.items() if _status(spark, path) is None]
+    missing = [f"{table} ({path})" for table, path in paths.items() if not _exists(spark, path)]
     if missing:
         raise FileNotFoundError(f"missing tables: {', '.join(missing)}")
 
@@ -53,8 +56,8 @@ def load_csv(
 ) -> DataFrame:
     """Read one table's CSV with its declared schema (no inference).
 
-    ``path`` is the CSV file, or a folder holding the table's source file
-    (named as in ``schemas.CSV_FILES``).
+    ``path`` is the CSV file, a glob of files, or a folder holding the table's
+    source file (named as in ``schemas.CSV_FILES``) or files of its own.
 
     Header row, ``"`` as quote and escape (RFC 4180 doubled quotes), an
     unquoted empty field is NULL and a quoted empty field is ``''`` (the
@@ -65,26 +68,24 @@ def load_csv(
     parses only the columns that it keeps, so ``validate`` (the default) first
     reads all columns of all rows once and raises on a bad value in any.  Load
     CSV once and keep Parquet (:func:`write_tables`) for repeated reads.
+
+    With ``multi_line`` (the default for tables with free text) quoted fields
+    may hold newlines; such files are read in parallel too, split by split
+    (:mod:`mercata.sources.quoted_csv`).
     """
     schema = SCHEMAS[table]
-    status = _status(spark, path)
-    if status is None:
+    if path.endswith("/") or not path.lower().endswith(".csv"):
+        inner = child(path, CSV_FILES[table])
+        path = inner if _exists(spark, inner) else path
+    if not _exists(spark, path):
         raise FileNotFoundError(path)
-    if status.isDirectory() and _status(spark, child(path, CSV_FILES[table])) is not None:
-        path = child(path, CSV_FILES[table])
     if multi_line is None:
         multi_line = table in MULTILINE_TABLES
-    rows = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("mode", mode)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("nullValue", "\u0000")
-        .option("multiLine", multi_line)
-        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-        .csv(path)
-    )
+    options = {"mode": mode, "quote": '"', "escape": '"', "nullValue": "\u0000", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
+    if multi_line:
+        rows = read_quoted_csv(spark, path, schema, options)
+    else:
+        rows = spark.read.schema(schema).options(**options).option("header", True).csv(path)
     if validate:
         rows.agg(*[F.count(f"`{c}`") for c in rows.columns]).collect()
     return rows
