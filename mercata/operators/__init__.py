@@ -7,6 +7,7 @@ from mercata.operators.quality import (
     coverage,
     distribution,
     duplicate_keys,
+    key_audit,
     null_counts,
     row_counts,
     unmatched,
@@ -27,6 +28,7 @@ __all__ = [
     "distribution",
     "duplicate_keys",
     "global_ntile",
+    "key_audit",
     "null_counts",
     "pivot_values",
     "reindex_on",

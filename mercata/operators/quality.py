@@ -64,6 +64,33 @@ def orphan_count(child: DataFrame, parent: DataFrame, keys: Mapping[str, str], n
     return unmatched(counted, parent, keys).agg(F.coalesce(F.sum("__rows"), F.lit(0)).alias(name))
 
 
+def key_audit(parent: DataFrame, keys: Sequence[str], children: Sequence[tuple[DataFrame, Sequence[str]]] = ()) -> DataFrame:
+    """One row that answers every question about a key: ``duplicates`` (key
+    values that repeat in ``parent``), ``nulls`` (its rows with a NULL in the
+    key), and for each of ``children`` (table, its key columns), by place,
+    ``orphans_<i>`` (its rows whose key is not NULL and not in ``parent``) and
+    ``childless_<i>`` (rows of ``parent`` without a row in it).
+
+    The tables' keys form one union, tagged by table; a row per key value with
+    the counts of each tag is all that is shuffled (map-side partial sums), so
+    every table is read once, the key meets in one exchange, and a key that
+    holds a third of all rows is one row like any other."""
+    names = [f"__k{i}" for i in range(len(keys))]
+    tables = [(parent, keys), *children]
+    tagged = [df.select(*[F.col(c).alias(n) for c, n in zip(columns, names)], F.lit(tag).alias("__tag")) for tag, (df, columns) in enumerate(tables)]
+    counts = [F.count_if(F.col("__tag") == tag).alias(f"__n{tag}") for tag in range(len(tables))]
+    per_key = reduce(DataFrame.union, tagged).groupBy(*names).agg(*counts)
+    null = reduce(lambda x, y: x | y, [F.col(n).isNull() for n in names])
+    total = lambda rule, n: F.coalesce(F.sum(F.when(rule, F.col(n))), F.lit(0))
+    known = F.col("__n0") > 0
+    of_children = [
+        column
+        for i in range(len(children))
+        for column in (total(~null & ~known, f"__n{i + 1}").alias(f"orphans_{i}"), total(known & (null | (F.col(f"__n{i + 1}") == 0)), "__n0").alias(f"childless_{i}"))
+    ]
+    return per_key.agg(F.count_if(F.col("__n0") > 1).alias("duplicates"), total(null, "__n0").alias("nulls"), *of_children)
+
+
 def null_counts(df: DataFrame, columns: Mapping[str, str] | Sequence[str]) -> DataFrame:
     """One pass: ``SUM(CASE WHEN c IS NULL THEN 1 ELSE 0 END)`` per column.
     On an empty table the sums are NULL, not 0, as in SQL."""

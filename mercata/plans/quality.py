@@ -12,9 +12,8 @@ from mercata.operators.quality import (
     coverage,
     distribution,
     duplicate_keys,
+    key_audit,
     null_counts,
-    null_key_count,
-    orphan_count,
     row_counts as _row_counts,
     unmatched,
     unmatched_count,
@@ -83,19 +82,25 @@ def orphan_rows(t: Tables, child: str, columns: tuple[str, ...], parent: str, pa
 def key_report(t: Tables) -> DataFrame:
     """Every declared key of the loaded tables: ``check, table_name,
     columns, violations`` (key values that repeat, rows with a NULL in the
-    primary key, rows whose foreign key has no parent)."""
+    primary key, rows whose foreign key has no parent).  One audit for each
+    key, of its table and the tables that refer to it."""
+    referred = {(parent, columns) for _, _, parent, columns in FOREIGN_KEYS}
+    keys = dict.fromkeys([*PRIMARY_KEYS.items(), *sorted(referred)])
     parts = []
-
-    def line(counted: DataFrame, check: str, table: str, columns: tuple[str, ...]) -> None:
-        parts.append(counted.select(F.lit(check).alias("check"), F.lit(table).alias("table_name"), F.lit(",".join(columns)).alias("columns"), "violations"))
-
-    for table, keys in PRIMARY_KEYS.items():
-        if table in t:
-            line(duplicate_keys(t[table], list(keys)).agg(F.count(F.lit(1)).alias("violations")), "duplicate primary key", table, keys)
-            line(null_key_count(t[table], list(keys)), "null in primary key", table, keys)
-    for child, cols, parent, pcols in FOREIGN_KEYS:
-        if child in t and parent in t:
-            line(orphan_count(t[child], t[parent], dict(zip(cols, pcols))), f"orphan of {parent}", child, cols)
+    for table, columns in keys:
+        if table not in t:
+            continue
+        uses = [(child, cols) for child, cols, parent, pcols in FOREIGN_KEYS if (parent, pcols) == (table, columns) and child in t]
+        found = key_audit(t[table], columns, [(t[child], cols) for child, cols in uses])
+        lines = []
+        if PRIMARY_KEYS.get(table) == columns:
+            lines += [("duplicate primary key", table, columns, "duplicates"), ("null in primary key", table, columns, "nulls")]
+        lines += [(f"orphan of {table}", child, cols, f"orphans_{i}") for i, (child, cols) in enumerate(uses)]
+        structs = [
+            F.struct(F.lit(check).alias("check"), F.lit(name).alias("table_name"), F.lit(",".join(cols)).alias("columns"), F.col(count).alias("violations"))
+            for check, name, cols, count in lines
+        ]
+        parts.append(found.select(F.inline(F.array(*structs))))
     return reduce(DataFrame.unionByName, parts)
 
 

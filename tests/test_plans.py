@@ -149,6 +149,37 @@ def test_key_report_meets_parents_by_key_count(no_broadcast, fixture_tables):
     assert "partial_count" in plan.split("LeftAnti")[1]
 
 
+def test_key_report_reads_each_table_once_a_key(spark, tmp_path, fixture_tables):
+    """Thirteen uses of seven keys: as many scans, and two exchanges a key
+    (the key's counts and their sum)."""
+    from mercata.schemas import FOREIGN_KEYS, PRIMARY_KEYS
+    from mercata.sources import load_marketplace_parquet, write_tables
+
+    write_tables(fixture_tables, str(tmp_path))
+    stored = load_marketplace_parquet(spark, str(tmp_path))
+    report = plans.key_report(stored)
+    plan = _plan(report)
+    assert plan.count("FileScan") == len(PRIMARY_KEYS) + len(FOREIGN_KEYS) == 13
+    assert plan.count("Exchange") == 2 * len(PRIMARY_KEYS) and "Join" not in plan
+    assert sorted(map(tuple, report.collect())) == sorted(map(tuple, plans.key_report(fixture_tables).collect()))
+
+
+def test_key_audit_equals_the_single_checks(spark, fixture_tables):
+    from mercata.operators.quality import duplicate_keys, key_audit, null_key_count, orphan_count, unmatched_count
+
+    parent = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (2, None), (None, "b"), (3, "c"), (4, "d")], "x int, y string")
+    child = spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (None, None), (3, "c"), (3, "c"), (9, "z")] + [(7, "hot")] * 50, "p int, q string")
+    none = child.limit(0)
+    got = key_audit(parent, ["x", "y"], [(child, ["p", "q"]), (none, ["p", "q"])]).first()
+    keys = {"p": "x", "q": "y"}
+    assert got.duplicates == duplicate_keys(parent, ["x", "y"]).count() == 2
+    assert got.nulls == null_key_count(parent, ["x", "y"]).first()[0] == 3
+    assert got.orphans_0 == orphan_count(child, parent, keys).first()[0] == 52
+    assert got.childless_0 == unmatched_count(parent, child, {"x": "p", "y": "q"}).first()[0] == 4
+    assert (got.orphans_1, got.childless_1) == (0, 7)
+    assert tuple(key_audit(parent.limit(0), ["x"], [(child, ["p"])]).first()) == (0, 0, 56, 0)
+
+
 def test_order_bucketed_tables_skip_order_shuffles(spark, fixture_tables, tmp_path):
     from mercata.sources import load_catalog_tables, write_bucketed_tables
     from mercata.sources.testdata import FIXTURE_REVENUE_RANGE
