@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from mercata.functions.arith import micros_between
 from mercata.functions.dates import month_index, month_start, to_date
 from mercata.operators.ntile import NtileSpec, add_ntiles, asc, desc
+from mercata.operators.skew import salted_join
 from mercata.plans.rules import DELIVERED, NEGATIVE_MAX_SCORE
 
 Tables = Mapping[str, DataFrame]
@@ -151,16 +152,18 @@ def active_months(t: Tables) -> DataFrame:
     ).select(PERSON, "cohort_month", month_index("order_month", "cohort_month").alias("month_index"))
 
 
-def customer_activity(t: Tables, cohort: str | dt.date | None = None) -> DataFrame:
+def customer_activity(t: Tables, cohort: str | dt.date | None = None, split_hot: bool = False) -> DataFrame:
     """Order grain: ``customer_unique_id, cohort_month, order_month,
-    month_index`` for every delivered order, optionally of one cohort."""
+    month_index`` for every delivered order, optionally of one cohort.
+    ``split_hot``: persons with a large share of all orders are found first
+    (one job) and dealt over tasks, at any size; else adaptive execution splits
+    them once they pass its threshold."""
     first = first_orders(t)
     if cohort is not None:
         first = first.filter(F.col("cohort_month") == to_date(cohort))
+    joined = salted_join(person_orders(t), first, [PERSON]) if split_hot else person_orders(t).join(first, PERSON)
     return (
-        person_orders(t)
-        .join(first, PERSON)
-        .select(
+        joined.select(
             PERSON,
             "cohort_month",
             month_start("order_purchase_timestamp").alias("order_month"),

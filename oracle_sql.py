@@ -326,5 +326,6 @@ FROM (SELECT *, lag(c) OVER (ORDER BY month) AS p FROM months)"""),
     ),
     "op_left_join_coalesce": stmt("SELECT part AS product_id, category FROM article", WORDINGS, ARTICLES),
     "op_month_index": stmt("SELECT person AS customer_unique_id, joined AS cohort_month, active AS order_month, nth AS month_index FROM steps", PURCHASES, TRAIL),
+    "op_month_index_hot": stmt("SELECT person AS customer_unique_id, joined AS cohort_month, active AS order_month, nth AS month_index FROM steps", PURCHASES.replace("o_custkey AS person", "IF(o_orderkey % 3 = 0, -1, o_custkey) AS person"), TRAIL),
     "op_days_between": stmt(f"SELECT oid AS order_id, CAST(way_us AS DOUBLE) / {DAY}.0 AS delivery_days, CAST(delay_us AS DOUBLE) / {DAY}.0 AS days_vs_estimate FROM settled", PURCHASES),
 }

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mercata import plans
+from mercata.operators.skew import salted_join
 from mercata.plans import entities as E
 from mercata.sources.testdata import FIXTURE_ANCHOR
 
@@ -74,3 +75,45 @@ def test_hot_seller_measures_match_brute_force(hot_tables):
         neg = sum(1 for _, _, s in joined if s <= 2)
         want = (Decimal(100 * neg) / Decimal(len(joined))).quantize(Decimal("0.1"), rounding="ROUND_HALF_UP")
         assert r["pct_negative_reviews"] == want
+
+
+@pytest.fixture
+def even_partitions(spark):
+    conf = {
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.enabled": "false", "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def loads(df):
+    return sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+
+def test_salted_join_deals_hot_keys_evenly(spark, even_partitions):
+    """Half the rows on two keys, NULL keys, keys without a partner: same rows
+    as the plain join, and no task above twice the median."""
+    n = 30_000
+    key = F.expr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 6 = 1 THEN NULL ELSE id % 4001 END")
+    many = spark.range(n).select(key.alias("k"), F.col("id").alias("row"))
+    few = spark.range(3500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x")).unionByName(spark.createDataFrame([(7, -1), (None, -2)], "k long, x long"))
+    for how in ("inner", "left"):
+        plain, salted = many.join(few, ["k"], how), salted_join(many, few, ["k"], how)
+        assert sorted(map(repr, salted.collect())) == sorted(map(repr, plain.collect()))
+        even, uneven = loads(salted), loads(plain)
+        assert len(even) == 8 and even[-1] <= 2 * even[4] < uneven[-1]
+    assert salted_join(many.limit(0), few, ["k"]).count() == 0
+    assert salted_join(many, few.limit(0), ["k"], "left").count() == n
+    with pytest.raises(ValueError):
+        salted_join(many, few, ["k"], "full")
+
+
+def test_hot_person_activity(spark, even_partitions, hot_tables):
+    plain, split = E.customer_activity(hot_tables), E.customer_activity(hot_tables, split_hot=True)
+    assert sorted(map(repr, split.collect())) == sorted(map(repr, plain.collect()))
+    assert loads(split)[-1] <= 2 * loads(split)[4] < loads(plain)[-1]
