@@ -22,6 +22,7 @@ from mercata.plans.satisfaction import items_per_order
 from mercata.plans.rules import DEFAULT_ANCHOR, DEFAULT_FROM_COHORT, DEFAULT_REVENUE_RANGE, DEFAULT_SAMPLE_COHORT
 from mercata.session import checkpoint_dir
 from mercata.sources.files import child, remove, write_report
+from mercata.sources.versions import current, write_version
 
 #: Reports over the loaded tables themselves, without the entities.
 AUDIT = frozenset({"row_counts", "key_report", "domain_report"})
@@ -116,16 +117,23 @@ def run_all(
     sample_cohort: str = DEFAULT_SAMPLE_COHORT,
     revenue_range: tuple[str, str] = DEFAULT_REVENUE_RANGE,
     work_dir: str | None = None,
+    versioned: bool = False,
 ) -> dict[str, DataFrame]:
     """Write every report to ``<out_dir>/<report>`` (overwritten) and return
-    the written reports."""
+    the written reports.  ``versioned``: write them as a new version instead,
+    which all readers of :mod:`mercata.sources.versions` see at once, and only
+    when every report is there."""
     spark = next(iter(t.values())).sparkSession
     with prepared(t, anchor, work_dir) as (ready, scored):
         builders = report_builders(anchor, from_cohort, sample_cohort, revenue_range, scored)
-        schemas = {}
-        for name, build in builders.items():
-            report = build(ready if name not in AUDIT else t)
-            write_report(report, child(out_dir, name), fmt)
-            schemas[name] = report.schema
+        reports = {name: build(ready if name not in AUDIT else t) for name, build in builders.items()}
+        if versioned:
+            write_version(reports, out_dir, fmt, **({"header": "true"} if fmt == "csv" else {}))
+        else:
+            for name, report in reports.items():
+                write_report(report, child(out_dir, name), fmt)
+        schemas = {name: report.schema for name, report in reports.items()}
     reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    return {name: reader.schema(schema).format(fmt).load(child(out_dir, name)) for name, schema in schemas.items()}
+    entries = current(spark, out_dir) if versioned else {}
+    folders = {name: entries[name]["folder"] if versioned else name for name in schemas}
+    return {name: reader.schema(schema).format(fmt).load(child(out_dir, folders[name])) for name, schema in schemas.items()}

@@ -13,16 +13,22 @@ from mercata.sources.files import (
     write_tables,
 )
 from mercata.sources.testdata import marketplace_from_testdata
+from mercata.sources.versions import current, manifests, read_version, superseded, write_version
 
 __all__ = [
     "conform",
+    "current",
     "load_catalog_tables",
     "load_csv",
     "load_marketplace_csv",
     "load_marketplace_parquet",
+    "manifests",
     "marketplace_from_testdata",
+    "read_version",
     "register_views",
+    "superseded",
     "write_bucketed_tables",
     "write_report",
     "write_tables",
+    "write_version",
 ]

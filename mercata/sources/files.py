@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from mercata.schemas import CSV_FILES, SCHEMAS
 from mercata.sources.quoted_csv import read_quoted_csv
+from mercata.sources.versions import current, read_version, write_version
 
 # Tables whose free-text columns may hold quoted newlines; only these are
 # read by mercata.sources.quoted_csv, the others by Spark's CSV reader.
@@ -104,17 +105,26 @@ def load_marketplace_csv(
 
 
 def load_marketplace_parquet(spark: SparkSession, directory: str, tables: Iterable[str] | None = None) -> dict[str, DataFrame]:
-    """Load ``<directory>/<table>`` Parquet datasets written by
-    :func:`write_tables`; all nine by default.  A missing one raises."""
-    paths = {table: child(directory, table) for table in (SCHEMAS if tables is None else tables)}
+    """Load the tables written by :func:`write_tables`, in their newest
+    finished version, or plain ``<directory>/<table>`` Parquet datasets; all
+    nine by default.  A missing one raises."""
+    wanted = list(SCHEMAS if tables is None else tables)
+    entries = current(spark, directory)
+    if entries:
+        missing = [f"{table} ({directory})" for table in wanted if table not in entries]
+        if missing:
+            raise FileNotFoundError(f"missing tables: {', '.join(missing)}")
+        return {table: read_version(spark, directory, table, entries) for table in wanted}
+    paths = {table: child(directory, table) for table in wanted}
     _require(spark, paths)
     return {table: spark.read.parquet(path) for table, path in paths.items()}
 
 
-def write_tables(tables: dict[str, DataFrame], directory: str) -> None:
-    """Idempotent re-create: each table is overwritten as Parquet."""
-    for table, df in tables.items():
-        df.write.mode("overwrite").parquet(child(directory, table))
+def write_tables(tables: dict[str, DataFrame], directory: str) -> str:
+    """Idempotent re-create: the tables become the newest version under
+    ``directory``, all at once; a write that fails half way leaves the version
+    before it readable (:mod:`mercata.sources.versions`)."""
+    return write_version(tables, directory)
 
 
 # Tables keyed by order: stored in the same number of buckets on order_id,
