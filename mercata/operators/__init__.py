@@ -9,6 +9,7 @@ from mercata.operators.quality import (
     duplicate_keys,
     key_audit,
     null_counts,
+    profile,
     row_counts,
     unmatched,
     unmatched_count,
@@ -31,6 +32,7 @@ __all__ = [
     "key_audit",
     "null_counts",
     "pivot_values",
+    "profile",
     "reindex_on",
     "row_counts",
     "share_of_total",

@@ -50,6 +50,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mercata.functions.observed import observed
 from mercata.functions.ordering import order_key
 from mercata.session import checkpoint_dir
 
@@ -138,7 +139,7 @@ def _materialise(df: DataFrame, how: str) -> tuple[DataFrame, int]:
         return df, df.count()
     counted = Observation()
     base = df.observe(counted, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
-    return base, counted.get["n"]
+    return base, (observed(counted) or {"n": 0})["n"]
 
 
 def add_ntiles(

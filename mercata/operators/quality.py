@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mercata.operators.shares import share_of_total
@@ -100,6 +100,23 @@ def null_counts(df: DataFrame, columns: Mapping[str, str] | Sequence[str]) -> Da
     )
 
 
+def profile(df: DataFrame, values: Sequence[str], measures: Mapping[str, Column]) -> tuple[DataFrame, Observation]:
+    """One pass over ``df`` for a whole profile: (``column, n`` and the value,
+    under its own name, of every value of each of ``values``; an observation
+    with the global ``measures``, there once the first is computed).
+
+    The columns' values are grouping sets of one aggregate with map-side
+    partial sums; the global measures are observed on the rows as they stream
+    by.  Write the first before use (:func:`mercata.plans.quality.order_profile`)."""
+    seen = Observation()
+    rows = df.observe(seen, *[column.alias(name) for name, column in measures.items()]).select(*values)
+    sets = rows.groupingSets([[F.col(v)] for v in values], *values).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("__id"))
+    # grouping_id has a bit for every column that is not in the set; the first column's is the highest.
+    every = (1 << len(values)) - 1
+    name = reduce(lambda rest, i: F.when(F.col("__id") == every ^ (1 << (len(values) - 1 - i)), values[i]).otherwise(rest), range(len(values)), F.lit(None))
+    return sets.select(name.alias("column"), *values, "n"), seen
+
+
 def coverage(df: DataFrame, ts: str, distinct: str) -> DataFrame:
     """Earliest/latest timestamp, row count and exact distinct count."""
     return df.agg(

@@ -103,6 +103,8 @@ def prepared(t: Tables, anchor: Anchor = DEFAULT_ANCHOR, work_dir: str | None =
         for name in shared_entities(t):  # each sees those before it
             entities[f"{E.ENTITY}{name}"] = kept(name, shared_entities({**t, **entities})[name])
         ready = {**t, **entities}
+        for name, report in quality.order_profile(t, lambda df: kept("order_profile", df)).items():
+            ready[f"{E.ENTITY}{name}"] = report
         yield ready, kept("rfm_scored", E.rfm_scored(ready, anchor, "rfm"))
     finally:
         remove(spark, folder)
@@ -126,7 +128,7 @@ def run_all(
     spark = next(iter(t.values())).sparkSession
     with prepared(t, anchor, work_dir) as (ready, scored):
         builders = report_builders(anchor, from_cohort, sample_cohort, revenue_range, scored)
-        reports = {name: build(ready if name not in AUDIT else t) for name, build in builders.items()}
+        reports = {name: ready.get(f"{E.ENTITY}{name}") or build(ready if name not in AUDIT else t) for name, build in builders.items()}
         if versioned:
             write_version(reports, out_dir, fmt, **({"header": "true"} if fmt == "csv" else {}))
         else:

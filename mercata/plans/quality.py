@@ -3,17 +3,21 @@ domain checks the source schema declares."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mercata.functions.observed import observed
+from mercata.operators.shares import share_of_total
 from mercata.operators.quality import (
     coverage,
     distribution,
     duplicate_keys,
     key_audit,
     null_counts,
+    profile,
     row_counts as _row_counts,
     unmatched,
     unmatched_count,
@@ -44,15 +48,7 @@ def status_distribution(t: Tables) -> DataFrame:
 
 def order_null_counts(t: Tables) -> DataFrame:
     """1.3 NULLs in the order columns the analysis depends on."""
-    return null_counts(
-        t["orders"],
-        {
-            "customer_id": "null_customer_id",
-            "order_purchase_timestamp": "null_purchase_time",
-            "order_delivered_customer_date": "null_delivered_date",
-            "order_estimated_delivery_date": "null_estimated_delivery",
-        },
-    )
+    return null_counts(t["orders"], ORDER_NULLS)
 
 
 def duplicate_orders(t: Tables) -> DataFrame:
@@ -65,6 +61,38 @@ def orders_without_items(t: Tables) -> DataFrame:
     return unmatched_count(t["orders"], t["order_items"], ["order_id"], "orders_without_items")
 
 
+ORDER_NULLS = {
+    "customer_id": "null_customer_id",
+    "order_purchase_timestamp": "null_purchase_time",
+    "order_delivered_customer_date": "null_delivered_date",
+    "order_estimated_delivery_date": "null_estimated_delivery",
+}
+
+
+def order_profile(t: Tables, keep: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
+    """1.1 to 1.4 by report name from one scan of the orders.  ``keep`` writes
+    a DataFrame (the counts of all order ids, customers and statuses) and
+    returns it read back."""
+    ts = F.col("order_purchase_timestamp")
+    measures = {"earliest_order": F.min(ts), "latest_order": F.max(ts), "total_orders": F.count(F.lit(1))}
+    measures |= {out: F.sum(F.when(F.col(c).isNull(), 1).otherwise(0)) for c, out in ORDER_NULLS.items()}
+    counts, seen = profile(t["orders"], ["order_id", "customer_id", "order_status"], measures)
+    counts = keep(counts)
+    types = {f.name: f.dataType.simpleString() for f in t["orders"].agg(*[c.alias(n) for n, c in measures.items()]).schema.fields}
+    values = observed(seen) or {"total_orders": 0}
+    measured = counts.sparkSession.createDataFrame([tuple(values.get(n) for n in measures)], ", ".join(f"{n} {types[n]}" for n in measures))
+    of = lambda column: counts.where(F.col("column") == column)
+    customers = of("customer_id").agg(F.count("customer_id").alias("unique_customers"))
+    return {
+        "order_coverage": measured.select("earliest_order", "latest_order", "total_orders", customers.scalar().alias("unique_customers")),
+        "status_distribution": share_of_total(of("order_status").select("order_status", F.col("n").alias("order_count")), "order_count", "pct_of_total").orderBy(
+            F.col("order_count").desc(), "order_status"
+        ),
+        "order_null_counts": measured.select(*ORDER_NULLS.values()),
+        "duplicate_orders": of("order_id").where("n > 1").select("order_id", F.col("n").alias("dup_count")),
+    }
+
+
 def duplicate_primary_keys(t: Tables, table: str) -> DataFrame:
     """Key values of ``table`` that break its declared primary key."""
     return duplicate_keys(t[table], list(PRIMARY_KEYS[table]))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercata.functions.arith import round_ratio, unscaled
-from mercata.functions.dates import month_start
+from mercata.functions.dates import month_start, within_months
 from mercata.plans.entities import Tables, delivered_orders, order_revenue
 from mercata.plans.rules import DEFAULT_REVENUE_RANGE
 
@@ -21,11 +21,13 @@ def monthly_revenue(
     ``[start, end)``.
 
     The range is a half-open filter on the raw timestamp, so it reaches the
-    Parquet scan.  Items are summed per order before the join; ``orders``
+    Parquet scan; of tables stored by month (``write_dated_tables``) only the
+    range's months are read, items included.  Items are summed per order before the join; ``orders``
     counts those order rows (unique per order id).  ``month_over_month`` adds
     the previous month's revenue and the change in percent (a LAG over the
     aggregated months)."""
     ts = F.col("order_purchase_timestamp")
+    t = {**t, **{name: within_months(t[name], start, end) for name in ("orders", "order_items") if name in t}}
     orders = delivered_orders(t, "order_id", "order_purchase_timestamp").filter(
         (ts >= F.lit(start).cast("timestamp_ntz")) & (ts < F.lit(end).cast("timestamp_ntz"))
     )

@@ -1,6 +1,7 @@
 """Sources and sinks: typed CSV ingest, Parquet tables, report export and the
 mapping of the driver's TPC-H-style test tables onto the marketplace schema."""
 
+from mercata.sources.dated import by_month, write_dated_tables
 from mercata.sources.files import (
     conform,
     load_catalog_tables,
@@ -16,6 +17,7 @@ from mercata.sources.testdata import marketplace_from_testdata
 from mercata.sources.versions import current, manifests, read_version, superseded, write_version
 
 __all__ = [
+    "by_month",
     "conform",
     "current",
     "load_catalog_tables",
@@ -28,6 +30,7 @@ __all__ = [
     "register_views",
     "superseded",
     "write_bucketed_tables",
+    "write_dated_tables",
     "write_report",
     "write_tables",
     "write_version",

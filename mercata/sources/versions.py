@@ -21,7 +21,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -55,10 +55,12 @@ def current(spark: SparkSession, directory: str) -> Entries:
     return versions[max(versions)] if versions else {}
 
 
-def write_version(tables: Mapping[str, DataFrame], directory: str, fmt: str = "parquet", **options: str) -> str:
+def write_version(
+    tables: Mapping[str, DataFrame], directory: str, fmt: str = "parquet", partition_by: Mapping[str, Sequence[str]] | None = None, **options: str
+) -> str:
     """Writes the tables as a new version and switches to it; tables of the
-    version before that are not among them stay as they are.  Returns the
-    version."""
+    version before that are not among them stay as they are.  ``partition_by``:
+    columns that make folders of their own, by table.  Returns the version."""
     if MANIFESTS in tables:
         raise ValueError(f"no table can be named {MANIFESTS}")
     version = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
@@ -67,7 +69,7 @@ def write_version(tables: Mapping[str, DataFrame], directory: str, fmt: str = "p
     spark = next(iter(tables.values())).sparkSession
     written = {}
     for name, df in tables.items():
-        df.write.options(**options).format(fmt).save(_place(directory, name, version))
+        df.write.options(**options).format(fmt).partitionBy(*(partition_by or {}).get(name, ())).save(_place(directory, name, version))
         written[name] = {"folder": f"{name}/{version}", "format": fmt}
     entry = json.dumps({"version": version, "tables": {**current(spark, directory), **written}})
     spark.range(1).select(F.lit(entry).alias("value")).coalesce(1).write.text(_place(directory, MANIFESTS, version))

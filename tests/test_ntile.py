@@ -64,6 +64,8 @@ def test_empty_input(spark):
     got = global_ntile(df, 5, [asc("k")], "b", materialise="none")
     assert got.count() == 0
     assert "b" in got.columns
+    for none in (df, spark.range(5).select(F.col("id").alias("k")).where("k > 9")):
+        assert global_ntile(none, 5, [asc("k")], "b").collect() == []
 
 
 def test_nulls_and_awkward_literals(spark):
