@@ -20,8 +20,10 @@ linked if their sets' Jaccard similarity is at least ``percent`` per cent.
 
 A posting list may hold a third of all classes, so lists are not expanded
 into pairs.  First every member is paired with the list's smallest member
-(linear); confirmed links are merged into components.  Of lists
-that still hold several components, the members are compared by prefix
+(linear); confirmed links are merged into components.  Then, round by round, a
+list that still holds several components pairs its members with a member of
+its first and one of its last component (linear too), until a round adds no
+link.  Of lists that still hold several components, the members are compared by prefix
 merging on their full sets, and only pairs of different components that pass
 its bound are looked at: all of them, and exactly.  A pair within one
 component would not change the result.
@@ -157,12 +159,27 @@ def star_links(postings: DataFrame, classes: DataFrame, sets: DataFrame, percent
     # Too few seen and too few left: skipped.  A count that saw only some of a
     # pair's shared postings may skip it wrongly; it comes again below.
     hopeful = counted.where(F.col("n") + F.col("rest") >= matches).select("a", "b")
+    return _confirmed(hopeful, classes, sets, percent, matches)
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
+    """Of pairs (a, b), those whose signatures agree and whose sets are linked."""
     sides = {s: classes.select(F.col("rep").alias(s), F.col("signature").alias(f"signature_{s}")) for s in "ab"}
     agree = F.size(F.array_intersect("signature_a", "signature_b"))
-    pairs = hopeful.join(sides["a"], "a").join(sides["b"], "b").where(agree >= matches).select("a", "b").distinct()
+    pairs = pairs.join(sides["a"], "a").join(sides["b"], "b").where(agree >= matches).select("a", "b").distinct()
     return _similar(_with_sets(pairs, sets), percent).distinct()
 
 
+def round_pairs(labelled: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each list's members with two of its members, one of its
+    first component and one of its last; pairs within a component are left out."""
+    end = F.struct("component", "rep", "n_shingles")
+    ends = labelled.groupBy("token").agg(F.min(end).alias("lo"), F.max(end).alias("hi")).where("lo.component < hi.component")
+    met = labelled.join(ends, "token").select("rep", "n_shingles", "component", F.explode(F.array("lo", "hi")).alias("end")).where("component <> end.component")
+    close = 100 * F.least("n_shingles", "end.n_shingles") >= percent * F.greatest("n_shingles", "end.n_shingles")
+    return met.where(close).select(F.least("rep", "end.rep").alias("a"), F.greatest("rep", "end.rep").alias("b")).distinct()
+
+
 def open_links(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All links between members of lists that hold several components, and
     of different components: prefix merging on the full sets.
@@ -238,7 +255,18 @@ def near_links(docs: DataFrame, members: DataFrame, width: int, percent: int, co
     keys = classes.select(F.col("rep").alias("doc_id"), "set_key")
     sets = cut(full_sets(texts, width).join(keys, ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"]))
     label = components(star_links(postings, classes, sets, percent, matches))
-    labelled = cut(postings.join(label, F.col("rep") == F.col("vertex"), "left").select("token", "rep", F.coalesce("component", "rep").alias("component")))
+    tried = None
+    while True:
+        labelled = cut(
+            postings.join(label, F.col("rep") == F.col("vertex"), "left").select("token", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
+        )
+        pairs = round_pairs(labelled, percent)
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))  # a refuted pair does not come again
+        found = cut(_confirmed(pairs, classes, sets, percent, matches))
+        if found.isEmpty():
+            break
+        tried = cut(pairs if tried is None else tried.unionByName(pairs))
+        label = components(label.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(found))
     more = cut(open_links(labelled, sets, percent))
     # The components found first stand for their links.
     return classes, label.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(more)

@@ -2,6 +2,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
 from mercata.llm.components import components
 from mercata.llm.near_dedup import near_dedup
 
@@ -81,6 +83,39 @@ def test_large_group_of_near_copies(make_docs, edits):
     assert run(make_docs([rows[i] for i in order])) == brute(rows)
 
 
+def test_a_group_in_several_components_is_merged_in_linear_rounds(make_docs, monkeypatch):
+    """The smallest member of a large group is linked with few of them: rounds
+    with other members merge the rest before any list is joined with itself."""
+    from mercata.llm import near_dedup as module
+
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = list(enumerate(variants(rng, base, 5, 6) + variants(rng, base, 2, 500)))
+    seen = {"pairs": 0, "rounds": 0}
+    join, pairs = module.open_links, module.round_pairs
+
+    def most_components(labelled):
+        return labelled.groupBy("token").agg(F.count_distinct("component").alias("k")).agg(F.max("k")).first()[0]
+
+    def last(labelled, sets, percent):
+        seen["left"] = most_components(labelled)
+        return join(labelled, sets, percent)
+
+    def one_round(labelled, percent):
+        out = pairs(labelled, percent)
+        seen["rounds"] += 1
+        seen.setdefault("first", most_components(labelled))
+        seen["pairs"] += out.count()
+        seen["postings"] = labelled.count()
+        return out
+
+    monkeypatch.setattr(module, "open_links", last)
+    monkeypatch.setattr(module, "round_pairs", one_round)
+    assert run(make_docs(rows)) == brute(rows)
+    assert seen["rounds"] > 1 and seen["pairs"] <= 2 * seen["rounds"] * seen["postings"]
+    assert seen["left"] <= 7 < seen["first"]  # the group is one component, beside a few texts that are linked with none of it
+
+
 def test_short_texts_at_the_threshold(make_docs):
     rows = [(1, "a b c d e f g h"), (2, "a b c d e f g"), (3, "a b c d e f"), (4, "x a b c d e f g"), (5, "p q"), (6, "P  Q"), (7, "p q r")]
     assert run(make_docs(rows)) == brute(rows)
