@@ -170,14 +170,18 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     return _similar(_with_sets(pairs, sets), percent).distinct()
 
 
-def round_pairs(labelled: DataFrame, percent: int) -> DataFrame:
+def round_pairs(labelled: DataFrame, percent: int, matches: int) -> DataFrame:
     """Pairs (a, b) of each list's members with two of its members, one of its
-    first component and one of its last; pairs within a component are left out."""
-    end = F.struct("component", "rep", "n_shingles")
+    first component and one of its last; pairs within a component, and pairs
+    that met in too few lists, are left out."""
+    end = F.struct("component", "rep", "n_shingles", "rest")
     ends = labelled.groupBy("token").agg(F.min(end).alias("lo"), F.max(end).alias("hi")).where("lo.component < hi.component")
-    met = labelled.join(ends, "token").select("rep", "n_shingles", "component", F.explode(F.array("lo", "hi")).alias("end")).where("component <> end.component")
+    met = labelled.join(ends, "token").select("rep", "n_shingles", "component", "rest", F.explode(F.array("lo", "hi")).alias("end")).where("component <> end.component")
     close = 100 * F.least("n_shingles", "end.n_shingles") >= percent * F.greatest("n_shingles", "end.n_shingles")
-    return met.where(close).select(F.least("rep", "end.rep").alias("a"), F.greatest("rep", "end.rep").alias("b")).distinct()
+    counted = met.where(close).groupBy(F.least("rep", "end.rep").alias("a"), F.greatest("rep", "end.rep").alias("b")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.least("rest", "end.rest")).alias("rest")
+    )
+    return counted.where(F.col("n") + F.col("rest") >= matches).select("a", "b")
 
 
 def open_links(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -258,9 +262,9 @@ def near_links(docs: DataFrame, members: DataFrame, width: int, percent: int, co
     tried = None
     while True:
         labelled = cut(
-            postings.join(label, F.col("rep") == F.col("vertex"), "left").select("token", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
+            postings.join(label, F.col("rep") == F.col("vertex"), "left").select("token", "rep", "n_shingles", "rest", F.coalesce("component", "rep").alias("component"))
         )
-        pairs = round_pairs(labelled, percent)
+        pairs = round_pairs(labelled, percent, matches)
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))  # a refuted pair does not come again
         found = cut(_confirmed(pairs, classes, sets, percent, matches))
         if found.isEmpty():

@@ -101,8 +101,8 @@ def test_a_group_in_several_components_is_merged_in_linear_rounds(make_docs, mon
         seen["left"] = most_components(labelled)
         return join(labelled, sets, percent)
 
-    def one_round(labelled, percent):
-        out = pairs(labelled, percent)
+    def one_round(labelled, percent, matches):
+        out = pairs(labelled, percent, matches)
         seen["rounds"] += 1
         seen.setdefault("first", most_components(labelled))
         seen["pairs"] += out.count()
