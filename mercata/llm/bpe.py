@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -230,7 +231,7 @@ class TextEncoder:
         import regex
 
         if "encoder" not in state:
-            state.update(encoder=PrefixEncoder(vocabulary), memo=PieceMemo(), hasher=SpanHasher())
+            state.update(encoder=PrefixEncoder(vocabulary), memo=PieceMemo(), hasher=SpanHasher(key=secrets.randbits(64)))
         self.encoder, self.memo, self.hasher = state["encoder"], state["memo"], state["hasher"]
         self.added = vocabulary["added"]
         # An added token that is the start of another loses against it: longest first.

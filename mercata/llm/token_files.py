@@ -27,6 +27,7 @@ empty table gives no documents.  Other columns are ignored.
 
 from __future__ import annotations
 
+import secrets
 import uuid
 import zlib
 
@@ -174,12 +175,11 @@ class WordEncoder:
             tokenizer.no_truncation()
             tokenizer.no_padding()
             added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-            state.update(tokenizer=tokenizer, added=regex.compile("|".join(map(regex.escape, added)) or r"(?!)"), pieces={}, memo=PieceMemo())
-        self.tokenizer, self.added, self.pieces, self.memo = (state[k] for k in ("tokenizer", "added", "pieces", "memo"))
+            state.update(tokenizer=tokenizer, added=regex.compile("|".join(map(regex.escape, added)) or r"(?!)"), pieces={}, memo=PieceMemo(), hasher=SpanHasher(key=secrets.randbits(64)))
+        self.tokenizer, self.added, self.pieces, self.memo, self.hasher = (state[k] for k in ("tokenizer", "added", "pieces", "memo", "hasher"))
         self.cuts = regex.compile(self.CUTS)
         self.foreign = regex.compile("[^\\x00-ɏ]|Σ")
         self.nfc = unicodedata.is_normalized
-        self.hasher = SpanHasher()
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         """Many short texts at once, as pre-split words of one input."""

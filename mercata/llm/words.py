@@ -7,6 +7,7 @@ stays bounded by the part size or by the longest single text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,30 +41,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class SpanHasher:
-    """64-bit hashes of many byte spans from one cumulative sum."""
+    """64-bit hashes of many byte spans.
 
-    BASE = 0x2545F4914F6CDD1D | 3
+    Spans of at most ``LONG`` bytes: their 8-byte blocks go one after another
+    through a bijection that is not linear, which starts from the length, so
+    sums of bytes that cancel make no collision.  Longer spans take BLAKE2b.
+    ``key`` starts every hash differently; memos take a random one of their
+    process, so that nobody can prepare texts whose words collide in them.
+    """
 
-    def __init__(self, lower: bool = False):
-        codes = np.arange(256)
+    LONG = 64
+
+    def __init__(self, lower: bool = False, key: int = 0):
+        self.table = np.arange(256, dtype=np.uint8)
         if lower:
-            codes[65:91] += 32
-        self.table = mixed(codes.astype(_U) * _U(0xD6E8FEB86659FD93) + _U(77))
-        self.powers = self.inverses = np.ones(1, _U)
-
-    def _reach(self, n: int) -> None:
-        if len(self.powers) < n:
-            size = max(n, PART_BYTES + 1)
-            for name, base in (("powers", self.BASE), ("inverses", pow(self.BASE, -1, 1 << 64))):
-                factors = np.full(size, base, _U)
-                factors[0] = 1
-                setattr(self, name, np.cumprod(factors))
+            self.table[65:91] += 32
+        self.lower, self.key = lower, key.to_bytes(8, "little")
+        self.start = mixed(np.array([key], _U))[0]
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._reach(len(data) + 1)
-        sums = np.zeros(len(data) + 1, _U)
-        np.cumsum(self.table[data] * self.powers[: len(data)], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * self.inverses[starts])
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = self.table[data] if self.lower else data
+        blocks = np.ndarray(len(data) + 1, "<u8", buffer=padded, strides=(1,))  # the 8 bytes from every place on
+        lengths = ends - starts
+        out = mixed(lengths.astype(_U) ^ self.start)
+        live = np.flatnonzero((lengths > 0) & (lengths <= self.LONG))
+        done = 0
+        while len(live):
+            left = lengths[live] - done
+            keep = _U(64) - _U(8) * np.minimum(left, 8).astype(_U)  # bits beyond the span
+            out[live] = mixed(out[live] ^ mixed(blocks[starts[live] + done] << keep))
+            live, done = live[left > 8], done + 8
+        for i in np.flatnonzero(lengths > self.LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : ends[i]], digest_size=8, key=self.key).digest(), "little")
+        return out
 
 
 _SPACE = np.zeros(256, bool)
