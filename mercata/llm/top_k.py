@@ -18,8 +18,9 @@ best distance of each of its queries; in the second it goes to all groups
 whose page bounds can still beat that.  In a group, pages are taken best
 first by the lower bound |d(q, centre) - 0| - radius; before d(q, centre) is
 worked out, the stored parent distance bounds it, and before a vector is
-compared, its stored distance from the centre does.  Distances that decide
-anything are exact integers: bounds in floating point have a margin.
+compared, its stored distance from the centre does.  Scores are exact integers:
+float64 products where no sum can reach 2^53, else 64-bit integer products;
+bounds in floating point have a margin.
 
 Every vector is indexed and the result is exact.  The parameters bound only
 sizes.  At most ``routers`` rows are broadcast.
@@ -28,7 +29,8 @@ Edge cases: vectors that are NULL, or hold a NULL or non-finite component,
 and rows with NULL vec_id take no part.  Of rows that repeat a vec_id, the
 smallest vector counts, once.  Vectors of unequal length are compared as if
 filled up with zeros; an empty vector is a zero vector.  Fewer candidates
-than k: all of them.  An empty table gives an empty result; other columns are
+than k: all of them.  A component or a score that does not fit a 64-bit integer
+ends the job with an error that says so.  An empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -45,10 +47,12 @@ from .common import cut
 K = 5
 ROUTERS, SAMPLE_ROWS = 64, 2048
 GROUP_ROWS, PAGE_ROWS, BLOCK_ROWS = 8192, 256, 512
-#: Relative and absolute margin on floating-point distances used as bounds.
+#: Margin on floating-point distances used as bounds, relative to them and to the longest vector.
 MARGIN = 1e-6
 #: Stands for no score; far below any, and its negative is a number too.
-NONE = -(1 << 62)
+NONE = 1 - (1 << 63)
+#: Longest squared length at which float64 inner products are exact.
+EXACT = 2.0**52
 
 
 def quantised(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -60,11 +64,24 @@ def quantised(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
         F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * 256).cast("long")).alias("v")
     )
     once = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    return once.withColumn("norm", F.aggregate("v", F.lit(0).cast("long"), lambda s, c: s + c * c))
+    return once.withColumn("norm", F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))
+
+
+def inner(q: np.ndarray, x: np.ndarray, top: float, counts: np.ndarray) -> np.ndarray:
+    """Exact integer inner products, where ``counts``, of rows of integers in
+    float64 whose squared lengths are at most about ``top``."""
+    score = q @ x.T
+    if top < EXACT:
+        return np.rint(score).astype(np.int64)
+    # 64-bit sums wrap, so they are right whenever the true value fits a long.
+    error = 1e-12 * np.outer(np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1)))
+    if (counts & (np.abs(score) + error >= 2.0**63)).any():
+        raise ValueError("an inner product does not fit a 64-bit integer")
+    return q.astype(np.int64) @ x.T.astype(np.int64)
 
 
 def matrix(vectors: pd.Series, width: int) -> np.ndarray:
-    """Rows of float64; integers below 2**53 and their products are exact."""
+    """Rows of float64, which holds floors of doubles without loss."""
     out = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
@@ -123,7 +140,7 @@ def search_group(group: dict, pages: list[dict], q: np.ndarray, q_id: np.ndarray
     best = Best(len(q), k)
     norms = (q * q).sum(1)
     lift = np.hstack([q, np.zeros((len(q), 1))])
-    reach = lambda need: np.sqrt(np.maximum(0.0, norms + top - 2.0 * need)) * (1 + MARGIN) + MARGIN  # noqa: E731  farthest distance of a useful vector
+    reach = lambda need: np.sqrt(np.maximum(0.0, norms + top - 2.0 * need)) * (1 + MARGIN) + MARGIN * (1 + 4 * np.sqrt(top))  # noqa: E731  farthest distance of a useful vector
     need = limit.astype(float)
     need[limit == NONE] = -np.inf
     # Parent distances bound d(q, centre) before it is worked out.
@@ -147,8 +164,9 @@ def search_group(group: dict, pages: list[dict], q: np.ndarray, q_id: np.ndarray
         can = np.abs(d[:, None] - page["away"][None, :]) <= useful[live, None]
         some = can.any(axis=0)
         rows = page["rows"][some]
-        score = np.rint(q[live] @ x[rows].T).astype(np.int64)
-        score[~can[:, some] | (q_id[live][:, None] == ids[rows][None, :])] = NONE
+        counts = can[:, some] & (q_id[live][:, None] != ids[rows][None, :])
+        score = inner(q[live], x[rows], top, counts)
+        score[~counts] = NONE
         best.add(live, score, ids[rows])
         need[live] = np.maximum(need[live], np.where(best.score[live, -1] == NONE, -np.inf, best.score[live, -1].astype(float)))
     return best
@@ -168,10 +186,12 @@ def top_k(
     ``is_query`` (over vec_id) holds, against all other rows."""
     spark = table.sparkSession
     vectors = cut(quantised(table))
-    facts = vectors.agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top"), F.max(F.size("v")).alias("width")).first()
+    facts = vectors.agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top"), F.max(F.size("v")).alias("width"), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: F.greatest(s, F.abs(c.cast("double"))))).alias("largest")).first()
     schema = "query_id long, rank int, vec_id long, score long"
     if not facts.n:
         return spark.createDataFrame([], schema)
+    if facts.largest >= 2.0**63:
+        raise ValueError("a component times 256 does not fit a 64-bit integer")
     top, width = float(facts.top), max(1, facts.width)
 
     # Root: routing vectors from a bounded sample.
@@ -199,7 +219,7 @@ def top_k(
 
         return run
 
-    with_router = "vec_id long, v array<long>, norm long, router int, away double"
+    with_router = "vec_id long, v array<long>, norm double, router int, away double"
     placed = cut(vectors.mapInPandas(assign(True), with_router))
     entries = cut(placed.groupBy("router").agg(F.ceil(F.count(F.lit(1)) / group_rows).alias("groups"), F.max("away").alias("radius")))
     placed = placed.join(F.broadcast(entries), "router").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("groups")).cast("int"))
@@ -263,7 +283,7 @@ def top_k(
         for part in batches:
             q, limit = matrix(part["v"], width), part["limit"].to_numpy(float)
             limit[part["limit"].to_numpy() == NONE] = -np.inf
-            reach = np.sqrt(np.maximum(0.0, part["norm"].to_numpy(float) + top - 2.0 * limit)) * (1 + MARGIN) + MARGIN
+            reach = np.sqrt(np.maximum(0.0, part["norm"].to_numpy(float) + top - 2.0 * limit)) * (1 + MARGIN) + MARGIN * (1 + 4 * np.sqrt(top))
             away = distances(np.hstack([q, np.zeros((len(q), 1))]), roots.value)
             for router, radius in covered.items():
                 live = (away[:, router] - radius * (1 + MARGIN) <= reach) & (part["router"].to_numpy() != router)

@@ -55,3 +55,26 @@ def test_few_and_none(spark):
     assert run(frame(spark, [(0, [1.0]), (1, [-0.5])])) == [(0, 1, 1, -128 * 256)]
     assert run(frame(spark, [(0, [0.0]), (1, [0.0]), (2, [0.0])])) == [(0, 1, 1, 0), (0, 2, 2, 0)]
     assert top_k(frame(spark, [(0, [1.0])]).limit(0), F.col("vec_id") % 50 == 0).collect() == []
+
+
+@pytest.mark.parametrize("scale", [1e5, 1e6, 3e6])
+def test_large_components_are_exact(spark, scale):
+    rng = np.random.default_rng(int(scale))
+    rows = [(i, [float(np.float32(c)) for c in rng.normal(size=8) * scale]) for i in range(200)]
+    rows += [(300 + i, [float(np.float32(c)) for c in np.array(rows[i][1]) * (1 + 1e-7 * (i % 3))]) for i in range(60)]  # nearly equal scores
+    df = frame(spark, rows).repartition(3)
+    assert run(df) == brute(rows)
+    assert run(df, routers=4, page_rows=8, group_rows=32, block_rows=2, sample_rows=40) == brute(rows)
+
+
+def test_one_huge_vector_among_small_ones(spark):
+    rows = [(i, [float(i % 7), 1.0, -2.0, 0.5]) for i in range(120)] + [(200, [float(2**44), 0.0, 0.0, 0.0])]
+    assert run(frame(spark, rows)) == brute(rows)
+
+
+def test_what_does_not_fit_says_so(spark):
+    rows = [(i, [1e12, float(i)]) for i in range(60)]
+    with pytest.raises(Exception, match="does not fit a 64-bit integer"):
+        run(frame(spark, rows))
+    with pytest.raises(ValueError, match="component"):
+        run(frame(spark, [(0, [1e30]), (1, [1.0])]))
