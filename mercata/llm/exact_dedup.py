@@ -85,7 +85,7 @@ def misra_gries(hashed: DataFrame, counters: int = COUNTERS) -> DataFrame:
                     summary[key] = 1
                 else:  # every entry pays one; the ones used up go
                     summary = {k: n - 1 for k, n in summary.items() if n > 1}
-        items = [(k, n) for k, n in summary.items() if n > 1]
+        items = list(summary.items())
         yield pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in items], pa.binary()), pa.array([n for _, n in items], pa.int64())], ["digest", "least"]
         )
