@@ -14,15 +14,18 @@ File format::
 ``bits`` is the least number that holds the vocabulary.  A block unpacks with
 a few numpy operations, and ids [a, b) need only the blocks they touch.
 
-Writing: documents are range-partitioned by doc_id, so file k holds smaller
-doc_ids than file k + 1; every task writes its file under a name of its own
-attempt and renames it, so a retried or speculative task is harmless.  Files
-go through ``pyarrow.fs`` to any store it reaches; the index of the dataset is
-a small Parquet table written by Spark with the running start of each file.
+Writing: texts are encoded in scan order, and only doc_id, a digest of the text
+and the compressed ids go on, as a table in the shared folder.  That table is
+range-partitioned by (doc_id, digest, row), so file k comes before file k + 1
+and rows of one doc_id, or without one, are spread over files like all others.
+Every attempt of a task writes a file of its own name, and only files that the
+index names count, so a retried or speculative task is harmless.  Files go
+through ``pyarrow.fs`` to any store it reaches; the index of the dataset is a
+small Parquet table written by Spark with the running start of each file.
 
 Edge cases: NULL and empty texts give only the end id.  NULL doc_id sorts
-first.  Rows that repeat doc_id are separate documents, in text order.  An
-empty table gives no documents.  Other columns are ignored.
+first.  Rows that repeat doc_id are separate documents, in the order of a digest
+of their texts.  An empty table gives no documents.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +44,7 @@ from pyspark.sql import functions as F
 
 from mercata.session import checkpoint_dir
 
+from .common import cut
 from .words import PieceMemo, SpanHasher, text_parts, word_spans
 
 MAGIC = b"MTOK0001"
@@ -241,30 +245,46 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int
     bits = max(1, int(top).bit_length())
     shared = spark.sparkContext.broadcast({"spec": spec, "state": {}})  # of bounded size; state: what a worker keeps between its tasks
 
-    def run(batches):
+    kind = pa.uint16() if bits <= 16 else pa.uint32()
+    width = kind.bit_width // 8
+
+    def codec() -> pa.Codec:  # what moves is about two thirds of the ids' size
+        return pa.Codec("zstd", compression_level=1)
+
+    def encode(batches):
         encoder = WordEncoder(shared.value["spec"], shared.value["state"])
+        for batch in batches:
+            for row, end, ids, counts in encoder.texts(batch.column(2)):
+                ids = np.insert(ids.astype(kind.to_pandas_dtype()), np.cumsum(counts), kind.to_pandas_dtype()(end_id))
+                edges = np.concatenate([[0], np.cumsum(counts + 1)]) * width
+                data, edges = ids.tobytes(), edges.tolist()
+                packed = pa.array([codec().compress(data[a:b], asbytes=True) for a, b in zip(edges, edges[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[row:end], batch.column(1)[row:end], pa.array(counts + 1), packed], ["doc_id", "tie", "n", "ids"])
+
+    def write(batches):
         part = TaskContext.get().partitionId()
         fs, folder = filesystem(out_dir)
-        name = f"{folder}/part-{part:06d}.tok"
-        attempt = f"{folder}/.attempt-{uuid.uuid4().hex}"
-        with fs.open_output_stream(attempt) as stream:
+        name = f"part-{part:06d}-{uuid.uuid4().hex}.tok"
+        with fs.open_output_stream(f"{folder}/{name}") as stream:
             writer = TokenFileWriter(stream, bits, block_ids)
             for batch in batches:
-                ids_column = batch.column(0).to_pylist()
-                for row, end, ids, counts in encoder.texts(batch.column(1)):
-                    ends = np.cumsum(counts)
-                    writer.add(ids_column[row:end], counts + 1, np.insert(ids.astype(np.uint32), ends, np.uint32(end_id)))
+                counts = batch.column(1).to_numpy()
+                data = [codec().decompress(x, n * width, asbytes=True) for x, n in zip(batch.column(2).to_pylist(), counts.tolist())]
+                writer.add(batch.column(0).to_pylist(), counts, np.frombuffer(b"".join(data), kind.to_pandas_dtype()))
             writer.close()
-        fs.move(attempt, name)
         yield pa.RecordBatch.from_pylist(
-            [{"part": part, "path": f"{out_dir}/part-{part:06d}.tok", "documents": len(writer.doc_ids), "n_ids": writer.total}],
+            [{"part": part, "path": f"{out_dir}/{name}", "documents": len(writer.doc_ids), "n_ids": writer.total}],
             pa.schema([("part", pa.int64()), ("path", pa.string()), ("documents", pa.int64()), ("n_ids", pa.int64())]),
         )
 
     fs, folder = filesystem(out_dir)
     fs.create_dir(folder, recursive=True)
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    written = ordered.mapInArrow(run, "part long, path string, documents long, n_ids long")
+    text = F.col("text").cast("string")
+    encoded = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(encode, "doc_id long, tie long, n long, ids binary")
+    encoded = cut(encoded.withColumn("row", F.monotonically_increasing_id()), "none")
+    order = ["doc_id", "tie", "row"]  # rows alike in all but the last have the same ids
+    written = encoded.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
+    written = written.mapInArrow(write, "part long, path string, documents long, n_ids long")
     written.write.mode("overwrite").parquet(f"{out_dir}/files")
     files = spark.read.parquet(f"{out_dir}/files")
     index = files.withColumn("start", F.sum("n_ids").over(W.orderBy("part")) - F.col("n_ids"))  # one row per file

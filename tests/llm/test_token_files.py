@@ -64,3 +64,32 @@ def test_random_access(spark, library):
             for _ in range(20):
                 a, b = sorted(rng.integers(0, file.ids + 1, 2).tolist())
                 assert file.read(a, b).tolist() == whole[a:b].tolist()
+
+
+def test_rows_without_doc_id_are_spread(spark, library):
+    rows = [(None if i % 3 == 0 else i, f"row {i} of many") for i in range(6000)]
+    rows += [(None, "the same row")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = check(spark, df, rows, library)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    documents = [r.documents for r in index.collect()]
+    assert sum(documents) == len(rows) and max(documents) < 2 * len(rows) / len(documents)
+
+
+def test_files_of_lost_attempts_do_not_count(spark, library):
+    from mercata.llm.token_files import filesystem
+
+    rows = [(i, f"text {i}") for i in range(50)]
+    df, out = spark.createDataFrame(rows, "doc_id long, text string"), scratch_dir(spark)
+    fs, folder = filesystem(out)
+    fs.create_dir(folder, recursive=True)
+    for name in ("part-000000.tok", "part-000000-0.tok"):
+        with fs.open_output_stream(f"{folder}/{name}") as f:
+            f.write(b"half a file")
+    assert sorted(r.doc_id for r in read_token_files(write_token_files(df, PATH, out)).collect()) == list(range(50))
+    # The same folder again: a new index over new files.
+    assert sorted(r.doc_id for r in read_token_files(write_token_files(df.limit(7), PATH, out)).collect()) == sorted(r.doc_id for r in df.limit(7).collect())
