@@ -8,11 +8,15 @@ element tree.  Every block is a node of a graph:
   linked text, punctuation, capitals, digits, end sign, heading), and a prior from the
   nearest element that says what it is (article, main; nav, footer, aside,
   form, or a class or id such as ad, sidebar, comments, cookie).  No one cost
-  decides alone: text and edges together outweigh a prior.  A main anywhere,
-  and an article in a boilerplate wrapper (a form, or a class or id), is
-  content again; an element with a content word there is left to its text.  A
-  boilerplate word outweighs a content word.  What has the attribute hidden or
-  the style display:none is never content.
+  decides alone: text and edges together outweigh a prior.  A name that
+  consists of such words and of words about layout (cookie-notice, ad-box)
+  counts in full; one with a word about something else (legal-analysis,
+  share-price) counts half, and within content only halves the prior there, so
+  that the text decides.  A main anywhere, and an article in a boilerplate
+  wrapper (a form, or a class or id), is content again; an element with a
+  content word there is left to its text.  A boilerplate word outweighs a
+  content word.  What has the attribute hidden or the style display:none is
+  never content.
 * **Smoothness edges** join neighbours in page order and neighbours under one
   parent, the stronger the more of their paths they share.
 
@@ -21,13 +25,15 @@ content from boilerplate.  Nodes whose terminal outweighs all their edges are
 settled first, which does not change the cut's value.
 
 The classifier is trained on blocks that the tree labels clearly, in a sample
-of about ``train_pages`` pages (chosen by a hash of page_id); it sees only
-text features, so it carries over to pages without telling elements.
-
-Never text: comments, head, title, script, style, template, xmp; the form
-controls select, datalist, button and textarea; and what browsers that show
-the page do not show as its text: noscript, noembed, noframes, iframe, object,
-canvas, audio, video and svg.  Formulas (math) are text within their block.
+of about ``train_pages`` pages (chosen by a hash of page_id and html); it sees
+only a block's text and its container's share of text, so it carries over to
+pages without telling elements.
+
+Never text: comments, head, title, script, style, template, xmp, noembed,
+noframes and iframe, and the form controls select, datalist, button and
+textarea.  Formulas (math), labels in drawings (svg), and what noscript,
+object, canvas, audio and video hold for readers without them are text like
+any other.  Elements that may stand in a line do not end its block.
 Character references are decoded, white space within a block becomes
 one space, and blocks are joined by a newline; nothing else is dropped.
 
@@ -48,7 +54,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_PAGES = 1500
+#: Labelled sample: pages (equal ones count together), and blocks of one page.
+TRAIN_PAGES, PAGE_BLOCKS = 1500, 200
 #: Prior of a telling element, and the strongest smoothness edge, in 1/100 nat.
 PRIOR, SMOOTH = 600, 120
 #: A text score counts at most this much: with the edges it can override a telling element.
@@ -58,18 +65,20 @@ HIDDEN = 4000
 
 # Element names by role.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-SKIPPED = {"head", "script", "style", "template", "noscript", "svg", "object", "canvas", "audio", "video", "select", "button", "textarea", "datalist", "iframe", "title", "xmp", "noembed", "noframes"}
+SKIPPED = {"head", "script", "style", "template", "select", "button", "textarea", "datalist", "iframe", "title", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark",
     "q", "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
     "math", "mrow", "mi", "mo", "mn", "ms", "mtext", "mspace", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "munderover", "mmultiscripts",
     "mprescripts", "none", "mstyle", "mtable", "mtr", "mtd", "mpadded", "mphantom", "menclose", "merror", "semantics", "annotation", "annotation-xml",
+    "script", "style", "template", "noscript", "svg", "object", "canvas", "audio", "video", "select", "button", "textarea", "datalist", "iframe",
 }
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+ENDS_DRAWING = HEADINGS | {"article", "aside", "blockquote", "body", "div", "dl", "footer", "form", "header", "li", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 WRAPPERS = {"form", "fieldset"}  # boilerplate that may lie around a whole page
 BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 CONTENT = {"article", "main"}
-HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # Words of a class or id that tell boilerplate, or content.
 BOILERPLATE_WORDS = set(
     "ad ads advert advertisement advertising adsbygoogle banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
@@ -78,6 +87,14 @@ BOILERPLATE_WORDS = set(
     "skip disclaimer form".split()
 )
 CONTENT_WORDS = set("article content main post entry story body text".split())
+# Words that tell an element's place or form, not what it is about.
+LAYOUT_WORDS = set(
+    "area articles aria bar block blocks body bottom box btn button buttons card cards cell col cols column columns container content contents count counts "
+    "description desktop div el element entries extra field fixed float footer grid group head heading holder icon icons image img in inline inner input is item "
+    "items js label large layout left lg line link links list lists main md media meta mini mobile module new news old open outer page pane panel part posts "
+    "primary row rows secondary section sections sm slot small space spot sticky stories strip tab tabs teaser teasers text the title titles toggle top unit "
+    "upper view wide widgets wp wrap wrapper xl zone".split()
+)
 BESIDE = {"has", "with", "without", "no"}  # the next word tells what is beside the element, not what it is
 #: A start tag (key) ends an open element of these names, up to the given borders.
 CLOSES = {
@@ -93,15 +110,16 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("name", "parent", "depth", "role", "fixed", "hidden", "linked", "skipped")
+    __slots__ = ("name", "parent", "depth", "prior", "fixed", "hidden", "linked", "skipped", "drawn")
 
     def __init__(self, name: str, parent: Element | None, attributes: str):
         self.name, self.parent = name, parent
         self.depth = parent.depth + 1 if parent else 0
         self.linked = name == "a" or bool(parent and parent.linked)
         self.skipped = name in SKIPPED or bool(parent and parent.skipped)
+        self.drawn = name == "svg" or bool(parent and parent.drawn)
         self.hidden = bool(parent and parent.hidden)
-        self.role = parent.role if parent else 0  # of the nearest telling element: 1 content, -1 boilerplate
+        self.prior = parent.prior if parent else 0  # of the nearest telling element: content above 0, boilerplate below
         self.fixed = bool(parent and parent.fixed)  # within boilerplate that is no wrapper
         said = {}
         if attributes:
@@ -109,37 +127,48 @@ class Element:
                 said.setdefault(key.lower(), value.strip("\"'"))
         if name not in ("html", "body"):
             self.hidden = self.hidden or "hidden" in said or bool(_NO_DISPLAY.search(said.get("style", "")))
-        role = _role(name, said, self.role, self.fixed)
-        if role is not None:
-            self.role = role
-            self.fixed = role < 0 and (self.fixed or name in BOILERPLATE - WRAPPERS)
+        prior = _prior(name, said, self.prior, self.fixed)
+        if prior is not None:
+            self.prior = prior
+            self.fixed = prior < 0 and (self.fixed or name in BOILERPLATE - WRAPPERS)
 
+    @property
+    def inline(self) -> bool:
+        return self.drawn or self.name in INLINE
 
-def _role(name: str, said: dict[str, str], around: int, fixed: bool) -> int | None:
+
+def _prior(name: str, said: dict[str, str], around: int, fixed: bool) -> int | None:
+    """Prior of an element within one of prior ``around``; None: the same."""
     words: set[str] = set()
+    clear: set[str] = set()  # of names that are about nothing else
     if name not in ("html", "body"):
         for key in ("class", "id", "role"):
-            if key in said:
-                found = _WORDS.findall(said[key].lower())
-                words.update(w for w, before in zip(found, ["", *found]) if before not in BESIDE)
+            for term in said.get(key, "").lower().split():
+                found = _WORDS.findall(term)
+                own = {w for w, before in zip(found, ["", *found]) if before not in BESIDE}
+                words |= own
+                if all(w in BOILERPLATE_WORDS or w in CONTENT_WORDS or w in LAYOUT_WORDS or len(w) < 2 for w in own):
+                    clear |= own
     if name in BOILERPLATE:
-        return -1
+        return -PRIOR
     if name == "main":
-        return 1
+        return PRIOR
     content = bool(words & CONTENT_WORDS)
     told = words & BOILERPLATE_WORDS
     if around > 0 or content:
         told = told - {"header"}  # an article's own header may hold its title
     if told and not (name in CONTENT and content) and name not in INLINE - {"span", "a"}:
-        return -1
+        if told & clear:
+            return -PRIOR
+        return min(around, PRIOR // 2) if around > 0 else min(around, -PRIOR // 2)
     if said.get("aria-hidden", "").lower() == "true":
-        return -1
+        return -PRIOR
     if name == "header" and around <= 0:
-        return -1
+        return -PRIOR
     if name in CONTENT and not fixed:
-        return 1
+        return PRIOR
     if content and name in ("div", "section", "td") and not fixed:
-        return 1 if around >= 0 else 0  # in a boilerplate wrapper the text decides
+        return PRIOR if around >= 0 else 0  # in a boilerplate wrapper the text decides
     return None
 
 
@@ -166,7 +195,7 @@ def blocks(page: str) -> list[Block]:
             if text.isspace():
                 return
             holder = node
-            while holder.name in INLINE and holder.parent:
+            while holder.inline and holder.parent:
                 holder = holder.parent
             block = Block(holder)
             block.heading = holder.name in HEADINGS
@@ -197,21 +226,24 @@ def blocks(page: str) -> list[Block]:
         if name is None:
             continue
         name, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
-        if name not in INLINE:
+        if node.drawn and name in ENDS_DRAWING:
+            leave({"svg"}, {"foreignobject"})
+        inline = name in INLINE or node.drawn
+        if not inline:
             block = None
         if name == "br":
             say(" ")
         if closing:
             if name not in VOID:
-                leave({name}, {"table"} if name in INLINE or name == "p" else set())
+                leave({name}, {"table"} if inline or name == "p" else set())
             continue
         if name in VOID:
             continue
-        if name not in INLINE:  # a new block ends an open paragraph
+        if not inline:  # a new block ends an open paragraph
             leave({"p"}, {"table", "td", "th", "button", "article", "section", "div", "li", "blockquote", "main", "body", "nav", "aside", "footer", "header", "form"})
         if name in CLOSES:
             leave(*CLOSES[name])
-        if name not in RAW and attributes.endswith("/") and name not in INLINE and name in SKIPPED:
+        if attributes.endswith("/") and (name == "svg" or node.drawn):
             continue
         if name in RAW:
             close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -223,7 +255,7 @@ def blocks(page: str) -> list[Block]:
     return [b for b in out if b.text]
 
 
-FEATURES = 10
+FEATURES = 11
 
 
 def text_features(b: Block) -> list[float]:
@@ -239,6 +271,21 @@ def text_features(b: Block) -> list[float]:
     ]
 
 
+def page_features(found: list[Block]) -> np.ndarray:
+    """Features of a page's blocks: each block's own, and how much text its
+    container holds, against the fullest container of the page.  A container
+    is the parent, or the block's element if that says itself what it is."""
+    under: dict[int, int] = {}
+    holders = []
+    for b in found:
+        parent = b.element.parent or b.element
+        holder = id(parent if parent.prior == b.element.prior else b.element)
+        holders.append(holder)
+        under[holder] = under.get(holder, 0) + len(b.text)
+    most = max(under.values(), default=1)
+    return np.array([[*text_features(b), under[h] / most] for b, h in zip(found, holders)])
+
+
 def train(features: np.ndarray, labels: np.ndarray, rounds: int = 25, ridge: float = 1.0) -> np.ndarray:
     """Weights of a logistic classifier with balanced classes (Newton steps)."""
     w = np.zeros(features.shape[1])
@@ -318,7 +365,7 @@ def maximum_flow(source: list[int], sink: list[int], edges: list[tuple[int, int,
                 nth[a] += 1
 
 
-def minimum_cut(gain: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
+def minimum_cut(gain: list[int], edges: list[tuple[int, int, int]], flow=maximum_flow) -> list[bool]:
     """Labels (True: content) of least cost.  ``gain``: cost of boilerplate
     minus cost of content; ties go to boilerplate."""
     n = len(gain)
@@ -346,7 +393,7 @@ def minimum_cut(gain: list[int], edges: list[tuple[int, int, int]]) -> list[bool
     if rest:
         place = {i: k for k, i in enumerate(rest)}
         inner = [(place[a], place[b], c) for a in rest for b, c in near[a].items() if a < b and b in place]
-        side = maximum_flow([max(0, gain[i]) for i in rest], [max(0, -gain[i]) for i in rest], inner)
+        side = flow([max(0, gain[i]) for i in rest], [max(0, -gain[i]) for i in rest], inner)
         for i, k in place.items():
             label[i] = side[k]
     return [bool(x) for x in label]
@@ -378,8 +425,8 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    odds = np.clip(np.array([text_features(b) for b in found]) @ weights * 100, -TEXT_LIMIT, TEXT_LIMIT).astype(int)
-    gain = [int(o) + PRIOR * b.element.role - HIDDEN * b.element.hidden for o, b in zip(odds, found)]
+    odds = np.clip(page_features(found) @ weights * 100, -TEXT_LIMIT, TEXT_LIMIT).astype(int)
+    gain = [int(o) + b.element.prior - HIDDEN * b.element.hidden for o, b in zip(odds, found)]
     return "\n".join(b.text for b, content in zip(found, minimum_cut(gain, smoothness(found))) if content)
 
 
@@ -391,14 +438,19 @@ def learn(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> np.ndarray:
 
     def run(batches):
         for batch in batches:
-            for page in batch.column(0).to_pylist():
-                rows = [(text_features(b), (b.element.role + 1) // 2) for b in blocks(page or "") if b.element.role]
-                if rows:
-                    x = np.array([r[0] for r in rows])
-                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([bytes(r[1] for r in rows)], pa.binary())], ["x", "y"])
-
-    sample = pages.where(F.xxhash64(F.lit("train"), "page_id") / F.lit(2.0**64) + 0.5 <= chance).select(F.col("html").cast("string").alias("html"))
-    got = sample.mapInArrow(run, "x binary, y binary").limit(2 * train_pages).toPandas().sort_values(["x", "y"])
+            for h, page in zip(batch.column(0), batch.column(1).to_pylist()):
+                found = blocks(page or "")
+                clear = [i for i, b in enumerate(found) if abs(b.element.prior) == PRIOR]
+                if len(clear) > PAGE_BLOCKS:  # evenly over a long page
+                    clear = [clear[i * len(clear) // PAGE_BLOCKS] for i in range(PAGE_BLOCKS)]
+                if clear:
+                    x, y = page_features(found)[clear], bytes(found[i].element.prior > 0 for i in clear)
+                    yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([x.tobytes()], pa.binary()), pa.array([y], pa.binary())], ["h", "x", "y"])
+
+    page = F.col("html").cast("string")
+    hashed = pages.select(F.xxhash64(F.lit("train"), "page_id", page).alias("h"), page.alias("html"))
+    sample = hashed.where(F.col("h") / F.lit(2.0**64) + 0.5 <= chance)
+    got = sample.mapInArrow(run, "h long, x binary, y binary").orderBy("h", "x", "y").limit(2 * train_pages).toPandas()
     if not len(got):
         return np.zeros(FEATURES)
     x = np.concatenate([np.frombuffer(v).reshape(-1, FEATURES) for v in got["x"]])
