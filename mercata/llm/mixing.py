@@ -5,8 +5,11 @@ weights of ``weights`` in turn and share ``share`` of all words; no target may
 pass ``max_epochs`` times its source's size, and what a capped source cannot
 take is shared among the others by weight until none is above its cap.
 
-Which words are taken: every document gets a hash-random key.  Within a
-source the key range is cut into buckets of about ``bucket_rows`` rows; word
+Which words are taken: every document gets a hash-random key, from its
+doc_id, its text and its number among rows that are equal in all that counts
+here, so neither rows without doc_id nor copies share a key.  Equal rows are
+counted (on the map side first) and dealt out again in pieces of
+``COPIES``; no task numbers them all.  Within a source the key range is cut into buckets of about ``bucket_rows`` rows; word
 sums of the buckets give a distributed prefix sum, and only the bucket that
 holds the source's budget is sorted row by row, so a source with a third of
 all rows is spread over as many tasks as it has buckets.  A source takes
@@ -15,10 +18,12 @@ its exact budget; the document at the cut gives only part of its words.
 
 Edge cases: NULL or empty text has size 0 and takes nothing.  NULL is a
 source of its own; empty string is another.  Repeated rows count each on
-their own and tie in key order, where either may come first (the result is
-the same set of rows).  A table without words has only zero targets; an
+their own.  With ``carry``, rows of one doc_id and text that differ in the
+carried columns share a key and come in the order of those columns: such
+groups should be small.  A table without words has only zero targets; an
 empty table gives an empty result.  Other columns are ignored.  The keys
-depend on doc_id and seed alone, so reruns agree.
+depend on rows and seed alone, so reruns agree.  Shares are worked out over
+one row per source in one task, which suits up to some millions of sources.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ from .common import WORD_PATTERN, cut
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 BUCKET_ROWS = 4096
+#: Equal rows that one task deals out.
+COPIES = 4096
 SEED = 20
 
 
@@ -60,6 +67,19 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_epoch
     return levels.select("source", "source_rows", "source_size", target.alias("target"))
 
 
+def keyed(docs: DataFrame, seed: int = SEED, carry: Sequence[str] = (), copies: int = COPIES) -> DataFrame:
+    """(doc_id, source, size, digest, number, key, *carry) of each row."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(text).alias("digest"), *carry)
+    alike = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("alike"))
+    pieces = alike.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("alike") - 1) / copies))))
+    pieces = pieces.repartition("digest", "doc_id", "piece")
+    number = F.sequence(F.col("piece") * copies, F.least((F.col("piece") + 1) * copies, "alike") - 1)
+    single = pieces.withColumn("number", F.explode(number)).drop("alike", "piece")
+    return single.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "digest", "number"))
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[int] = WEIGHTS,
@@ -71,15 +91,7 @@ def mix(
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken
     and the columns ``carry`` of the row."""
-    sized = cut(
-        docs.select(
-            F.col("doc_id").cast("long"),
-            F.col("source").cast("string"),
-            F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")).alias("key"),
-            *carry,
-        )
-    )
+    sized = cut(keyed(docs, seed, carry))
     targets = source_targets(sized, weights, max_epochs, share)
     budget = F.round("target").cast("long")
     plan = cut(
@@ -102,7 +114,7 @@ def mix(
     whole, none = F.col("end") <= F.col("rest"), F.col("start") >= F.col("rest")
     columns = ["doc_id", "source", "size", "source_size", "target", *carry]
     clear = rows.where(whole | none).select(*columns, "epochs", F.when(whole, F.col("size")).otherwise(0).alias("last"))
-    order = W.partitionBy("of", "bucket").orderBy("key", "doc_id", "size", *carry)
+    order = W.partitionBy("of", "bucket").orderBy("key", "doc_id", "digest", "number", "size", *carry)
     split = rows.where(~(whole | none)).withColumn("upto", F.col("start") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("upto") + F.col("size")))
     both = clear.unionByName(split.select(*columns, "epochs", last.alias("last")))

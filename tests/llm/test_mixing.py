@@ -1,8 +1,9 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from mercata.llm.mixing import mix
+from mercata.llm.mixing import SEED, keyed, mix
 
 from .conftest import EDGE_TEXTS, SF, file_rows
 
@@ -64,3 +65,33 @@ def test_no_words_and_empty_table(make_docs, no_docs):
     assert mix(no_docs).collect() == []
     got = mix(make_docs([(1, None, None, "a"), (2, "", None, "b")])).collect()
     assert {(r["size"], r.target, r.taken) for r in got} == {(0, 0.0, 0)}
+
+
+def test_which_documents_are_taken(spark):
+    """In key order each source gives whole documents up to its budget, and part of the one at the cut."""
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    key = F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), F.xxhash64("text"), F.lit(0).cast("long")).alias("key")
+    sizes, order = defaultdict(int), defaultdict(list)
+    for r in df.select("doc_id", "text", "source", key).collect():
+        sizes[r.source] += words(r.text)
+        order[r.source].append((r.key, r.doc_id, words(r.text)))
+    want = {}
+    for source, budget in targets(dict(sizes)).items():
+        epochs, rest = divmod(round(budget), sizes[source])
+        for _, doc_id, size in sorted(order[source]):
+            last = min(size, rest)
+            want[doc_id], rest = epochs * size + last, rest - last
+    assert {r.doc_id: r.taken for r in mix(df, bucket_rows=8).collect()} == want
+
+
+def test_rows_without_id_and_copies_spread_over_the_keys(spark):
+    """A third of the rows without doc_id, a third equal rows."""
+    df = spark.range(0, 30000, numPartitions=6).selectExpr(
+        "CASE WHEN id % 3 = 2 THEN id END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'the same few words' ELSE concat('w ', id) END AS text", "'s' AS source"
+    )
+    place = F.floor((F.col("key") / F.lit(2.0**64) + 0.5) * 100)
+    buckets = [r["count"] for r in keyed(df, copies=64).groupBy(place).count().collect()]
+    assert sum(buckets) == 30000 and len(buckets) == 100 and max(buckets) < 400
+    rows = [(r.doc_id, r.text, r.source) for r in df.collect()]
+    once = check(df, rows)
+    assert once == check(df.repartition(3), rows)
