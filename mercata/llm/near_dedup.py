@@ -24,8 +24,9 @@ into pairs.  First every member is paired with the list's smallest member
 list that still holds several components pairs its members with a member of
 its first and one of its last component (linear too), until a round adds no
 link.  Of lists that still hold several components, the members are compared by prefix
-merging on their full sets, and only pairs of different components that pass
-its bound are looked at: all of them, and exactly.  A pair within one
+merging on their full sets, first by such rounds over the lists of shingles; then
+only pairs of different components that pass its bound are looked at: all of
+them, and exactly.  A pair within one
 component would not change the result.
 
 With 64 coordinates and 30 matches, two classes of similarity 0.75 (48
@@ -42,6 +43,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -206,8 +208,22 @@ def open_links(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # makes good, then lists left with one component.
     enough = (100 + percent) * F.col("left") >= percent * (F.col("n") + F.col("least"))
     able = prefix.join(prefix.groupBy("shingle").agg(F.min("n").alias("least")), "shingle").where(enough).drop("least")
-    several = able.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
-    able = cut(able.join(several, "shingle", "left_semi"))
+    able = cut(_in_several(able))
+    # Rounds, linear too: members of a list with three of them, others in each
+    # round, until a round adds no link.  A group whose members are linked here
+    # and there becomes one component before all are compared.
+    links = tried = None
+    for turn in count():
+        pairs = turn_pairs(able, percent, turn)
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        found = cut(_similar(_with_sets(pairs, sets), percent).distinct())
+        tried = pairs if tried is None else cut(tried.unionByName(pairs))
+        if found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        label = components(able.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).unionByName(found))
+        merged = able.drop("component").join(label, F.col("doc_id") == F.col("vertex"), "left")
+        able = cut(_in_several(merged.select("shingle", "doc_id", F.coalesce("component", "doc_id").alias("component"), "n", "left")))
     x, y = able.alias("x"), able.alias("y")
     need = percent * (F.col("x.n") + F.col("y.n"))
     met = x.join(
@@ -215,8 +231,26 @@ def open_links(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
         & ((100 + percent) * F.col("x.left") >= need) & ((100 + percent) * F.col("y.left") >= need),
     )
-    pairs = met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    return _similar(_with_sets(pairs, sets), percent).distinct()
+    pairs = met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = _similar(_with_sets(pairs, sets), percent).distinct()
+    return rest if links is None else links.unionByName(rest)
+
+
+def _in_several(able: DataFrame) -> DataFrame:
+    """The places in lists that hold several components."""
+    several = able.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
+    return able.join(several, "shingle", "left_semi")
+
+
+def turn_pairs(able: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of each list's members with three of its members, others in
+    each list and turn, that pass the bound."""
+    weak = (100 + percent) * F.col("left") < 2 * percent * F.col("n")  # too far back for a partner of its size
+    orders = [F.struct(weak, F.xxhash64("doc_id", "shingle", F.lit(3 * turn + k)), "doc_id") for k in range(3)]
+    ends = able.groupBy("shingle").agg(F.array(*(F.min_by(F.struct("component", "doc_id", "n", "left"), order) for order in orders)).alias("ends"))
+    met = able.join(ends, "shingle").select("doc_id", "component", "n", "left", F.explode("ends").alias("end")).where("component <> end.component")
+    enough = (100 + percent) * F.least("left", "end.left") >= percent * (F.col("n") + F.col("end.n"))
+    return met.where(enough).select(F.least("doc_id", "end.doc_id").alias("a"), F.greatest("doc_id", "end.doc_id").alias("b")).distinct()
 
 
 def _shingle_rows(sets: DataFrame) -> DataFrame:

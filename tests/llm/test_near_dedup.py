@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -116,6 +117,43 @@ def test_a_group_in_several_components_is_merged_in_linear_rounds(make_docs, mon
     assert seen["left"] <= 61 < seen["first"]  # the group is one component, beside a few texts that are linked with none of it
 
 
+def test_open_lists_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Copies of one set, most pairs below the threshold, linked here and there."""
+    import mercata.llm.near_dedup as module
+
+    rng, free = random.Random(5), iter(range(1000, 10**6))
+    sets = []
+    for i in range(240):
+        values = list(range(150))
+        for place in rng.sample(range(150), rng.randint(9, 16)):
+            values[place] = next(free)
+        sets.append((i, bytes([i]), bytearray(np.sort(np.array(values, np.uint64)).tobytes())))
+    table = spark.createDataFrame(sets, "doc_id long, set_key binary, shingles binary")
+    labelled = spark.createDataFrame([(1, i, 150, 0, i) for i in range(240)], "token long, rep long, n_shingles long, rest long, component long")
+    compared, similar = [], module._similar
+
+    def seen(pairs, percent):
+        compared.append(pairs.count())
+        return similar(pairs, percent)
+
+    monkeypatch.setattr(module, "_similar", seen)
+    got = [(r.a, r.b) for r in module.open_links(labelled, table, 75).collect()]
+    values = [set(np.frombuffer(bytes(s), np.uint64).tolist()) for _, _, s in sets]
+    linked = [(a, b) for a in range(240) for b in range(a) if 100 * len(values[a] & values[b]) >= 75 * len(values[a] | values[b])]
+    assert all((max(p), min(p)) in linked for p in got)
+
+    def groups(edges):
+        root = list(range(240))
+        for a, b in edges:
+            a, b = root[a], root[b]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        return root
+
+    assert groups(got) == groups(linked)
+    assert 0 < len(linked) < 240 * 239 / 2 / 4  # most pairs are not linked
+    assert sum(compared) < 240 * 239 / 2 * 2 / 3
+
+
 def test_short_texts_at_the_threshold(make_docs):
     rows = [(1, "a b c d e f g h"), (2, "a b c d e f g"), (3, "a b c d e f"), (4, "x a b c d e f g"), (5, "p q"), (6, "P  Q"), (7, "p q r")]
     assert run(make_docs(rows)) == brute(rows)
