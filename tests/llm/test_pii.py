@@ -3,7 +3,9 @@ import random
 import re
 
 import numpy as np
-from mercata.llm.pii import KINDS, BoostedTrees, accept, base_spans, candidates, features, find_pii, learn, listing, luhn, redact
+import pytest
+
+from mercata.llm.pii import KINDS, BoostedTrees, accept, base_spans, candidates, checked, features, find_pii, found_spans, learn, listing, luhn, redact, tally
 
 from .conftest import EDGE_TEXTS, SF, file_rows
 
@@ -118,6 +120,41 @@ def test_a_long_document_leaves_places_to_others(make_docs):
         assert learn(docs, train_spans=600) is not None
 
 
+def test_all_spans_are_learned_from(make_docs):
+    """More spans than the 20 000 that were once drawn; each adds to the start odds."""
+    good, bad = ([c for c in CARDS if luhn(c) == fine] for fine in (True, False))
+    rows = [(i, ", ".join(good[:60] + bad[:140])) for i in range(110)] + [(1000 + i, ", ".join(good[:100])) for i in range(30)]
+    fit = {}
+    for i, text in rows:
+        n = fit.setdefault(text, [0, 0])
+        n[0] += sum(checked(k, text[a:b], text[max(0, a - 32) : a]) for k, a, b in [s for part in base_spans(text) for s in part] + candidates(text))
+        n[1] += len([s for part in base_spans(text) for s in part] + candidates(text))
+    found = found_spans(make_docs(rows), False)
+    total = tally(found).agg({"n": "sum"}).first()[0]
+    assert total == sum(n for _, n in fit.values()) > 20_000
+    learned = found.where("conv(hex(substring(marks, 1, 1)), 16, 10) % 4 < 2").selectExpr("codes", "marks").collect()
+    yes, no = (sum(m & 1 == label for r in learned for m in bytes(r.marks)) for label in (1, 0))
+    assert yes + no > 20_000
+    assert learn(make_docs(rows))["trees"]["start"] == pytest.approx(np.log(yes / no))
+
+
+def test_trees_grown_from_a_tally_equal_trees_grown_from_rows(make_docs):
+    docs = make_docs([(i, MIXED if i % 3 else MIXED[: 40 * i + 100]) for i in range(40)])
+    trees = learn(docs)["trees"]
+    x, y = [], []
+    for r in found_spans(docs, False).collect():
+        keep = [m & 2 == 0 for m in bytes(r.marks)]
+        x += np.frombuffer(r.codes, np.uint8).reshape(-1, 18)[keep].tolist()
+        y += [m & 1 for m, k in zip(bytes(r.marks), keep) if k]
+    local = BoostedTrees()
+    x, y = np.array(x, float), np.array(y)
+    local.edges = trees["edges"]
+    binned = local.binned(x)
+    local.boost(int(y.sum()), int((1 - y).sum()), lambda tree: local.slopes(binned, y, 1 - y, tree) / (1 << 24))
+    for (f, c, leaf), (f2, c2, leaf2) in zip(trees["trees"], local.trees, strict=True):
+        assert (f == f2).all() and (c == c2).all() and leaf == pytest.approx(leaf2, abs=1e-3)
+
+
 class Odds:
     """Stands for trained trees: odds by the span alone."""
 
