@@ -52,7 +52,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut
-from .components import components
+from .components import components, moved
 from .words import SpanHasher, mixed, text_parts, word_spans
 
 WIDTH, PERCENT = 5, 75
@@ -130,7 +130,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b, shingles_a, shingles_b), the pairs (a, b) that are linked."""
+    """Of (a, b, shingles_a, shingles_b), the pairs (a, b) that are linked; a
+    doc_id with several texts may give a pair more than once."""
 
     def run(batches):
         for batch in batches:
@@ -168,22 +169,34 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     """Of pairs (a, b), those whose signatures agree and whose sets are linked."""
     sides = {s: classes.select(F.col("rep").alias(s), F.col("signature").alias(f"signature_{s}")) for s in "ab"}
     agree = F.size(F.array_intersect("signature_a", "signature_b"))
-    pairs = pairs.join(sides["a"], "a").join(sides["b"], "b").where(agree >= matches).select("a", "b").distinct()
-    return _similar(_with_sets(pairs, sets), percent).distinct()
+    pairs = pairs.join(sides["a"], "a").join(sides["b"], "b").where(agree >= matches).select("a", "b")
+    return _similar(_with_sets(pairs, sets), percent)
 
 
 def round_pairs(labelled: DataFrame, percent: int, matches: int) -> DataFrame:
-    """Pairs (a, b) of each list's members with two of its members, one of its
-    first component and one of its last; pairs within a component, and pairs
-    that met in too few lists, are left out."""
+    """Pairs (a, b, of_a, of_b), with their components, of each list's members
+    with two of its members, one of its first component and one of its last;
+    pairs within a component, and pairs that met in too few lists, are left out."""
     end = F.struct("component", "rep", "n_shingles", "rest")
     ends = labelled.groupBy("token").agg(F.min(end).alias("lo"), F.max(end).alias("hi")).where("lo.component < hi.component")
     met = labelled.join(ends, "token").select("rep", "n_shingles", "component", "rest", F.explode(F.array("lo", "hi")).alias("end")).where("component <> end.component")
     close = 100 * F.least("n_shingles", "end.n_shingles") >= percent * F.greatest("n_shingles", "end.n_shingles")
-    counted = met.where(close).groupBy(F.least("rep", "end.rep").alias("a"), F.greatest("rep", "end.rep").alias("b")).agg(
+    counted = met.where(close).groupBy(*_ordered("rep")).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.least("rest", "end.rest")).alias("rest")
     )
-    return counted.where(F.col("n") + F.col("rest") >= matches).select("a", "b")
+    return counted.where(F.col("n") + F.col("rest") >= matches).select("a", "b", "of_a", "of_b")
+
+
+def _ordered(key: str) -> list:
+    """Columns (a, b, of_a, of_b) of a row and its ``end``: smaller key first."""
+    first, last = (f(F.struct(key, "component"), F.struct(f"end.{key}", "end.component")) for f in (F.least, F.greatest))
+    return [first[key].alias("a"), last[key].alias("b"), first["component"].alias("of_a"), last["component"].alias("of_b")]
+
+
+def _merged(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """(vertex, component) of the components of ``pairs`` that the links
+    ``found`` among them put together."""
+    return components(pairs.join(found, ["a", "b"], "left_semi").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
 
 
 def open_links(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -216,14 +229,13 @@ def open_links(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     for turn in count():
         pairs = turn_pairs(able, percent, turn)
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = cut(_similar(_with_sets(pairs, sets), percent).distinct())
-        tried = pairs if tried is None else cut(tried.unionByName(pairs))
+        found = cut(_similar(_with_sets(pairs, sets), percent))
+        met = pairs.select("a", "b")
+        tried = met if tried is None else cut(tried.unionByName(met))
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
-        label = components(able.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).unionByName(found))
-        merged = able.drop("component").join(label, F.col("doc_id") == F.col("vertex"), "left")
-        able = cut(_in_several(merged.select("shingle", "doc_id", F.coalesce("component", "doc_id").alias("component"), "n", "left")))
+        able = cut(_in_several(moved(able, "component", _merged(pairs, found))))
     x, y = able.alias("x"), able.alias("y")
     need = percent * (F.col("x.n") + F.col("y.n"))
     met = x.join(
@@ -243,14 +255,14 @@ def _in_several(able: DataFrame) -> DataFrame:
 
 
 def turn_pairs(able: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs (a, b) of each list's members with three of its members, others in
-    each list and turn, that pass the bound."""
+    """Pairs (a, b, of_a, of_b), with their components, of each list's members
+    with three of its members, others in each list and turn, that pass the bound."""
     weak = (100 + percent) * F.col("left") < 2 * percent * F.col("n")  # too far back for a partner of its size
     orders = [F.struct(weak, F.xxhash64("doc_id", "shingle", F.lit(3 * turn + k)), "doc_id") for k in range(3)]
     ends = able.groupBy("shingle").agg(F.array(*(F.min_by(F.struct("component", "doc_id", "n", "left"), order) for order in orders)).alias("ends"))
     met = able.join(ends, "shingle").select("doc_id", "component", "n", "left", F.explode("ends").alias("end")).where("component <> end.component")
     enough = (100 + percent) * F.least("left", "end.left") >= percent * (F.col("n") + F.col("end.n"))
-    return met.where(enough).select(F.least("doc_id", "end.doc_id").alias("a"), F.greatest("doc_id", "end.doc_id").alias("b")).distinct()
+    return met.where(enough).select(*_ordered("doc_id")).distinct()
 
 
 def _shingle_rows(sets: DataFrame) -> DataFrame:
@@ -293,21 +305,23 @@ def near_links(docs: DataFrame, members: DataFrame, width: int, percent: int, co
     keys = classes.select(F.col("rep").alias("doc_id"), "set_key")
     sets = cut(full_sets(texts, width).join(keys, ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"]))
     label = components(star_links(postings, classes, sets, percent, matches))
-    tried = None
+    labelled = cut(
+        postings.join(label, F.col("rep") == F.col("vertex"), "left").select("token", "rep", "n_shingles", "rest", F.coalesce("component", "rep").alias("component"))
+    )
+    # The components found first stand for their links.
+    links, tried = label.select(F.col("vertex").alias("a"), F.col("component").alias("b")), None
     while True:
-        labelled = cut(
-            postings.join(label, F.col("rep") == F.col("vertex"), "left").select("token", "rep", "n_shingles", "rest", F.coalesce("component", "rep").alias("component"))
-        )
         pairs = round_pairs(labelled, percent, matches)
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))  # a refuted pair does not come again
         found = cut(_confirmed(pairs, classes, sets, percent, matches))
         if found.isEmpty():
             break
-        tried = cut(pairs if tried is None else tried.unionByName(pairs))
-        label = components(label.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(found))
+        met = pairs.select("a", "b")
+        tried = met if tried is None else cut(tried.unionByName(met))
+        links = links.unionByName(found)
+        labelled = cut(moved(labelled, "component", _merged(pairs, found)))
     more = cut(open_links(labelled, sets, percent))
-    # The components found first stand for their links.
-    return classes, label.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(more)
+    return classes, links.unionByName(more)
 
 
 def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:

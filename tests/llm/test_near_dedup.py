@@ -182,3 +182,26 @@ def test_components_of_paths_stars_and_rings(spark):
         root[max(x, y)] = min(x, y)
     got = {r.vertex: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {v: find(v) for v in list(root) if find(v) != v}
+
+
+def test_components_of_linked_stars_and_paths_take_few_shuffles(spark, monkeypatch):
+    """Each shuffle is a stage of many small tasks, whatever it moves: few for
+    stars that hang together by members, and for a path in order few rounds."""
+    from mercata.llm import components as module
+
+    planned, write = [], module.cut
+
+    def counted(df):
+        planned.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return write(df)
+
+    monkeypatch.setattr(module, "cut", counted)
+    stars = [(1000 * k + i, 1000 * k) for k in range(1, 9) for i in range(1, 20)]
+    links = [(1000 * k + 1000 + 5, 1000 * k + 7) for k in range(1, 8)]
+    got = {r.vertex: r.component for r in components(spark.createDataFrame(stars + links, "a long, b long")).collect()}
+    assert got == {v: 1000 for e in stars + links for v in e if v != 1000}
+    assert sum(planned) <= 12
+    planned.clear()
+    got = {r.vertex: r.component for r in components(spark.createDataFrame([(i, i + 1) for i in range(700)], "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 701)}
+    assert sum(planned) <= 12
