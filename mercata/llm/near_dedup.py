@@ -16,7 +16,10 @@ linked if their sets' Jaccard similarity is at least ``percent`` per cent.
    count plus what is left behind its last collision cannot reach
    ``matches`` is skipped, the others are counted on whole signatures.
 5. **Confirmation.**  Pairs that reach ``matches`` are compared on their full
-   sets; only confirmed links count.
+   sets; only confirmed links count.  Before that, and before a pair of the
+   last step is a row at all, sketches of the full sets bound what two sets
+   have in common from above (exactly: no link is lost); pairs that cannot
+   be linked go there.
 
 A posting list may hold a third of all classes, so lists are not expanded
 into pairs.  First every member is paired with the list's smallest member
@@ -57,6 +60,7 @@ from .words import SpanHasher, mixed, text_parts, word_spans
 
 WIDTH, PERCENT = 5, 75
 COORDINATES, MATCHES = 64, 30
+SKETCH = 16  # 64-bit words
 _U = np.uint64
 
 
@@ -92,24 +96,39 @@ def minhash(values: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return ((least >> bits) | (np.arange(len(multipliers), dtype=_U) << (_U(64) - bits))).view(np.int64)
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """Parities of how many of a set's hashes fall on each bit.  The sketches
+    of two sets differ in at most as many bits as the sets do in hashes."""
+    bits = np.bincount((values % _U(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _may_link(n: list, sketches: list, percent: int):
+    """Whether two sets of these sizes and sketches can be linked: they have at
+    most half of what is left of both sizes' sum without the differing bits."""
+    differ = sum((F.bit_count(sketches[0][k].bitwiseXOR(sketches[1][k])) for k in range(1, SKETCH)), F.bit_count(sketches[0][0].bitwiseXOR(sketches[1][0])))
+    return (100 + percent) * (n[0] + n[1] - differ) >= 2 * percent * (n[0] + n[1])
+
+
 def signatures(docs: DataFrame, width: int = WIDTH, coordinates: int = COORDINATES) -> DataFrame:
-    """(doc_id, n_shingles, set_key, signature) of every row."""
+    """(doc_id, n_shingles, set_key, signature, sketch) of every row."""
     multipliers = mixed(np.arange(coordinates, dtype=_U) + _U(1000)) | _U(1)
 
     def run(batches):
         hasher = SpanHasher(lower=True)
         for batch in batches:
-            counts, keys, found = [], [], []
+            counts, keys, found, sketches = [], [], [], []
             for values in document_sets(batch.column(1), width, hasher):
                 counts.append(len(values))
                 keys.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
                 found.append(minhash(values, multipliers) if len(values) else None)
+                sketches.append(sketch(values) if len(values) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "signature"],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (found, sketches))],
+                ["doc_id", "n_shingles", "set_key", "signature", "sketch"],
             )
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -167,9 +186,10 @@ def star_links(postings: DataFrame, classes: DataFrame, sets: DataFrame, percent
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
     """Of pairs (a, b), those whose signatures agree and whose sets are linked."""
-    sides = {s: classes.select(F.col("rep").alias(s), F.col("signature").alias(f"signature_{s}")) for s in "ab"}
+    sides = {s: classes.select(F.col("rep").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n_shingles", "signature", "sketch"))) for s in "ab"}
     agree = F.size(F.array_intersect("signature_a", "signature_b"))
-    pairs = pairs.join(sides["a"], "a").join(sides["b"], "b").where(agree >= matches).select("a", "b")
+    able = _may_link([F.col("n_shingles_a"), F.col("n_shingles_b")], [F.col("sketch_a"), F.col("sketch_b")], percent)
+    pairs = pairs.join(sides["a"], "a").join(sides["b"], "b").where(able & (agree >= matches)).select("a", "b")
     return _similar(_with_sets(pairs, sets), percent)
 
 
@@ -215,7 +235,7 @@ def open_links(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     place = F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("holders", "shingle")) - 1  # unshared ones come first
     prefix = cut(
         rows.join(shared, "shingle").withColumn("left", F.col("n") - place)
-        .where(100 * F.col("left") >= percent * F.col("n")).select("shingle", "doc_id", "component", "n", "left")
+        .where(100 * F.col("left") >= percent * F.col("n")).select("shingle", "doc_id", "set_key", "component", "n", "left")
     )
     # Linear passes first: places that not even the list's smallest member
     # makes good, then lists left with one component.
@@ -236,12 +256,16 @@ def open_links(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             break
         links = found if links is None else links.unionByName(found)
         able = cut(_in_several(moved(able, "component", _merged(pairs, found))))
+    # What is left is joined with itself; a pair is a row only if the sketches
+    # of its sets allow a link, not for each shingle that it has in common.
+    able = cut(able.join(_sketches(able.select("doc_id", "set_key").distinct().join(sets, ["doc_id", "set_key"])), ["doc_id", "set_key"]))
     x, y = able.alias("x"), able.alias("y")
     need = percent * (F.col("x.n") + F.col("y.n"))
     met = x.join(
         y,
         (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
-        & ((100 + percent) * F.col("x.left") >= need) & ((100 + percent) * F.col("y.left") >= need),
+        & ((100 + percent) * F.col("x.left") >= need) & ((100 + percent) * F.col("y.left") >= need)
+        & _may_link([F.col("x.n"), F.col("y.n")], [F.col("x.sketch"), F.col("y.sketch")], percent),
     )
     pairs = met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = _similar(_with_sets(pairs, sets), percent).distinct()
@@ -265,6 +289,17 @@ def turn_pairs(able: DataFrame, percent: int, turn: int) -> DataFrame:
     return met.where(enough).select(*_ordered("doc_id")).distinct()
 
 
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(doc_id, set_key, sketch)."""
+
+    def run(batches):
+        for batch in batches:
+            found = [sketch(np.frombuffer(v.as_buffer(), _U)) for v in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int64()))], ["doc_id", "set_key", "sketch"])
+
+    return sets.select("doc_id", "set_key", "shingles").mapInArrow(run, "doc_id long, set_key binary, sketch array<long>")
+
+
 def _shingle_rows(sets: DataFrame) -> DataFrame:
     """(doc_id, set_key, component, n, shingle), one row per shingle."""
 
@@ -286,8 +321,8 @@ def near_links(docs: DataFrame, members: DataFrame, width: int, percent: int, co
     the same components as all links."""
     classes = cut(
         members.where("n_shingles > 0 and doc_id is not null").groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-        .select("rep", "n_shingles", "signature", "set_key")
+        .agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "signature", "sketch")))
+        .select("rep", "n_shingles", "signature", "sketch", "set_key")
     )
     tokens = classes.select("rep", "set_key", "n_shingles", F.explode("signature").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")

@@ -154,6 +154,48 @@ def test_open_lists_are_not_compared_pair_by_pair(spark, monkeypatch):
     assert sum(compared) < 240 * 239 / 2 * 2 / 3
 
 
+def test_pairs_that_sketches_rule_out_are_not_made(spark, monkeypatch):
+    """A large group whose rounds leave texts that are linked with few of it or
+    none: few pairs that are not linked are looked up among the full sets."""
+    import mercata.llm.near_dedup as module
+
+    rng, free = random.Random(7), iter(range(1000, 10**6))
+    sets = []
+    for i in range(240):
+        values = list(range(146))
+        for place in rng.sample(range(146), 5 if i % 4 else 17):
+            values[place] = next(free)
+        sets.append((i, bytes([i]), bytearray(np.sort(np.array(values, np.uint64)).tobytes())))
+    values = [set(np.frombuffer(bytes(s), np.uint64).tolist()) for _, _, s in sets]
+    linked = {(a, b) for b in range(240) for a in range(b) if 100 * len(values[a] & values[b]) >= 75 * len(values[a] | values[b])}
+    asked, similar = [], module._similar
+
+    def seen(pairs, percent):
+        asked.append({(r.a, r.b) for r in pairs.select("a", "b").collect()})
+        return similar(pairs, percent)
+
+    # Without rounds: all that they would leave in a larger group.
+    monkeypatch.setattr(module, "_similar", seen)
+    monkeypatch.setattr(module, "turn_pairs", lambda able, percent, turn: able.select(*(F.col(c).alias(x) for c, x in (("doc_id", "a"), ("doc_id", "b"), ("component", "of_a"), ("component", "of_b")))).limit(0))
+    table = spark.createDataFrame(sets, "doc_id long, set_key binary, shingles binary")
+    labelled = spark.createDataFrame([(1, i, 146, 0, i) for i in range(240)], "token long, rep long, n_shingles long, rest long, component long")
+    assert {(r.a, r.b) for r in module.open_links(labelled, table, 75).collect()} == linked
+    others = 240 * 239 // 2 - len(linked)
+    assert len(asked[-1] - linked) < others / 5
+
+
+def test_sketches_never_differ_more_than_sets(spark):
+    import mercata.llm.near_dedup as module
+
+    rng = np.random.default_rng(1)
+    for size, changed in ((1, 1), (9, 0), (150, 12), (150, 40), (5000, 300)):
+        x = rng.integers(0, 2**63, size).astype(np.uint64)
+        y = np.concatenate([x[changed:], rng.integers(0, 2**63, 2 * changed).astype(np.uint64)])
+        a, b = (np.unpackbits(module.sketch(v).view(np.uint8)) for v in (x, y))
+        assert (a != b).sum() <= len(np.setxor1d(x, y))
+        assert changed or not (a != b).any()
+
+
 def test_short_texts_at_the_threshold(make_docs):
     rows = [(1, "a b c d e f g h"), (2, "a b c d e f g"), (3, "a b c d e f"), (4, "x a b c d e f g"), (5, "p q"), (6, "P  Q"), (7, "p q r")]
     assert run(make_docs(rows)) == brute(rows)
