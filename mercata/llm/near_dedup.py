@@ -284,9 +284,10 @@ def turn_pairs(able: DataFrame, percent: int, turn: int) -> DataFrame:
     weak = (100 + percent) * F.col("left") < 2 * percent * F.col("n")  # too far back for a partner of its size
     orders = [F.struct(weak, F.xxhash64("doc_id", "shingle", F.lit(3 * turn + k)), "doc_id") for k in range(3)]
     ends = able.groupBy("shingle").agg(F.array(*(F.min_by(F.struct("component", "doc_id", "n", "left"), order) for order in orders)).alias("ends"))
-    met = able.join(ends, "shingle").select("doc_id", "component", "n", "left", F.explode("ends").alias("end")).where("component <> end.component")
-    enough = (100 + percent) * F.least("left", "end.left") >= percent * (F.col("n") + F.col("end.n"))
-    return met.where(enough).select(*_ordered("doc_id")).distinct()
+    # Tested before they are rows: most members have all three in their component.
+    enough = lambda end: (100 + percent) * F.least("left", end["left"]) >= percent * (F.col("n") + end["n"])
+    fit = F.filter("ends", lambda end: (end["component"] != F.col("component")) & enough(end))
+    return able.join(ends, "shingle").select("doc_id", "component", F.explode(fit).alias("end")).select(*_ordered("doc_id")).distinct()
 
 
 def _sketches(sets: DataFrame) -> DataFrame:
