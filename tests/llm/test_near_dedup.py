@@ -184,6 +184,17 @@ def test_pairs_that_sketches_rule_out_are_not_made(spark, monkeypatch):
     assert len(asked[-1] - linked) < others / 5
 
 
+def test_turns_test_ends_before_they_are_rows(spark):
+    """A list whose members are one component but for one text."""
+    import mercata.llm.near_dedup as module
+
+    able = spark.createDataFrame([(1, i, 0 if i < 50 else 50, 150, 150) for i in range(51)], "shingle long, doc_id long, component long, n long, left long")
+    found = module.turn_pairs(able, 75, 0)
+    rows = found.collect()
+    assert rows and all(r.b == 50 and r.of_a == 0 and r.of_b == 50 for r in rows) and len(rows) == len(set(rows))
+    assert "Generate explode(filter(" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sketches_never_differ_more_than_sets(spark):
     import mercata.llm.near_dedup as module
 
